@@ -611,14 +611,14 @@ def _(t):
 
 
 _WAVES = ", ".join(
-    f"w{d + 1} AS (SELECT DISTINCT dst AS id FROM w{d} JOIN both_ways ON src = id)" for d in range(6)
+    f"w{d + 1} AS MATERIALIZED (SELECT DISTINCT dst AS id FROM w{d} JOIN both_ways ON src = id)" for d in range(6)
 )
 _HITS = " ".join(f"WHEN EXISTS (SELECT 1 FROM w{d} WHERE id = -1) THEN {d}" for d in range(7))
 
 
 @query(
     "hop_distance",
-    f"WITH {v.TRADE}, both_ways AS (SELECT src, dst FROM trade UNION ALL SELECT dst, src FROM trade), w0 AS (SELECT CAST(0 AS BIGINT) AS id), {_WAVES}"
+    f"WITH {v.TRADE}, both_ways AS MATERIALIZED (SELECT src, dst FROM trade UNION ALL SELECT dst, src FROM trade), w0 AS (SELECT CAST(0 AS BIGINT) AS id), {_WAVES}"
     f" SELECT CAST(CASE {_HITS} ELSE 2147483647 END AS BIGINT) AS result",
 )
 def _(t):
@@ -679,9 +679,13 @@ def _(t):
     return _spectrum(spectral.fft_split(v.series(t), ["user_id"], pad=True), "r", "i")
 
 
-@query("inverse_fft", _dft_sql(_POW2_SIZE, "s.re", "s.im", "+", scale="size"))
+@query("inverse_fft", _dft_sql(_POW2_SIZE, "s.re", "s.im", "+", names=("re_sum", "im_sum")))
 def _(t):
-    return _spectrum(spectral.inverse_fft(v.series(t), ["user_id"], pad=True))
+    # shown before the division by the length: the quotients of two-digit values would sit on rounding ties
+    back = spectral.inverse_fft(v.series(t), ["user_id"], pad=True)
+    return back.select(
+        "user_id", "k", rounded(F.col("re") * F.col("size"), 3).alias("re_sum"), rounded(F.col("im") * F.col("size"), 3).alias("im_sum")
+    )
 
 
 @query("fft_of_all_events")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import INT32_MAX
-from gridloom.runtime import salted_join, stage
+from gridloom.runtime import hot_keys, repeat_rows, salted_join, spread_rows, stage
 
 
 def edge_count(adjacency: DataFrame, a: str = "a", out: str = "result") -> DataFrame:
@@ -105,6 +105,10 @@ def hop_distance(
         return answer(0)
     kind = edges.schema["src"].dataType
     links = edges.select(F.col("src").alias("id"), F.col("dst").alias("_to")).where(F.col("id") != F.col("_to"))
+    # every wave reads the links again: written once, with hub vertices already dealt out
+    links = stage(links, "links")
+    hot = stage(hot_keys(links, ["id"], **salting), "hubs")
+    links = spread_rows(links, hot, ["id"], ["_to"])
     wave = spark.range(1).select(F.lit(source).cast(kind).alias("id"))
     seen = [wave]
     hops = 0
@@ -113,7 +117,7 @@ def hop_distance(
         visited = seen[0]
         for earlier in seen[1:]:
             visited = visited.union(earlier)
-        reached = salted_join(links, wave, ["id"], ["_to"], **salting).select(F.col("_to").alias("id")).distinct()
+        reached = links.join(repeat_rows(wave, hot, ["id"]), ["id", "_slice"]).select(F.col("_to").alias("id")).distinct()
         wave = stage(reached.join(visited, "id", "left_anti"), "wave")
         rows, hit = wave.agg(F.count(F.lit(1)), F.coalesce(F.bool_or(F.col("id") == F.lit(dest)), F.lit(False))).first()
         if hit:

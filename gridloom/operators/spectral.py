@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+GROUP_CELLS = 1 << 16  # cells that one task group of a long series holds, as long as a column fits
 WHOLE_SERIES = 1 << 16  # longest series that one task transforms on its own
 
 
@@ -36,7 +37,8 @@ def _rotate(re: Column, im: Column, cos: Column, sin: Column) -> list[Column]:
 
 
 def _dft(values: np.ndarray, sign: int) -> np.ndarray:
-    return np.fft.fft(values) if sign < 0 else np.fft.ifft(values) * len(values)
+    """Transform along the first axis."""
+    return np.fft.fft(values, axis=0) if sign < 0 else np.fft.ifft(values, axis=0) * len(values)
 
 
 def _whole(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
@@ -54,39 +56,58 @@ def _whole(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
 
 
 def _four_step(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    """Power-of-two series of any length: two shuffles of the series, groups of about sqrt(length)."""
-    half = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size").cast("double")) / 2)).cast("bigint")
-    laid_out = series.withColumn("cols", half).withColumn("n2", F.col("n") % F.col("cols"))
+    """Power-of-two series of any length: two shuffles of the series.
 
-    def columns(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, cols, n2 = int(pdf["size"].iloc[0]), int(pdf["cols"].iloc[0]), int(key[-1])
-        rows = size // cols
-        values = np.zeros(rows, dtype=complex)
-        values[pdf["n"].to_numpy() // cols] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        k1 = np.arange(rows)
-        twisted = _dft(values, sign) * np.exp(sign * 2j * np.pi * (k1 * n2 % size) / size)
-        frame = pd.DataFrame({"k1": k1, "re": twisted.real, "im": twisted.imag})
-        for name, value in zip(keys, key):
-            frame[name] = value
-        return frame.assign(size=size, cols=cols, n2=n2)[[*keys, "size", "cols", "k1", "n2", "re", "im"]]
+    Position n = row * cols + col: first every column is transformed and twisted, then every row. A
+    group takes as many neighbouring columns (rows) as fit into about ``GROUP_CELLS`` cells, so long
+    series make many tasks and short ones few groups.
+    """
+    cols = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size").cast("double")) / 2)).cast("bigint")
+    rows = F.call_function("div", F.col("size"), F.col("cols"))
+    width = lambda length: F.greatest(F.call_function("div", F.lit(GROUP_CELLS), length), F.lit(1))
+    laid_out = (
+        series.withColumn("cols", cols)
+        .withColumn("rows", rows)
+        .withColumn("wide", width(F.col("rows")))
+        .withColumn("block", F.call_function("div", F.col("n") % F.col("cols"), F.col("wide")))
+    )
+    fields = _fields(series, keys)
 
-    first = laid_out.groupBy(*keys, "n2").applyInPandas(
-        columns, f"{_fields(series, keys)}, size bigint, cols bigint, k1 bigint, n2 bigint, re double, im double"
+    def columns(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        size, cols, rows, wide = (int(pdf[c].iloc[0]) for c in ("size", "cols", "rows", "wide"))
+        first = int(key[-1]) * wide
+        wide = min(wide, cols - first)
+        n = pdf["n"].to_numpy()
+        values = np.zeros((rows, wide), dtype=complex)
+        values[n // cols, n % cols - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        k1, n2 = np.indices((rows, wide))
+        n2 += first
+        twisted = (_dft(values, sign) * np.exp(sign * 2j * np.pi * (k1 * n2 % size) / size)).ravel()
+        data = {k: key[i] for i, k in enumerate(keys)}
+        data |= {"size": size, "cols": cols, "k1": k1.ravel(), "n2": n2.ravel(), "re": twisted.real, "im": twisted.imag}
+        return pd.DataFrame(data)
+
+    turned = (
+        laid_out.groupBy(*keys, "block")
+        .applyInPandas(columns, f"{fields}, size bigint, cols bigint, k1 bigint, n2 bigint, re double, im double")
+        .withColumn("high", width(F.col("cols")))
+        .withColumn("block", F.call_function("div", F.col("k1"), F.col("high")))
     )
 
     def rows_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, cols, k1 = int(pdf["size"].iloc[0]), int(pdf["cols"].iloc[0]), int(key[-1])
-        values = np.zeros(cols, dtype=complex)
-        values[pdf["n2"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        spectrum = _dft(values, sign)
-        frame = pd.DataFrame({"k": k1 + (size // cols) * np.arange(cols), "re": spectrum.real, "im": spectrum.imag})
-        for name, value in zip(keys, key):
-            frame[name] = value
-        return frame.assign(size=size)[[*keys, "size", "k", "re", "im"]]
-
-    return first.groupBy(*keys, "k1").applyInPandas(
-        rows_of, f"{_fields(series, keys)}, size bigint, k bigint, re double, im double"
-    )
+        size, cols, high = (int(pdf[c].iloc[0]) for c in ("size", "cols", "high"))
+        rows = size // cols
+        first = int(key[-1]) * high
+        high = min(high, rows - first)
+        values = np.zeros((cols, high), dtype=complex)
+        values[pdf["n2"].to_numpy(), pdf["k1"].to_numpy() - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        spectrum = _dft(values, sign).ravel()
+        k2, k1 = np.indices((cols, high))
+        data = {k: key[i] for i, k in enumerate(keys)}
+        data |= {"size": size, "k": (k1 + first + rows * k2).ravel(), "re": spectrum.real, "im": spectrum.imag}
+        return pd.DataFrame(data)
+
+    return turned.groupBy(*keys, "block").applyInPandas(rows_of, f"{fields}, size bigint, k bigint, re double, im double")
 
 
 def _chirp(series: DataFrame, sizes: DataFrame, keys: list[str], sign: int) -> DataFrame:

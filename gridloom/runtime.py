@@ -58,6 +58,34 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = 1_000_000, share: int = 1000) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and more than 1/``share`` of all rows, with a slice count.
+
+    At most ``share`` keys qualify, which bounds the table for broadcasting. Exact counts (not samples)
+    decide, so that every reader of the table agrees on it.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return (
+        counts.where((F.col("_n") > hot_rows) & (F.col("_n") * share > total))
+        .withColumn("_slices", F.ceil(F.col("_n") * share / total).cast("int"))
+        .drop("_n")
+    )
+
+
+def spread_rows(df: DataFrame, hot: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """Add ``_slice``: rows of a hot key are dealt out by hashing ``spread``, all others stay in slice 0."""
+    slices = F.coalesce("_slices", F.lit(1))
+    dealt = df.join(F.broadcast(hot), on, "left")
+    return dealt.withColumn("_slice", F.pmod(F.xxhash64(*spread), slices).cast("int")).drop("_slices")
+
+
+def repeat_rows(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Add ``_slice``: rows of a hot key once per slice, all others once."""
+    slices = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), on, "left").withColumn("_slice", F.explode(slices)).drop("_slices")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -67,29 +95,12 @@ def salted_join(
     hot_rows: int = 1_000_000,
     share: int = 1000,
 ) -> DataFrame:
-    """Equi-join that splits the hot keys of ``left`` over many tasks.
+    """Equi-join that splits the hot keys of ``left`` over many tasks (see ``hot_keys``).
 
-    A key is hot when it holds more than ``hot_rows`` rows and more than 1/``share`` of all rows, so
-    at most ``share`` keys are: that bounds the broadcast table. Left rows of a hot key go to a slice
-    picked by hashing ``spread``; right rows are repeated once per slice. Exact counts (not samples)
-    decide, so that both sides always agree. ``how`` may be inner, left, left_semi or left_anti.
+    ``how`` may be inner, left, left_semi or left_anti: each left row is in exactly one slice, and
+    every slice sees all right rows of its key.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(
-        counts.where((F.col("_n") > hot_rows) & (F.col("_n") * share > total))
-        .withColumn("_slices", F.ceil(F.col("_n") * share / total).cast("int"))
-        .drop("_n")
-    )
-    slices = F.coalesce("_slices", F.lit(1))
-    sliced_left = (
-        left.join(hot, on, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(*spread), slices).cast("int"))
-        .drop("_slices")
-    )
-    sliced_right = (
-        right.join(hot, on, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
+    hot = hot_keys(left, on, hot_rows, share)
+    return (
+        spread_rows(left, hot, on, spread).join(repeat_rows(right, hot, on), [*on, "_slice"], how).drop("_slice")
     )
-    return sliced_left.join(sliced_right, [*on, "_slice"], how).drop("_slice")
