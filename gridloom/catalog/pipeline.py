@@ -476,19 +476,19 @@ def _(t):
     " FROM bodies b LEFT JOIN cuts c ON b.doc_id = c.doc_id",
 )
 def _(t):
-    tag = F.lit("### Response")
     code = F.concat(F.lit(" x;"), F.col("code"))
     # even documents repeat the header inside the second block, odd ones hold only a body
     blocks = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```\nint other;\n```\nand\n```\n"), F.col("prompt"), code)).otherwise(F.concat(F.lit("```\n"), code))
     asked = F.concat(F.lit("Complete this.\n```"), F.col("prompt"), F.lit("```\n### Response"))
     answer = F.concat(asked, F.lit("\n"), blocks, F.lit("\n```\n"))
-    return v.completions(t).select("doc_id", F.md5(text.clean_chat_answer(answer, asked, tag)).alias("digest"))
+    chats = v.completions(t).select("doc_id", asked.alias("asked"), answer.alias("answer"))
+    return text.clean_chat_answers(chats, "answer", "asked", "### Response").select("doc_id", F.md5("code").alias("digest"))
 
 
 @query(
     "clean_offline",
-    f"WITH {v.COMPLETIONS}, bodies AS (SELECT doc_id, code || '}}' AS body FROM completions), {_CUT}"
-    " SELECT b.doc_id, md5(substr(body, 1, length(body) - 1) || CASE WHEN low = -1 AND e.last = -1 AND cut = length(body) THEN '}' ELSE '' END) AS digest"
+    f"WITH {v.COMPLETIONS}, bodies AS (SELECT doc_id, code AS body FROM completions), {_CUT}"
+    " SELECT b.doc_id, md5(body || CASE WHEN coalesce(low >= -1 AND last = 0, true) THEN '}' ELSE '' END) AS digest"
     " FROM bodies b LEFT JOIN cuts c ON b.doc_id = c.doc_id LEFT JOIN ends e ON b.doc_id = e.doc_id",
 )
 def _(t):

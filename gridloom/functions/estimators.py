@@ -18,7 +18,7 @@ def _product(factors: list[Column]) -> Column:
 def choose(n: Column, r: int, strict: bool = False) -> Column:
     """n over r. By default 1 where n < r, which keeps results comparable; ``strict`` gives 0 there."""
     n = n.cast("double")
-    value = _product([(n - r + t) / F.lit(float(t)) for t in range(1, r + 1)])
+    value = _product([(n - float(r - t)) * F.lit(1.0 / t) for t in range(1, r + 1)])
     return F.when(n < r, F.lit(0.0 if strict else 1.0)).otherwise(value)
 
 
@@ -28,18 +28,18 @@ def success_at_k(samples: Column, correct: Column, k: int) -> Column:
     1 - C(n-c, k)/C(n, k), with k factors instead of c.
     """
     n, wrong = samples.cast("double"), (samples - correct).cast("double")
-    # guarded divisors keep ANSI mode quiet where the branch is not taken
-    misses = _product([(wrong - t) / F.greatest(n - t, F.lit(1.0)) for t in range(k)])
+    # one division per ten factors: short code, and no overflow however many samples there are
+    chunks = [range(t, min(t + 10, k)) for t in range(0, k, 10)]
+    misses = _product(
+        [F.try_divide(_product([wrong - float(t) for t in c]), _product([n - float(t) for t in c])) for c in chunks]
+    )
     return F.when(wrong < k, 1.0).when(correct == 0, 0.0).otherwise(1.0 - misses)
 
 
 def order_weight(rank: Column, samples: Column, k: int, strict: bool = False) -> Column:
     """Weight of the rank-th smallest (1-based) of n samples: C(rank-1, k-1) / C(n, k)."""
-    total = choose(samples, k, strict)
-    weight = choose(rank - 1, k - 1, strict)
-    if strict:
-        return F.when(total == 0, F.lit(None)).otherwise(weight / F.when(total != 0, total))
-    return weight / total
+    # null where strict counting leaves no way to draw k samples
+    return F.try_divide(choose(rank - 1, k - 1, strict), choose(samples, k, strict))
 
 
 def expected_speedup_term(

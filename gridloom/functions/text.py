@@ -6,7 +6,7 @@ the number of brackets, not characters. Where a value cannot be derived the resu
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.rules import INCLUDES, PROMPT_STYLES, WHITESPACE
@@ -102,40 +102,45 @@ def clean_completion(output: Column, prompt: Column) -> Column:
     return F.when(cut.isNull(), body).otherwise(F.substr(body, F.lit(1), cut))
 
 
-def clean_chat_answer(output: Column, prompt: Column, tag: Column) -> Column:
-    """Function body from a chat answer: after the response tag, from a fenced block if there is one.
+def clean_chat_answers(df: DataFrame, output: str, prompt: str, tag: str, out: str = "code") -> DataFrame:
+    """Add the function body found in a chat answer: after the response tag, from a fenced block if any.
 
-    A block that names the function is preferred. Null when tag or function name are missing.
+    A block that names the function is preferred. Null when tag or function name are missing. A chain
+    of columns instead of one expression: each part is computed once per row.
     """
-    answer = strip(after_first(output, tag))
     fence = F.lit("```")
-    blocks = F.transform(
-        F.regexp_extract_all(answer, F.lit(r"(?s)```\n(.*?)\n```"), 1),
-        lambda b: remove_suffix(
-            remove_prefix(remove_prefix(remove_prefix(b, fence), F.lit("cpp")), F.lit("c++")), fence
-        ),
+    asked = F.element_at(F.split(remove_suffix(rstrip(remove_suffix(rstrip(F.col(prompt)), F.lit(tag))), fence), "```"), -1)
+    answer, name, blocks, chosen = (F.col(c) for c in ("_answer", "_name", "_blocks", "_chosen"))
+    unfenced = lambda b: remove_suffix(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"\A```", ""), r"\Acpp", ""), r"\Ac\+\+", ""), fence
     )
-    asked = F.element_at(F.split(remove_suffix(rstrip(remove_suffix(rstrip(prompt), tag)), fence), "```"), -1)
-    name = header_name(asked)
-    named = F.filter(blocks, lambda b: F.contains(b, name))
+    named = F.get(F.filter(blocks, lambda b: F.contains(b, name)), F.lit(0))
     opened = F.position(fence, answer)
-    chosen = (
-        F.when(F.size(named) > 0, F.get(named, F.lit(0)))
-        .when(F.size(blocks) > 0, F.get(blocks, F.lit(0)))
-        .when(opened > 0, F.substr(answer, opened + 3))
-        .otherwise(answer)
-    )
     from_name = F.substr(chosen, F.position(name, chosen))
-    # without an opening brace after the name the whole block counts as the body
-    brace = F.position(F.lit("{"), from_name)
-    rest = F.when(brace > 0, F.substr(from_name, brace + 1)).otherwise(chosen)
-    cut = closing_position(rest)
-    body = F.when(cut.isNull(), rest).otherwise(F.substr(rest, F.lit(1), cut - 1))
-    return (
+    brace = F.position(F.lit("{"), F.col("_from_name"))
+    steps = {
+        "_answer": strip(after_first(F.col(output), F.lit(tag))),
+        "_asked": asked,
+        "_name": header_name(F.col("_asked")),
+        "_blocks": F.transform(F.regexp_extract_all(answer, F.lit(r"(?s)```\n(.*?)\n```"), 1), unfenced),
+        # the first block with the name, else the first block, else what follows an unclosed fence
+        "_chosen": F.coalesce(
+            named, F.get(blocks, F.lit(0)), F.when(opened > 0, F.substr(answer, opened + 3)), answer
+        ),
+        "_from_name": from_name,
+        # without an opening brace after the name the whole block counts as the body
+        "_rest": F.when(brace > 0, F.substr(F.col("_from_name"), brace + 1)).otherwise(chosen),
+        "_cut": closing_position(F.col("_rest")),
+    }
+    for column, value in steps.items():
+        df = df.withColumn(column, value)
+    body = F.when(F.col("_cut").isNull(), F.col("_rest")).otherwise(F.substr("_rest", F.lit(1), F.col("_cut") - 1))
+    code = (
         F.when(answer.isNull() | name.isNull(), F.lit(None).cast("string"))
         .when(F.contains(chosen, name), F.concat(body, F.lit("}")))
         .otherwise(chosen)
     )
+    return df.withColumn(out, code).drop(*steps)
 
 
 def clean_offline(prompt: Column, output: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.estimators import expected_speedup_term, success_at_k
 from gridloom.functions.numeric import resource_count
 from gridloom.functions.rules import FIXED_RESOURCES, FIXED_SLICE, METRIC_KS, SCALING_NS
-from gridloom.operators.index import rank_rows
+from gridloom.operators.index import ordinal, rank_rows
 
 OUTPUT_KEY = ["name", "parallelism_model", "output_idx"]
 GROUP = ["name", "parallelism_model", "problem_type"]
@@ -107,12 +107,15 @@ def _samples(runs: DataFrame, overrides: dict[str, int] | None) -> DataFrame:
 
 
 def _ranked(samples: DataFrame, by: list[str], needed: bool = True) -> DataFrame:
-    """Add ``rank`` (1-based by runtime), group size and baseline; weights for k = 1 need no rank."""
-    size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.min("best_sequential_runtime").alias("baseline"))
+    """Add ``rank`` (1-based by runtime), group size and baseline; weights for k = 1 need no rank.
+
+    With ranks, size and baseline are read from the staged ranking, not from the samples again.
+    """
     if needed:
         samples = rank_rows(samples, ["runtime", "output_idx", "run_idx"], "rank", by).withColumn("rank", F.col("rank") + 1)
     else:
         samples = samples.withColumn("rank", F.lit(1))
+    size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.min("best_sequential_runtime").alias("baseline"))
     return samples.join(size, by)
 
 
@@ -121,7 +124,7 @@ def _runtime_table(runs: DataFrame, ks: list[int], strict: bool, overrides: dict
     ranked = _ranked(_samples(runs, overrides), by)
     # efficiency_max pairs the j-th smallest runtime with the resources of the j-th output
     cheapest = ranked.where("kind = 'efficiency_max'").select(*by, "output_idx", "resources")
-    listed = rank_rows(cheapest, ["output_idx"], "rank", by).select(
+    listed = ordinal(cheapest, "output_idx", "rank", by).select(
         *by, (F.col("rank") + 1).alias("rank"), F.col("resources").alias("paired")
     )
     ranked = ranked.join(listed, [*by, "rank"], "left")

@@ -313,8 +313,9 @@ def test_balanced(spark, value, expected):
 def test_clean_chat_answer(spark):
     ask = "### R\n```c++\nvoid f(int x) {```\n### Response"
 
-    def clean(answer, p=ask):
-        return text_of(spark, text.clean_chat_answer, o=answer, p=p, t="### Response")
+    def clean(answer):
+        df = spark.createDataFrame([(answer, ask)], "o string, p string")
+        return text.clean_chat_answers(df, "o", "p", "### Response").first().code
 
     assert clean("x ### Response\n```\nvoid f(int x) { a; { b; } }\nint z;\n```\n") == " a; { b; } }"
     assert clean("### Response\n```\nint g;\n```\ntext\n```\nvoid f(int x) { a; }\n```") == " a; }"
