@@ -154,7 +154,7 @@ def _(t):
 
 @query("first_letter_counts", _histogram_sql("w AS (SELECT lower(text) AS s FROM documents)", 26, "ascii(s) - 97", "w"))
 def _(t):
-    return histogram.first_letter_counts(t.documents.select(F.lower("text").alias("s")))
+    return histogram.first_letter_counts(t.documents, "text", fold_case=True)
 
 
 @query("fraction_quarter_counts", _histogram_sql(v.VEC, 4, "floor((x - trunc(x)) * 4)", "vec"))
@@ -291,7 +291,7 @@ def _(t):
 
 @query("kth_smallest", f"WITH {v.IVEC} SELECT x AS result FROM ivec ORDER BY x LIMIT 1 OFFSET 99")
 def _(t):
-    return sort.kth_smallest(v.ivec(t), 100)
+    return sort.kth_smallest(v.ivec(t), 100, bits=32)  # 32-bit values
 
 
 @query("kth_smallest_price", "SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS result FROM orders ORDER BY 1 LIMIT 1 OFFSET 499")

@@ -456,8 +456,8 @@ _CUT = (
     " FROM bodies b LEFT JOIN cuts c ON b.doc_id = c.doc_id",
 )
 def _(t):
-    cleaned = text.clean_completion(F.col("output"), F.col("prompt"))
-    return v.completions(t).select("doc_id", F.length(cleaned).cast("bigint").alias("n"), F.md5(cleaned).alias("digest"))
+    cleaned = text.clean_completions(v.completions(t), "output", "prompt", "cleaned")
+    return cleaned.select("doc_id", F.length("cleaned").cast("bigint").alias("n"), F.md5("cleaned").alias("digest"))
 
 
 @query(

@@ -57,9 +57,10 @@ def quadrant(x: Column, y: Column) -> Column:
     )
 
 
-def letter_bin(s: Column) -> Column:
-    """0..25 for a lowercase a-z first letter, else null."""
-    code = F.ascii(F.substring(s, 1, 1)) - 97
+def letter_bin(s: Column, fold_case: bool = False) -> Column:
+    """0..25 for a lowercase a-z first letter (either case with ``fold_case``), else null."""
+    first = F.substring(s, 1, 1)
+    code = F.ascii(F.lower(first) if fold_case else first) - 97
     return F.when(code.between(0, 25), code)
 
 

@@ -102,6 +102,14 @@ def clean_completion(output: Column, prompt: Column) -> Column:
     return F.when(cut.isNull(), body).otherwise(F.substr(body, F.lit(1), cut))
 
 
+def clean_completions(df: DataFrame, output: str, prompt: str, out: str = "code") -> DataFrame:
+    """``clean_completion`` as a chain of columns, so that each part is computed once per row."""
+    df = df.withColumn("_body", strip(after_first(F.col(output), F.col(prompt))))
+    df = df.withColumn("_cut", closing_position(F.col("_body")))
+    code = F.when(F.col("_cut").isNull(), F.col("_body")).otherwise(F.substr("_body", F.lit(1), F.col("_cut")))
+    return df.withColumn(out, code).drop("_body", "_cut")
+
+
 def clean_chat_answers(df: DataFrame, output: str, prompt: str, tag: str, out: str = "code") -> DataFrame:
     """Add the function body found in a chat answer: after the response tag, from a fenced block if any.
 

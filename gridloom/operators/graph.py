@@ -46,11 +46,17 @@ def component_labels(
             ).first()
         )
 
+    def meet(left: DataFrame, right: DataFrame, on: str, spread: str, how: str, rows: int) -> DataFrame:
+        # the pair table never grows, so a small one cannot hold a hot key
+        if rows <= salting.get("hot_rows", 1_000_000):
+            return left.join(right, on, how)
+        return salted_join(left, right, [on], [spread], how, **salting)
+
     state = fingerprint(pairs)
     for _ in range(max_rounds):
         lowest = pairs.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = (
-            salted_join(pairs, lowest.select(F.col("hi").alias("lo"), "m"), ["lo"], ["hi"], "left", **salting)
+            meet(pairs, lowest.select(F.col("hi").alias("lo"), "m"), "lo", "hi", "left", state[0])
             .select("hi", F.coalesce("m", "lo").alias("lo"))
             .distinct()
         )
@@ -58,7 +64,7 @@ def component_labels(
         hung = stage(hung, "hung")
         lowest = hung.groupBy("hi").agg(F.min("lo").alias("m"))
         contracted = (
-            salted_join(hung, lowest, ["hi"], ["lo"], **salting)
+            meet(hung, lowest, "hi", "lo", "inner", state[0])
             .where(F.col("lo") > F.col("m"))
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionByName(lowest.select("hi", F.col("m").alias("lo")))

@@ -37,8 +37,8 @@ def quadrant_counts(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return binned_counts(df, numeric.quadrant(F.col(x), F.col(y)), 4)
 
 
-def first_letter_counts(df: DataFrame, s: str = "s") -> DataFrame:
-    return binned_counts(df, numeric.letter_bin(F.col(s)), 26)
+def first_letter_counts(df: DataFrame, s: str = "s", fold_case: bool = False) -> DataFrame:
+    return binned_counts(df, numeric.letter_bin(F.col(s), fold_case), 26)
 
 
 def fraction_quarter_counts(df: DataFrame, x: str = "x") -> DataFrame:

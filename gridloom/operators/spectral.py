@@ -41,18 +41,30 @@ def _dft(values: np.ndarray, sign: int) -> np.ndarray:
     return np.fft.fft(values, axis=0) if sign < 0 else np.fft.ifft(values, axis=0) * len(values)
 
 
-def _whole(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["size"].iloc[0])
-        values = np.zeros(size, dtype=complex)
-        values[pdf["n"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        spectrum = _dft(values, sign)
-        frame = pd.DataFrame({"k": np.arange(size), "re": spectrum.real, "im": spectrum.imag})
-        for name, value in zip(keys, key):
-            frame[name] = value
-        return frame.assign(size=size)[[*keys, "size", "k", "re", "im"]]
+def _whole(series: DataFrame, keys: list[str], sign: int, cells: int) -> DataFrame:
+    """Short series, many per task group: groups hold about ``GROUP_CELLS`` of all ``cells``."""
+    fields = _fields(series, keys)
 
-    return series.groupBy(*keys).applyInPandas(run, f"{_fields(series, keys)}, size bigint, k bigint, re double, im double")
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys, kind="stable")
+        names = pdf[keys]
+        starts = np.flatnonzero(np.append(True, (names.to_numpy()[1:] != names.to_numpy()[:-1]).any(axis=1)))
+        sizes = pdf["size"].to_numpy()[starts]
+        n, z = pdf["n"].to_numpy(), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        spectra = []
+        for start, end, size in zip(starts, [*starts[1:], len(pdf)], sizes):
+            values = np.zeros(size, dtype=complex)
+            values[n[start:end]] = z[start:end]
+            spectra.append(_dft(values, sign))
+        frame = names.iloc[np.repeat(starts, sizes)].reset_index(drop=True)
+        spectrum = np.concatenate(spectra)
+        return frame.assign(
+            size=np.repeat(sizes, sizes), k=np.concatenate([np.arange(s) for s in sizes]), re=spectrum.real, im=spectrum.imag
+        )
+
+    groups = -(-cells // GROUP_CELLS)
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group")
+    return series.groupBy(group).applyInPandas(run, f"{fields}, size bigint, k bigint, re double, im double")
 
 
 def _four_step(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
@@ -150,30 +162,30 @@ def transform(
 
     ``pad`` extends each series with zeros to a power of two. Series up to ``whole_series`` long are
     transformed one per task group; longer ones are split over many tasks. Which of these plans are
-    needed is decided from two aggregated numbers about the lengths.
+    needed is decided from a few aggregated numbers about the lengths.
     """
     size = F.col("size")
     sizes = df.groupBy(*keys).agg((F.max("n") + 1).alias("size"))
     if pad:
         sizes = sizes.withColumn("size", _next_power_of_two(size))
     long = size > whole_series
-    any_short, any_long, any_odd = sizes.agg(
-        F.bool_or(~long), F.bool_or(long & _is_power_of_two(size)), F.bool_or(long & ~_is_power_of_two(size))
+    short_cells, any_long, any_odd = sizes.agg(
+        F.sum(F.when(~long, size)), F.bool_or(long & _is_power_of_two(size)), F.bool_or(long & ~_is_power_of_two(size))
     ).first()
     imaginary = F.col("im") if "im" in df.columns else F.lit(0.0)
     series = df.select(
         *keys, F.col("n").cast("bigint").alias("n"), F.col("re").cast("double").alias("re"), imaginary.cast("double").alias("im")
     ).join(sizes, keys)
     plans = []
-    if any_short:
-        plans.append(_whole(series.where(~long), keys, sign))
+    if short_cells:
+        plans.append(_whole(series.where(~long), keys, sign, short_cells))
     if any_long:
         plans.append(_four_step(series.where(long & _is_power_of_two(size)), keys, sign))
     if any_odd:
         odd = long & ~_is_power_of_two(size)
         plans.append(_chirp(series.where(odd), sizes.where(odd), keys, sign))
     if not plans:
-        return _whole(series, keys, sign)
+        return _whole(series, keys, sign, 1)
     result = plans[0]
     for plan in plans[1:]:
         result = result.unionByName(plan)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ORDER = 2048
+GROUP_CELLS = 1 << 16  # matrix entries that one task group holds on average; a system is never split
 
 
 def _square(cells: pd.DataFrame, order: int, max_order: int) -> np.ndarray:
@@ -26,6 +27,20 @@ def _order(*frames: pd.DataFrame) -> int:
     return 1 + max(int(f[c].max()) for f in frames for c in ("row", "col") if c in f and len(f))
 
 
+def _by_system(frame: pd.DataFrame) -> dict:
+    """Rows per system. Many small systems share a group: one call per system would cost more than solving it."""
+    ordered = frame.sort_values("system_id", kind="stable")
+    ids, starts = np.unique(ordered["system_id"].to_numpy(), return_index=True)
+    ends = [*starts[1:], len(ordered)]
+    return {i: ordered.iloc[s:e] for i, s, e in zip(ids, starts, ends)}
+
+
+def _group_of_systems(entries: DataFrame):
+    """Group number of a row; the count of groups follows the number of entries."""
+    groups = entries.agg(F.ceil((F.count(F.lit(1)) + 1) / GROUP_CELLS)).scalar()
+    return F.pmod(F.xxhash64("system_id"), groups)
+
+
 def _eliminate(m: np.ndarray, pivoting: bool) -> bool:
     """Reduce the left square part of ``m`` to upper triangular form in place; False on a zero pivot."""
     n = m.shape[0]
@@ -61,23 +76,38 @@ def solve(
     matrix = unique_entries(a, order_by).select("system_id", "row", "col", F.col("value").cast("double").alias("value"))
     right = b.select("system_id", "row", F.col("value").cast("double").alias("value"))
 
-    def run(key, cells: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+    def one(cells: pd.DataFrame, rhs: pd.DataFrame) -> tuple[np.ndarray, bool]:
         order = _order(cells, rhs)
-        full = _square(cells, order, max_order)
         column = np.zeros((order, 1))
         column[rhs["row"].to_numpy(), 0] = rhs["value"].to_numpy()
-        m = np.hstack([full, column])
-        solved = _eliminate(m, pivot == "partial")
+        m = np.hstack([_square(cells, order, max_order), column])
         x = np.zeros(order)
-        if solved:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                for i in range(order - 1, -1, -1):
-                    x[i] = (m[i, order] - m[i, i + 1 : order] @ x[i + 1 :]) / m[i, i]
-        return pd.DataFrame({"system_id": key[0], "row": np.arange(order), "x": x, "solved": solved})
+        if not _eliminate(m, pivot == "partial"):
+            return x, False
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i in range(order - 1, -1, -1):
+                x[i] = (m[i, order] - m[i, i + 1 : order] @ x[i + 1 :]) / m[i, i]
+        return x, True
 
+    def run(key, cells: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+        left, right_sides = _by_system(cells), _by_system(rhs)
+        empty_cells, empty_rhs = cells.iloc[:0], rhs.iloc[:0]
+        ids = sorted(left.keys() | right_sides.keys())
+        answers = [one(left.get(i, empty_cells), right_sides.get(i, empty_rhs)) for i in ids]
+        sizes = [len(x) for x, _ in answers]
+        return pd.DataFrame(
+            {
+                "system_id": np.repeat(np.array(ids, dtype=object), sizes),
+                "row": np.concatenate([np.arange(n) for n in sizes]),
+                "x": np.concatenate([x for x, _ in answers]),
+                "solved": np.repeat([ok for _, ok in answers], sizes),
+            }
+        )
+
+    group = _group_of_systems(matrix)
     return (
-        matrix.groupBy("system_id")
-        .cogroup(right.groupBy("system_id"))
+        matrix.groupBy(group.alias("_group"))
+        .cogroup(right.groupBy(group.alias("_group")))
         .applyInPandas(run, f"system_id {kind}, row bigint, x double, solved boolean")
     )
 
@@ -93,7 +123,7 @@ def lu(a: DataFrame, order_by: str | None = None, max_order: int = MAX_ORDER) ->
     kind = a.schema["system_id"].dataType.simpleString()
     matrix = unique_entries(a, order_by).select("system_id", "row", "col", F.col("value").cast("double").alias("value"))
 
-    def run(key, cells: pd.DataFrame) -> pd.DataFrame:
+    def one(system, cells: pd.DataFrame) -> list[pd.DataFrame]:
         order = _order(cells)
         upper = _square(cells, order, max_order)
         lower = np.eye(order)
@@ -102,12 +132,14 @@ def lu(a: DataFrame, order_by: str | None = None, max_order: int = MAX_ORDER) ->
                 lower[i + 1 :, i] = upper[i + 1 :, i] / upper[i, i]
                 upper[i + 1 :, i:] -= np.outer(lower[i + 1 :, i], upper[i, i:])
         rows, cols = np.indices((order, order)).reshape(2, -1)
-        parts = [
-            pd.DataFrame({"part": name, "row": rows, "col": cols, "value": values.ravel()})
+        return [
+            pd.DataFrame({"system_id": system, "part": name, "row": rows, "col": cols, "value": values.ravel()})
             for name, values in (("L", np.tril(lower)), ("U", np.triu(upper)))
         ]
-        return pd.concat(parts).assign(system_id=key[0])[["system_id", "part", "row", "col", "value"]]
 
-    return matrix.groupBy("system_id").applyInPandas(
+    def run(key, cells: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([part for i, c in _by_system(cells).items() for part in one(i, c)])
+
+    return matrix.groupBy(_group_of_systems(matrix).alias("_group")).applyInPandas(
         run, f"system_id {kind}, part string, row bigint, col bigint, value double"
     )
