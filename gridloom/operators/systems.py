@@ -15,24 +15,22 @@ MAX_ORDER = 2048
 GROUP_CELLS = 1 << 16  # matrix entries that one task group holds on average; a system is never split
 
 
-def _square(cells: pd.DataFrame, order: int, max_order: int) -> np.ndarray:
+def _square(entries: tuple[np.ndarray, ...], order: int, max_order: int) -> np.ndarray:
     if order > max_order:
         raise ValueError(f"system of order {order} is larger than max_order={max_order}")
+    rows, cols, values = entries
     full = np.zeros((order, order))
-    full[cells["row"].to_numpy(), cells["col"].to_numpy()] = cells["value"].to_numpy()
+    full[rows, cols] = values
     return full
 
 
-def _order(*frames: pd.DataFrame) -> int:
-    return 1 + max(int(f[c].max()) for f in frames for c in ("row", "col") if c in f and len(f))
-
-
-def _by_system(frame: pd.DataFrame) -> dict:
-    """Rows per system. Many small systems share a group: one call per system would cost more than solving it."""
-    ordered = frame.sort_values("system_id", kind="stable")
-    ids, starts = np.unique(ordered["system_id"].to_numpy(), return_index=True)
-    ends = [*starts[1:], len(ordered)]
-    return {i: ordered.iloc[s:e] for i, s, e in zip(ids, starts, ends)}
+def _by_system(frame: pd.DataFrame, columns: list[str]) -> dict:
+    """Column arrays per system. Many small systems share a group: one call each would cost more than the solving."""
+    ids = frame["system_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    found, starts = np.unique(ids[order], return_index=True)
+    arrays = [frame[c].to_numpy()[order] for c in columns]
+    return {i: tuple(a[s:e] for a in arrays) for i, s, e in zip(found, starts, [*starts[1:], len(ids)])}
 
 
 def _group_of_systems(entries: DataFrame):
@@ -76,11 +74,11 @@ def solve(
     matrix = unique_entries(a, order_by).select("system_id", "row", "col", F.col("value").cast("double").alias("value"))
     right = b.select("system_id", "row", F.col("value").cast("double").alias("value"))
 
-    def one(cells: pd.DataFrame, rhs: pd.DataFrame) -> tuple[np.ndarray, bool]:
-        order = _order(cells, rhs)
+    def one(entries: tuple, rhs: tuple) -> tuple[np.ndarray, bool]:
+        order = 1 + max(int(part.max()) for part in (*entries[:2], rhs[0]) if len(part))
         column = np.zeros((order, 1))
-        column[rhs["row"].to_numpy(), 0] = rhs["value"].to_numpy()
-        m = np.hstack([_square(cells, order, max_order), column])
+        column[rhs[0], 0] = rhs[1]
+        m = np.hstack([_square(entries, order, max_order), column])
         x = np.zeros(order)
         if not _eliminate(m, pivot == "partial"):
             return x, False
@@ -90,10 +88,10 @@ def solve(
         return x, True
 
     def run(key, cells: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        left, right_sides = _by_system(cells), _by_system(rhs)
-        empty_cells, empty_rhs = cells.iloc[:0], rhs.iloc[:0]
+        left, right_sides = _by_system(cells, ["row", "col", "value"]), _by_system(rhs, ["row", "value"])
+        none = np.zeros(0, dtype=int)
         ids = sorted(left.keys() | right_sides.keys())
-        answers = [one(left.get(i, empty_cells), right_sides.get(i, empty_rhs)) for i in ids]
+        answers = [one(left.get(i, (none, none, none)), right_sides.get(i, (none, none))) for i in ids]
         sizes = [len(x) for x, _ in answers]
         return pd.DataFrame(
             {
@@ -123,22 +121,32 @@ def lu(a: DataFrame, order_by: str | None = None, max_order: int = MAX_ORDER) ->
     kind = a.schema["system_id"].dataType.simpleString()
     matrix = unique_entries(a, order_by).select("system_id", "row", "col", F.col("value").cast("double").alias("value"))
 
-    def one(system, cells: pd.DataFrame) -> list[pd.DataFrame]:
-        order = _order(cells)
-        upper = _square(cells, order, max_order)
+    def one(entries: tuple) -> tuple[np.ndarray, np.ndarray]:
+        order = 1 + max(int(part.max()) for part in entries[:2])
+        upper = _square(entries, order, max_order)
         lower = np.eye(order)
         with np.errstate(divide="ignore", invalid="ignore"):
             for i in range(order - 1):
                 lower[i + 1 :, i] = upper[i + 1 :, i] / upper[i, i]
                 upper[i + 1 :, i:] -= np.outer(lower[i + 1 :, i], upper[i, i:])
-        rows, cols = np.indices((order, order)).reshape(2, -1)
-        return [
-            pd.DataFrame({"system_id": system, "part": name, "row": rows, "col": cols, "value": values.ravel()})
-            for name, values in (("L", np.tril(lower)), ("U", np.triu(upper)))
-        ]
+        return lower, np.triu(upper)
 
     def run(key, cells: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([part for i, c in _by_system(cells).items() for part in one(i, c)])
+        systems = _by_system(cells, ["row", "col", "value"])
+        factors = [one(entries) for entries in systems.values()]
+        areas = [lower.size for lower, _ in factors]
+        places = [np.indices(lower.shape).reshape(2, -1) for lower, _ in factors]
+        where = pd.DataFrame(
+            {
+                "system_id": np.repeat(np.array(list(systems), dtype=object), areas),
+                "row": np.concatenate([p[0] for p in places]),
+                "col": np.concatenate([p[1] for p in places]),
+            }
+        )
+        parts = [
+            where.assign(part=name, value=np.concatenate([f[i].ravel() for f in factors])) for i, name in enumerate("LU")
+        ]
+        return pd.concat(parts)[["system_id", "part", "row", "col", "value"]]
 
     return matrix.groupBy(_group_of_systems(matrix).alias("_group")).applyInPandas(
         run, f"system_id {kind}, part string, row bigint, col bigint, value double"

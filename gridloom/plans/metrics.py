@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.estimators import expected_speedup_term, success_at_k
+from gridloom.functions.estimators import choose, expected_speedup_term, success_at_k
 from gridloom.functions.numeric import resource_count
 from gridloom.functions.rules import FIXED_RESOURCES, FIXED_SLICE, METRIC_KS, SCALING_NS
 from gridloom.operators.index import ordinal, rank_rows
+from gridloom.runtime import stage
 
 OUTPUT_KEY = ["name", "parallelism_model", "output_idx"]
 GROUP = ["name", "parallelism_model", "problem_type"]
@@ -77,63 +78,89 @@ def used_resources() -> Column:
     )
 
 
-def _samples(runs: DataFrame, overrides: dict[str, int] | None) -> DataFrame:
+def _outputs(runs: DataFrame) -> DataFrame:
+    """Everything the metrics need per output, from one aggregation of the runs."""
+    valid = lambda c: F.when(F.col("is_valid"), c)
+    cost = F.col("runtime") * used_resources()
+    order = F.when(F.col("is_valid") & cost.isNotNull(), F.struct(cost, "run_idx"))
+    return runs.groupBy(*GROUP, "output_idx").agg(
+        F.count("did_build").alias("attempts"),
+        F.count_if("did_build").alias("builds"),
+        F.coalesce(F.bool_and("is_valid"), F.lit(True)).alias("all_valid"),
+        F.min(valid(F.col("runtime"))).alias("best"),
+        F.min(valid(F.col("best_sequential_runtime"))).alias("best_sequential_runtime"),
+        F.coalesce(F.bool_or(valid(F.coalesce("run_idx", F.lit(0)) == 0)), F.lit(False)).alias("has_first"),
+        F.min_by(F.struct("runtime", used_resources().alias("resources")), order).alias("cheapest"),
+    )
+
+
+def _shares(outputs: DataFrame, ks: list[int], per_output_builds: bool) -> DataFrame:
+    """build@k and pass@k from the per-output table, in one aggregation."""
+    attempts, builds = (F.count(F.lit(1)), F.count_if(F.col("builds") > 0)) if per_output_builds else (F.sum("attempts"), F.sum("builds"))
+    counts = outputs.groupBy(*GROUP).agg(
+        attempts.alias("attempts"), builds.alias("builds"), F.count(F.lit(1)).alias("outputs"), F.count_if("all_valid").alias("valid")
+    )
+    shares = counts.select(
+        *RESULT,
+        *[success_at_k(F.col("attempts"), F.col("builds"), k).alias(f"build@{k}") for k in ks],
+        *[success_at_k(F.col("outputs"), F.col("valid"), k).alias(f"pass@{k}") for k in ks],
+    )
+    return shares.groupBy(*RESULT).agg(*[F.avg(f"{m}@{k}").alias(f"{m}@{k}") for m in ("build", "pass") for k in ks])
+
+
+def _samples(runs: DataFrame, outputs: DataFrame, overrides: dict[str, int] | None) -> DataFrame:
     """All samples of all runtime metrics: (kind, group, runtime, baseline, resources, order columns)."""
-    valid = runs.where("is_valid")
     row = [*GROUP, "output_idx", F.coalesce("run_idx", F.lit(0)).alias("run_idx"), "runtime", "best_sequential_runtime"]
-    sliced = fixed_slice(valid).select(F.lit("fixed").alias("kind"), *row, fixed_resources(overrides).alias("resources"))
-    cost = F.col("runtime") * used_resources()
-    ranked_run = F.struct("runtime", used_resources().alias("resources"))
-    outputs = valid.groupBy(*GROUP, "output_idx").agg(
-        F.min("runtime").alias("best"),
-        F.min("best_sequential_runtime").alias("best_sequential_runtime"),
-        F.bool_or(F.coalesce("run_idx", F.lit(0)) == 0).alias("has_first"),
-        F.min_by(ranked_run, F.when(cost.isNotNull(), F.struct(cost, "run_idx"))).alias("cheapest"),
+    sliced = fixed_slice(runs.where("is_valid")).select(
+        F.lit("fixed").alias("kind"), *row, fixed_resources(overrides).alias("resources")
+    )
+    case = lambda kind, runtime, resources: F.struct(
+        F.lit(kind).alias("kind"), runtime.alias("runtime"), resources.alias("resources")
     )
     cases = F.array(
+        F.when(F.col("has_first"), case("speedup_max", F.col("best"), F.lit(1.0))),
         F.when(
-            F.col("has_first"), F.struct(F.lit("speedup_max").alias("kind"), F.col("best").alias("runtime"), F.lit(1.0).alias("resources"))
-        ),
-        F.when(
-            F.col("cheapest").isNotNull(),
-            F.struct(F.lit("efficiency_max").alias("kind"), F.col("cheapest.runtime").alias("runtime"), F.col("cheapest.resources").alias("resources")),
+            F.col("cheapest").isNotNull(), case("efficiency_max", F.col("cheapest.runtime"), F.col("cheapest.resources"))
         ),
     )
-    per_output = (
-        outputs.select("*", F.explode(F.array_compact(cases)).alias("case"))
-        .select("case.kind", *GROUP, "output_idx", F.lit(0).alias("run_idx"), "case.runtime", "best_sequential_runtime", "case.resources")
+    per_output = outputs.select("*", F.explode(F.array_compact(cases)).alias("case")).select(
+        "case.kind", *GROUP, "output_idx", F.lit(0).alias("run_idx"), "case.runtime", "best_sequential_runtime", "case.resources"
     )
     return sliced.unionByName(per_output)
 
 
-def _ranked(samples: DataFrame, by: list[str], needed: bool = True) -> DataFrame:
-    """Add ``rank`` (1-based by runtime), group size and baseline; weights for k = 1 need no rank.
+def _ranked(samples: DataFrame, by: list[str], ks: list[int], strict: bool) -> DataFrame:
+    """Add ``rank`` (1-based by runtime), the baseline and C(n, k) of the group; k = 1 alone needs no rank.
 
-    With ranks, size and baseline are read from the staged ranking, not from the samples again.
+    With ranks, sizes and baselines are read from the staged ranking, not from the samples again.
     """
-    if needed:
+    if max(ks) > 1:
         samples = rank_rows(samples, ["runtime", "output_idx", "run_idx"], "rank", by).withColumn("rank", F.col("rank") + 1)
     else:
         samples = samples.withColumn("rank", F.lit(1))
-    size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.min("best_sequential_runtime").alias("baseline"))
-    return samples.join(size, by)
+    size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), F.min("best_sequential_runtime").alias("baseline"))
+    draws = [choose(F.col("_size"), k, strict).alias(f"draws{k}") for k in ks]
+    return samples.join(size.select(*by, "baseline", *draws), by)
+
+
+def _term(k: int, strict: bool, resources: Column | None = None) -> Column:
+    return expected_speedup_term(
+        F.col("rank"), F.col(f"draws{k}"), F.col("runtime"), F.col("baseline"), k, resources, strict
+    )
 
 
-def _runtime_table(runs: DataFrame, ks: list[int], strict: bool, overrides: dict[str, int] | None) -> DataFrame:
+def _runtime_table(samples: DataFrame, ks: list[int], strict: bool) -> DataFrame:
     by = ["kind", *GROUP]
-    ranked = _ranked(_samples(runs, overrides), by)
+    ranked = _ranked(samples, by, [*ks, 2] if max(ks) == 1 else ks, strict)
     # efficiency_max pairs the j-th smallest runtime with the resources of the j-th output
     cheapest = ranked.where("kind = 'efficiency_max'").select(*by, "output_idx", "resources")
     listed = ordinal(cheapest, "output_idx", "rank", by).select(
         *by, (F.col("rank") + 1).alias("rank"), F.col("resources").alias("paired")
     )
-    ranked = ranked.join(listed, [*by, "rank"], "left")
-    resources = F.coalesce("paired", "resources")
-    term = lambda k, res=None: expected_speedup_term(
-        F.col("rank"), F.col("samples"), F.col("runtime"), F.col("baseline"), k, res, strict
-    )
+    ranked = ranked.join(listed, [*by, "rank"], "left").withColumn("resources", F.coalesce("paired", "resources"))
     per_group = ranked.groupBy(*by).agg(
-        *[F.sum(term(k)).alias(f"s{k}") for k in ks], *[F.sum(term(k, resources)).alias(f"e{k}") for k in ks]
+        *[F.sum(_term(k, strict)).alias(f"s{k}") for k in ks],
+        *[F.sum(_term(k, strict, F.col("resources"))).alias(f"e{k}") for k in ks],
     )
     picks = []
     for k in ks:
@@ -163,10 +190,10 @@ def metric_table(
     n < k; ``resources`` overrides the charged resources by model.
     """
     ks = ks or METRIC_KS
-    builds = build_at_k(runs, ks, per_output_builds)
-    passes = pass_at_k(correctness(runs), ks)
-    times = _runtime_table(runs, ks, strict, resources)
-    table = builds.join(passes, RESULT, "full_outer").join(times, RESULT, "full_outer")
+    # one row per output, read three times below
+    outputs = stage(_outputs(runs), "outputs")
+    times = _runtime_table(_samples(runs, outputs, resources), ks, strict)
+    table = _shares(outputs, ks, per_output_builds).join(times, RESULT, "full_outer")
     ordered = [f"{m}@{k}" for k in ks for m in ("build", "pass", "speedup", "speedup_max", "efficiency", "efficiency_max")]
     filled = [c for c in ordered if not c.startswith(("build", "pass"))]
     return _label(table.fillna(0.0, subset=filled).select(*RESULT, *ordered), model_name)
@@ -189,11 +216,8 @@ def scaling_table(
         .where(F.col("n").isin(ns))
     )
     by = [*GROUP, "n"]
-    ranked = _ranked(samples, by, needed=k > 1)
-    term = lambda res=None: expected_speedup_term(
-        F.col("rank"), F.col("samples"), F.col("runtime"), F.col("baseline"), k, res, strict
-    )
-    per_group = ranked.groupBy(*by).agg(F.sum(term()).alias("s"), F.sum(term(F.col("n"))).alias("e"))
+    ranked = _ranked(samples, by, [k], strict)
+    per_group = ranked.groupBy(*by).agg(F.sum(_term(k, strict)).alias("s"), F.sum(_term(k, strict, F.col("n"))).alias("e"))
     picks = [(f"{m}_{c}@{k}", c, v) for c in ns for m, v in (("speedup", "s"), ("efficiency", "e"))]
     table = per_group.groupBy(*RESULT).agg(*[F.avg(F.when(F.col("n") == c, F.col(v))).alias(name) for name, c, v in picks])
     return _label(table.fillna(0.0), model_name)
