@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.catalog import views as v
@@ -11,6 +13,7 @@ from gridloom.functions.rules import CORPUS_MARKS, MODELS
 from gridloom.operators import reduce
 from gridloom.plans import corpus, evaluation, ingest, metrics, prompts, restore
 from gridloom.runtime import stage_root
+from gridloom.sources import results
 from gridloom.sources.results import RESULTS
 from gridloom.streaming import flows
 
@@ -100,6 +103,16 @@ def _(t):
     return _round_all(metrics.metric_table(v.clean_runs(t), _KS), metrics.RESULT)
 
 
+@query(
+    "metric_report",
+    f"WITH m AS ({_metric_sql([1])}) SELECT 'first' AS model, parallelism_model AS \"execution model\", problem_type AS \"problem type\","
+    ' "build@1", "pass@1", "speedup@1", "speedup_max@1", "efficiency@1", "efficiency_max@1" FROM m',
+)
+def _(t):
+    table = metrics.metric_table(v.clean_runs(t), [1], model_name="first")
+    return _round_all(metrics.report_names(table), ["model", "execution model", "problem type"])
+
+
 @query(
     "pass_at_k",
     f"WITH {v.CLEAN_RUNS}, o AS (SELECT {_GROUPS}, output_idx, bool_and(is_valid) AS ok FROM clean GROUP BY ALL),"
@@ -250,6 +263,69 @@ def _(t):
     return flat.select("name", "output_idx", "run_idx", "is_valid", "runtime", F.md5("generated_output").alias("generated"), "prompted")
 
 
+def _run_folder(t, label: str) -> str:
+    return f"{stage_root(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_RUN_COLUMNS = ["name", "output_idx", "run_idx", "is_valid", "runtime", "prompted"]
+
+
+def _flat_sql(generated: str) -> str:
+    return (
+        f"WITH l AS (SELECT d.*, quality, toxic, {generated} AS g FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+        " SELECT 'd' || doc_id AS name, 0 AS output_idx, 0 AS run_idx, quality = 1 AS is_valid, CAST(n_chars AS DOUBLE) AS runtime, false AS prompted, md5(g) AS generated FROM l"
+        " UNION ALL SELECT 'd' || doc_id, 0, 1, toxic = 1, CAST(n_chars + 1 AS DOUBLE), false, md5(g) FROM l"
+        " UNION ALL SELECT 'd' || doc_id, 1, NULL, NULL, NULL, false, md5('failed') FROM l"
+    )
+
+
+@query("results_json_round_trip", _flat_sql("text"))
+def _(t):
+    """Nested results written as JSON lines, read back with the explicit schema and flattened."""
+    path = _run_folder(t, "results")
+    results.append_cache(_nested(t).select(*RESULTS.names), path)
+    flat = ingest.flatten_runs(results.read_results(t.spark, path, lines=True))
+    return flat.select(*_RUN_COLUMNS, F.md5("generated_output").alias("generated"))
+
+
+@query("runs_csv_round_trip", _flat_sql("replace(text, chr(10), '\\n')"))
+def _(t):
+    """Flat runs as CSV with escaped line breaks, and back."""
+    path = _run_folder(t, "csv")
+    results.write_flat_csv(ingest.flatten_runs(_nested(t).select(*RESULTS.names)), path)
+    return results.read_flat_csv(t.spark, path).select(*_RUN_COLUMNS, F.md5("generated_output").alias("generated"))
+
+
+@query(
+    "runs_by_model_table",
+    f"WITH {v.RUNS} SELECT name, count(*) AS runs, count(*) FILTER (WHERE is_valid) AS valid FROM runs WHERE parallelism_model = 'omp' GROUP BY 1",
+)
+def _(t):
+    """Runs at rest by execution model; the filter reads one folder."""
+    path = _run_folder(t, "runs")
+    results.write_runs(v.runs(t), path)
+    stored = t.spark.read.parquet(path).where(F.col("parallelism_model") == "omp")
+    return stored.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.count_if("is_valid").alias("valid"))
+
+
+@query(
+    "response_cache",
+    "SELECT conv_id, len(texts) AS samples, md5(array_to_string(texts, '|')) AS digest FROM (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY 1)",
+)
+def _(t):
+    """Two appends to a JSON Lines cache, read back as one table."""
+    path = _run_folder(t, "responses")
+    gathered = evaluation.assemble(t.conversations, ["conv_id"], "turn", ["text"])
+    rows = gathered.select(F.col("conv_id").cast("string").alias("name"), F.col("outputs.text").alias("outputs"))
+    even = F.col("name").cast("bigint") % 2 == 0
+    results.append_cache(rows.where(even), path)
+    results.append_cache(rows.where(~even), path)
+    cached = results.read_cache(t.spark, path)
+    return cached.select(
+        F.col("name").cast("bigint").alias("conv_id"), F.size("outputs").cast("bigint").alias("samples"), F.md5(F.array_join("outputs", "|")).alias("digest")
+    )
+
+
 @query(
     "result_states",
     "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'none' ELSE 'all' END AS state, l.doc_id IS NOT NULL AS usable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
@@ -683,12 +759,6 @@ def _(t):
     return corpus.usage_by_language(t.documents, "text", "lang", _MARKS_BY_LANGUAGE)
 
 
-def _run_folder(t, label: str) -> str:
-    import uuid
-
-    return f"{stage_root(t.spark)}/{label}-{uuid.uuid4().hex}"
-
-
 @query("streamed_marks", _MARKED_SQL)
 def _(t):
     """The same counters from a file stream with checkpoint and snapshots."""
