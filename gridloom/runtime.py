@@ -65,7 +65,7 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int = 1_000_000, share: int
     decide, so that every reader of the table agrees on it.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (
         counts.where((F.col("_n") > hot_rows) & (F.col("_n") * share > total))
         .withColumn("_slices", F.ceil(F.col("_n") * share / total).cast("int"))

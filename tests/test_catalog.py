@@ -71,3 +71,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(source,src3)" in plan
     plan = plan_of(spark, "average")
     assert "ReadSchema: struct<value:double>" in plan
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    """Python workers need no copy of the package."""
+    import subprocess
+
+    from pyspark import cloudpickle
+
+    from gridloom.operators.geometry import _corners
+
+    code = "import pickle, sys, numpy; print(len(pickle.load(sys.stdin.buffer)(numpy.array([[0, 0], [2, 0], [0, 2], [.5, .5]]))))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_corners), capture_output=True, cwd=tmp_path, check=True)
+    assert done.stdout.strip() == b"3"
