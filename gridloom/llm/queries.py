@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, metric_join, near_duplicates, packing, quality, repeated_passages, token_output
+from gridloom.llm import decontamination, language_id, lattice_lm, license_scan, metric_join, near_duplicates, packing, quality, repeated_passages, token_output
 from gridloom.llm.common import held_out
 from gridloom.runtime import stage_root
 
@@ -40,11 +40,27 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"), words=3, percent=85).drop("key")
 
 
+@query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, folder, "documents"))
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out("doc_id", 10, 0).alias("held_out"))
+    return lattice_lm.score_texts(docs)
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", held_out("doc_id", 3, 1))
