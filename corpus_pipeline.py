@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, near_duplicates, packing, repeated_passages
+from gridloom.llm import decontamination, language_id, near_duplicates, packing, repeated_passages
 from gridloom.llm.common import stage
 
 #: a document whose best language has a smaller share of the posterior is rejected, as is one without a letter
@@ -43,8 +43,6 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a test item of ``benchmark``, exactly or with few edits."""
-    from gridloom.llm import decontamination
-
     return decontamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
