@@ -7,8 +7,9 @@ for independent hash functions, at the cost of about ``n + t log t`` hashes inst
 
 Bands of the sketch give buckets. A link is never looked for among all pairs of a bucket: equal sets are one
 node; nodes are first compared with the most central node of their buckets; nodes that this leaves in
-different components are compared with some members of the largest component in each of their buckets; what
-is still apart after that is compared in full, by a join that Spark splits. Pairs inside one component need no
+different components are compared with some members of the largest component in each of their buckets; of what
+is still apart, nodes with too few shingles that occur anywhere else are out, and the rest is compared in full, by
+a join that Spark splits. Pairs inside one component need no
 comparison, as only components are asked for, so no link is lost.
 """
 
@@ -131,6 +132,29 @@ def similar(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def supported(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``members`` without the nodes that no other one can be linked with.
+
+    A set whose similarity to another one is ``percent`` or more holds that share of its shingles in common with it, so
+    a node of which fewer shingles occur in any other node here is out, whatever its buckets.
+    """
+
+    def sets(frames):
+        import pandas as pd
+
+        known: dict[bytes, int] = {}
+        for frame in frames:
+            yield pd.DataFrame({"node": frame["node"], "h": [shingle_set(t, words, known).view("int64") for t in frame["text"]]})
+
+    here = members.select("node", "n").distinct()
+    wanted = texts.join(here.select("node"), "node").mapInPandas(sets, "node binary, h array<long>")
+    rows = stage(wanted, "open-sets", compression="zstd").select("node", F.explode("h").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1).select("h")
+    common = rows.join(shared, "h").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    enough = here.join(common, "node").where(F.col("common") * 100 >= F.col("n") * percent).select("node")
+    return members.join(enough, "node", "left_semi")
+
+
 def links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``src, dst`` nodes that are linked: enough of them to connect every component."""
     reps = sigs.where(F.col("n") > 0).groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -159,6 +183,7 @@ def links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
             hubs = groups.groupBy("band").agg(F.max(F.struct("many", "component", "hub")).alias("top")).select("band", F.col("top.component").alias("there"), F.col("top.hub.node").alias("other"), F.col("top.hub.n").alias("m"))
             pairs = open_.join(hubs, "band").where(F.col("component") != F.col("there"))
         else:
+            open_ = supported(open_, texts, words, percent)
             others = open_.select("band", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
             pairs = open_.join(others, "band").where(F.col("component") < F.col("there"))
         pairs = pairs.where(similar("n", "m", percent)).select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct()
