@@ -228,15 +228,17 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         import pandas as pd
 
         pieces = frame["bytes"].tolist()
-        out, names = [], []
+        out, names, told = [], [], set()
         for row, hit in zip(frame.itertuples(index=False), shard_repeats(pieces, length)):
             if row.many == 1:
                 out += [(row.context, row.piece, lo, hi, None) for lo, hi in runs_of(hit)]
             if row.parts > 1:  # other shards hold this context too
-                names += [
-                    (row.context, row.piece, x, x + 1, hashlib.blake2b(row.bytes[x : x + length], digest_size=16).digest())
-                    for x in range(len(hit))
-                ]
+                for x, again in enumerate(hit):
+                    name = hashlib.blake2b(row.bytes[x : x + length], digest_size=16).digest()
+                    if not again or name not in told:  # repeats inside the shard are settled: one tells the others
+                        names.append((row.context, row.piece, x, x + 1, name))
+                    if again:
+                        told.add(name)
         return pd.DataFrame(out + names, columns=["context", "piece", "lo", "hi", "name"])
 
     def typed(frame: "pd.DataFrame") -> "pd.DataFrame":  # noqa: F821
