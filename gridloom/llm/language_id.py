@@ -93,7 +93,8 @@ class Scorer:
         words = model["tables"][0][1]
         self.model_rows = len(words)
         self.rows = np.zeros((len(words) + 200_000, max(1, len(self.langs))))
-        self.rows[: len(words)] = np.array(list(words.values())).reshape(len(words), -1)
+        if words:
+            self.rows[: len(words)] = list(words.values())
         self.row = {w: i for i, w in enumerate(words)}
         self.grams = model["tables"][1:]
 
