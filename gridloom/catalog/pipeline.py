@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog import views as v
 from gridloom.catalog.registry import query, rounded
 from gridloom.functions import numeric, text
-from gridloom.functions.rules import CORPUS_MARKS, MODELS
+from gridloom.functions.rules import CORPUS_MARKS, MODELS, SCALING_NS
 from gridloom.operators import reduce
 from gridloom.plans import corpus, evaluation, ingest, metrics, prompts, restore
 from gridloom.runtime import stage_root
@@ -19,7 +19,7 @@ from gridloom.streaming import flows
 
 # ---------------------------------------------------------------- metrics
 
-_KS = [1, 5, 20]
+_KS = [1, 5, 10, 20]
 
 
 def _chance_sql(n: str, c: str, k: int) -> str:
@@ -154,7 +154,7 @@ def _(t):
     return metrics.correctness(v.clean_runs(t)).select("name", "parallelism_model", "output_idx", "problem_type", "is_valid")
 
 
-_NS = [1, 8, 64, 128]
+_NS = SCALING_NS
 
 
 def _scaling_sql(model: str, n: str, k: int) -> str:

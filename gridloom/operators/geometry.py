@@ -108,12 +108,13 @@ def closest_pair(
 
 
 def closest_pair_1d(df: DataFrame, x: str = "x", index: str = "i", out: str = "distance") -> DataFrame:
-    """Smallest gap between values (0 for fewer than two).
+    """Smallest gap between values (0 for fewer than two). NaN and null are no values.
 
     One range exchange on (value, position); each partition reports its first and last value and its
     smallest gap, and only those few rows meet in a final window.
     """
     ordered = df.select(F.col(x).cast("double").alias("x"), F.col(index).alias("i"))
+    ordered = ordered.where(F.col("x").isNotNull() & ~F.isnan("x"))
     ordered = ordered.repartitionByRange("x", "i").sortWithinPartitions("x", "i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def max_degree(adjacency: DataFrame, src: str = "src", a: str = "a", out: str =
 
 
 def component_labels(
-    edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 200, **salting
+    edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int | None = None, **salting
 ) -> DataFrame:
     """``(id, component)``: the smallest vertex id reachable from each vertex.
 
@@ -53,7 +55,8 @@ def component_labels(
         return salted_join(left, right, [on], [spread], how, **salting)
 
     state = fingerprint(pairs)
-    for _ in range(max_rounds):
+    rounds = itertools.count() if max_rounds is None else range(max_rounds)
+    for _ in rounds:
         lowest = pairs.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = (
             meet(pairs, lowest.select(F.col("hi").alias("lo"), "m"), "lo", "hi", "left", state[0])

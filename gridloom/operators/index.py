@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.runtime import shuffle_width, stage
+from gridloom.runtime import join_null_safe, shuffle_width, stage
 
 BUCKET_BITS = 16
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
@@ -55,8 +55,7 @@ def running(
     before = before.select(*keys, bucket, f"_before{levels}")
     frame = Window.partitionBy(*keys, bucket).orderBy(index).rowsBetween(Window.unboundedPreceding, frame_end)
     return (
-        rows.withColumn("_local", agg(value).over(frame))
-        .join(before, [*keys, bucket], "left")
+        join_null_safe(rows.withColumn("_local", agg(value).over(frame)), before, [*keys, bucket], "left")
         .withColumn(out, _merge(how, F.col("_local"), F.col(f"_before{levels}")))
         .select(*df.columns, out)
     )
@@ -75,7 +74,7 @@ def rank_rows(
     keys: list[str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """0-based position of each row in sorted order (per non-null ``keys``), ties broken by ``order_by``.
+    """0-based position of each row in sorted order (per ``keys``, of which null is one), ties broken by ``order_by``.
 
     One range exchange on (keys, order_by) splits hot keys and hot values alike as long as
     ``order_by`` ends in a unique column. The sorted copy is staged once; each partition knows its
@@ -106,7 +105,7 @@ def rank_rows(
     if not keys:  # one row per partition: bounded by the partition count
         offsets = F.broadcast(offsets)
     return (
-        staged.join(offsets, [*keys, "_part"])
+        join_null_safe(staged, offsets, [*keys, "_part"])
         .withColumn(out, F.col("_local") + F.col("_offset"))
         .select(*df.columns, out)
     )
@@ -120,4 +119,4 @@ def length(df: DataFrame, index: str) -> Column:
 def group_min(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Minimum of ``value`` per group written back to every row: map-side aggregate, then a join."""
     low = df.groupBy(*keys).agg(F.min(value).alias(out))
-    return df.join(low, keys, "left")
+    return join_null_safe(df, low, keys, "left")

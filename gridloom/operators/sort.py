@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators.index import ordinal, rank_rows
 
@@ -35,6 +36,8 @@ def kth_smallest(df: DataFrame, k: int, x: str = "x", bits: int = 64, out: str =
     """
     if k < 1:
         raise ValueError("k counts from 1")
+    if not isinstance(df.schema[x].dataType, T.IntegralType):
+        raise TypeError(f"{x} must be of an integer type; ranks of other numbers come from ranks()")
     # the arithmetic shift keeps the sign in the top digit, so digits order like the values
     value = F.col(x).cast("bigint")
     found = None

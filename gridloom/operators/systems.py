@@ -1,7 +1,7 @@
 """Many independent linear systems, keyed by ``system_id``: LU factors and solutions.
 
-The groups are what is distributed; one system is small by contract (``max_order``), and a larger
-one raises instead of pulling an unbounded group into a task.
+The groups are what is distributed: one system is one row group of its task. With ``max_order`` a larger
+one raises instead.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ORDER = 2048
 GROUP_CELLS = 1 << 16  # matrix entries that one task group holds on average; a system is never split
 
 
-def _square(entries: tuple[np.ndarray, ...], order: int, max_order: int) -> np.ndarray:
-    if order > max_order:
+def _square(entries: tuple[np.ndarray, ...], order: int, max_order: int | None) -> np.ndarray:
+    if max_order is not None and order > max_order:
         raise ValueError(f"system of order {order} is larger than max_order={max_order}")
     rows, cols, values = entries
     full = np.zeros((order, order))
@@ -63,7 +62,7 @@ def unique_entries(a: DataFrame, order_by: str | None) -> DataFrame:
 
 
 def solve(
-    a: DataFrame, b: DataFrame, pivot: str = "none", order_by: str | None = None, max_order: int = MAX_ORDER
+    a: DataFrame, b: DataFrame, pivot: str = "none", order_by: str | None = None, max_order: int | None = None
 ) -> DataFrame:
     """Solve A x = b per system; returns ``(system_id, row, x, solved)``.
 
@@ -110,13 +109,13 @@ def solve(
     )
 
 
-def lu_in_place(a: DataFrame, order_by: str | None = None, max_order: int = MAX_ORDER) -> DataFrame:
+def lu_in_place(a: DataFrame, order_by: str | None = None, max_order: int | None = None) -> DataFrame:
     """Packed LU without pivoting: U on and above the diagonal, L's multipliers below it."""
     factors = lu(a, order_by, max_order)
     return factors.where((F.col("part") == "U") & (F.col("row") <= F.col("col")) | (F.col("part") == "L") & (F.col("row") > F.col("col"))).drop("part")
 
 
-def lu(a: DataFrame, order_by: str | None = None, max_order: int = MAX_ORDER) -> DataFrame:
+def lu(a: DataFrame, order_by: str | None = None, max_order: int | None = None) -> DataFrame:
     """A = L U per system, L with unit diagonal: dense ``(system_id, part, row, col, value)``."""
     kind = a.schema["system_id"].dataType.simpleString()
     matrix = unique_entries(a, order_by).select("system_id", "row", "col", F.col("value").cast("double").alias("value"))

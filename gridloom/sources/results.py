@@ -126,12 +126,14 @@ def write_runs(runs: DataFrame, path: str) -> None:
     runs.write.partitionBy("parallelism_model").parquet(path)
 
 
-def write_table(df: DataFrame, path: str | None = None, limit: int = 1000) -> None:
-    """Metric tables: CSV if a path is given, else the console."""
+def write_table(df: DataFrame, path: str | None = None) -> None:
+    """Metric tables: CSV if a path is given, else every row to the console, one partition at a time."""
     if path:
         df.write.option("header", True).csv(path)
     else:
-        df.show(limit, truncate=False)
+        print("\t".join(df.columns))
+        for row in df.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
 
 
 def append_cache(df: DataFrame, path: str) -> None:
