@@ -61,6 +61,8 @@ class Lattice:
         hashes = np.array([self._hash(t) for t in texts], dtype=np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], order
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # by the top bits of a hash: most substrings are no piece
+        self.maybe[self.keys >> np.uint64(44)] = True
         self.single = {t for t in texts if len(t) == 1}
 
     @staticmethod
@@ -72,7 +74,7 @@ class Lattice:
         return h
 
     def edges(self, chars):
-        """``(i, j, id or -1)`` arrays of each substring that may be a piece, for a matrix of characters."""
+        """``(i, j, rows, ids)``: the rows of a matrix of characters whose substring i..j is a piece."""
         import numpy as np
 
         n, m = chars.shape
@@ -81,8 +83,11 @@ class Lattice:
             for j in range(i + 1, min(m, i + self.longest) + 1):
                 h = (h ^ chars[:, j - 1]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                yield i, j, np.where(self.keys[at] == h, self.ids[at], -1)
+                rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+                found = self.keys[at] == h[rows]
+                if found.any():
+                    yield i, j, rows[found], self.ids[at[found]]
 
     def spelled(self, chars):
         """Log probability of each character by its bytes where the vocabulary lacks it, else minus infinity."""
@@ -101,29 +106,33 @@ class Lattice:
 
         n, m = chars.shape
         spelled = self.spelled(chars)
-        edges = [(i, j, ids) for i, j, ids in self.edges(chars) if j == i + 1 or (ids >= 0).any()]
-        weight = [np.where(ids >= 0, self.logp[ids], spelled[:, i] if j == i + 1 else -np.inf) for i, j, ids in edges]
+        # arcs from i to j: the rows that have one, its piece in each (none: spelled by bytes) and its weight
+        arcs = []
+        for i, j, rows, ids in self.edges(chars):
+            arcs.append((i, j, rows, ids, self.logp[ids]))
+        for i in range(m):
+            rows = np.flatnonzero(np.isfinite(spelled[:, i]))
+            if len(rows):
+                arcs.append((i, i + 1, rows, None, spelled[rows, i]))
         ahead = np.full((m + 1, n), -np.inf)
         ahead[0] = 0
-        with np.errstate(invalid="ignore"):
-            for k in sorted(range(len(edges)), key=lambda k: edges[k][1]):
-                i, j, _ = edges[k]
-                ahead[j] = np.logaddexp(ahead[j], ahead[i] + weight[k])
-            if counts is None:
-                return ahead[m], None
-            behind = np.full((m + 1, n), -np.inf)
-            behind[m] = 0
-            for k in sorted(range(len(edges)), key=lambda k: -edges[k][0]):
-                i, j, _ = edges[k]
-                behind[i] = np.logaddexp(behind[i], behind[j] + weight[k])
+        for i, j, rows, _, weight in sorted(arcs, key=lambda arc: arc[1]):
+            ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + weight)
+        if counts is None:
+            return ahead[m], None
+        behind = np.full((m + 1, n), -np.inf)
+        behind[m] = 0
+        for i, j, rows, _, weight in sorted(arcs, key=lambda arc: -arc[0]):
+            behind[i, rows] = np.logaddexp(behind[i, rows], behind[j, rows] + weight)
         expected = np.zeros(len(self.logp))
-        for (i, j, ids), w in zip(edges, weight):
-            share = np.exp(ahead[i] + w + behind[j] - ahead[m]) * counts
-            some = ids >= 0
-            expected += np.bincount(ids[some], share[some], len(expected))
-            for row in np.flatnonzero(~some & (share > 0)):
+        for i, j, rows, ids, weight in arcs:
+            share = np.exp(ahead[i, rows] + weight + behind[j, rows] - ahead[m, rows]) * counts[rows]
+            if ids is not None:
+                expected += np.bincount(ids, share, len(expected))
+                continue
+            for row, part in zip(rows, share):
                 for b in chr(int(chars[row, i])).encode("utf-8", "surrogatepass"):
-                    expected[self.bytes_at + b] += share[row]
+                    expected[self.bytes_at + b] += part
         return ahead[m], expected
 
     def words(self, words: list[str], counts=None):
