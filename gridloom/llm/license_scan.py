@@ -1,8 +1,9 @@
 """Licence notices in documents, with DataFrame functions only.
 
-Texts and templates are compared as lower-case words of letters and digits, in shingles of five. Every template shingle
-holds an anchor word (its longest), so only windows around anchor words can match. Windows overlap such that any
-stretch as long as a template lies inside one; a window with 0.8 of a template's shingles then has a similarity of
+Texts and templates are compared as lower-case words of letters and digits, in shingles of five. Of each template, the
+shingles with the longest words are picked, one more than a match may lack; a match holds one of them and so its longest
+word, an anchor. Only windows around anchors can match. Texts are read in blocks of words,
+each with the first words of the next. Windows overlap such that any stretch as long as a template lies inside one; a window with 0.8 of a template's shingles then has a similarity of
 0.25 or more to it, and with 48 bands of one row a MinHash retrieves it with a probability of at least
 ``1 - 0.75**48 > 0.999999``. What is retrieved is verified by exact containment.
 """
@@ -46,13 +47,23 @@ def words_of(text: Column) -> Column:
 
 def shingles_of(words: Column) -> Column:
     """Distinct shingles of an array of words; none where there are too few words."""
-    places = F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))
+    places = F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.size(words) - SHINGLE)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(SHINGLE)])))
 
 
 def band_keys(shingles: Column) -> Column:
-    """A 64-bit minimum for each band."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
+    """A 64-bit minimum for each band, of shingle hashes that are mixed anew for the band."""
+    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+
+
+def blocks_of(text: Column, size: int, overlap: int) -> Column:
+    """Normalised text as an array of blocks of ``size`` words, each followed by the next ``overlap`` words.
+
+    One linear scan: no part of a long text is looked at from its beginning again.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?:[^ ]++ ?+){1,%d}+" % size), F.lit(0))
+    return F.transform(pieces, lambda p, i: F.concat_ws(" ", F.rtrim(p), F.substring_index(F.get(pieces, i + 1), " ", overlap)))
 
 
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -73,26 +84,42 @@ def find_licenses(docs: DataFrame, notices: DataFrame | None = None, id_column:
     wanted = wanted.withColumn("w", words_of(F.col("t"))).where(F.size("w") >= SHINGLE).withColumn("tsh", shingles_of(F.col("w")))
     steps = F.ceil(F.log(F.size("w") / float(SHINGLE)) / F.log(F.lit(GROWTH)) - 1e-9)
     wanted = wanted.withColumn("length", F.ceil(F.pow(F.lit(GROWTH), steps) * SHINGLE).cast("int")).select("license", "tsh", "length")
-    longest = F.transform("tsh", lambda s: F.array_max(F.transform(F.split(s, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    bounded = wanted.select("length", F.explode(longest).alias("anchor")).distinct().collect()  # of the notices alone
-    anchors, lengths = sorted({r["anchor"] for r in bounded}), sorted({r["length"] for r in bounded})
+    longest = F.transform("tsh", lambda s: F.array_max(F.transform(F.split(s, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    # a match lacks at most this many shingles, so one more of them always meets it: those with the longest words serve as anchors
+    spared = F.size("tsh") - F.ceil(F.size("tsh") * F.lit(CONTAINMENT) - 1e-9).cast("int")
+    rarest = F.slice(F.sort_array(longest, asc=False), F.lit(1), spared + 1)
+    bounded = wanted.select("length", F.explode(F.transform(rarest, lambda a: a["w"])).alias("anchor")).distinct().collect()  # of the notices alone
+    anchors: dict[int, set[str]] = {}
+    for r in bounded:
+        anchors.setdefault(r["length"], set()).add(r["anchor"])
     if not anchors:
         kind = pick(docs, doc_id=id_column).schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, license string, containment double, first_word long")
 
-    marks = F.array(*map(F.lit, anchors))
-    source = computed(pick(docs, doc_id=id_column, text=text).where(F.col("text").isNotNull()), "words", words_of(F.col("text")))
-    source = source.where(F.arrays_overlap("words", marks)).withColumn("key", row_key("doc_id", "text")).drop("text")
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(marks, w), i)), lambda i: i.isNotNull())
-    classes = F.explode(F.array(*map(F.lit, lengths)))
-    source = source.withColumn("at", at).select("key", "doc_id", "words", "at", classes.alias("length"))
+    def marks(words):
+        return F.array(*map(F.lit, sorted(words)))
+
+    overlap = -(-3 * max(anchors) // 2)
+    block = max(256, 2 * overlap)
+    source = pick(docs, doc_id=id_column, text=text).where(F.col("text").isNotNull()).withColumn("key", row_key("doc_id", "text"))
+    source = computed(source.select("key", "doc_id", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")).alias("text")), "plain", F.col("text"))
+    source = computed(source.select("key", "doc_id", "plain"), "pieces", blocks_of(F.col("plain"), block, overlap))
+    source = source.select("key", "doc_id", F.posexplode("pieces").alias("number", "piece"))
+    source = computed(source, "words", F.split("piece", " ")).drop("piece").where(F.arrays_overlap("words", marks(set().union(*anchors.values()))))
+    # a class of lengths looks around the anchors of its own notices
+    classes = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), marks(w).alias("marks")) for n, w in sorted(anchors.items())]))
+    source = source.withColumn("class", classes).select("*", "class.*").where(F.arrays_overlap("words", "marks"))
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("marks", w), i)), lambda i: i.isNotNull())
+    source = computed(source.select("key", "doc_id", "number", "words", "length", "marks"), "at", at)
     stride, width = F.ceil(F.col("length") / 2).cast("int"), F.ceil(F.col("length") * 1.5).cast("int")
-    # windows start at multiples of the stride; those that hold the place of an anchor
+    # windows start at multiples of the stride in their block; those that hold the place of an anchor
     first = lambda i: F.greatest(F.lit(0), F.ceil((i - width + 1) / stride).cast("int"))
-    numbers = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(first(i), F.floor(i / stride).cast("int")))))
-    windows = source.select("key", "doc_id", "length", "words", F.explode(numbers).alias("n"))
-    windows = computed(windows, "here", F.slice("words", F.col("n") * stride + 1, width)).withColumn("start", (F.col("n") * stride).cast("long"))
-    windows = computed(windows.drop("words"), "sh", shingles_of(F.col("here"))).where(F.size("sh") > 0)
+    last = lambda i: F.floor(F.least(i, F.lit(block - 1)) / stride).cast("int")
+    spans = F.transform("at", lambda i: F.when(first(i) <= last(i), F.sequence(first(i), last(i))).otherwise(F.array().cast("array<int>")))
+    windows = source.select("key", "doc_id", "number", "length", "words", F.explode(F.array_distinct(F.flatten(spans))).alias("n"))
+    windows = computed(windows, "here", F.slice("words", F.col("n") * stride + 1, width))
+    windows = windows.withColumn("start", F.col("number").cast("long") * block + F.col("n") * stride).drop("words")
+    windows = computed(windows, "sh", shingles_of(F.col("here"))).where(F.size("sh") > 0)
     windows = computed(windows.select("key", "doc_id", "length", "start", "sh"), "keys", band_keys(F.col("sh")))
     bands = wanted.select("license", "tsh", "length", F.posexplode(band_keys(F.col("tsh"))).alias("band", "least"))
     met = windows.select("key", "doc_id", "length", "start", "sh", F.posexplode("keys").alias("band", "least")).join(F.broadcast(bands), ["length", "band", "least"])
