@@ -338,3 +338,13 @@ def test_empty_tables(spark, empty, tmp_path):
     assert license_scan.find_licenses(empty).count() == metric_join.vector_links(vectors).count() == 0
     assert lattice_lm.score_texts(empty.withColumn("held_out", F.lit(False))).count() == 0
     assert token_output.write_training_order(empty, str(tmp_path / "none")).count() == 0
+
+
+def test_license_lines_across_blocks_of_words(spark):
+    """A notice is found wherever it stands in a long text, at the place where it stands, also across the border of two blocks."""
+    rng, mit = random.Random(4), "Released under the MIT License."
+    places = [0, 1, 248, *range(252, 259), 511, 1020, 1995]
+    texts = [(p, (prose(rng, p) + " " + mit + " " + prose(rng, 2000 - p)).strip()) for p in places]
+    got = license_scan.find_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.containment) for r in got) == [(p, "MIT", 1.0) for p in places]
+    assert all(r.first_word <= r.doc_id <= r.first_word + 8 for r in got)
