@@ -144,17 +144,19 @@ def bit_sketch(x):
 
 
 def with_bits(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``members`` with the bit sketch of each node."""
+    """``members`` with the bit sketch of each node and all of its bands here, of which a sketch has a fixed number."""
 
     def sign(frames):
         import pandas as pd
 
         known: dict[bytes, int] = {}
         for frame in frames:
-            yield pd.DataFrame({"node": frame["node"], "bits": [bit_sketch(shingle_set(t, words, known)) for t in frame["text"]]})
+            bits = [bit_sketch(shingle_set(t, words, known)) for t in frame["text"]]
+            yield pd.DataFrame({"node": frame["node"], "bits": bits, "all_bands": frame["all_bands"]})
 
-    here = members.select("node").distinct()
-    return members.join(texts.join(here, "node").mapInPandas(sign, "node binary, bits array<long>"), "node")
+    here = members.groupBy("node").agg(F.collect_set("band").alias("all_bands"))
+    signed = texts.join(here, "node").select("node", "text", "all_bands").mapInPandas(sign, "node binary, bits array<long>, all_bands array<long>")
+    return members.join(signed, "node")
 
 
 def alike(a: str, b: str, percent: int):
@@ -194,8 +196,10 @@ def links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
             pairs = open_.join(hubs, "band").where(F.col("component") != F.col("there"))
         else:
             open_ = stage(with_bits(open_, texts, words), "open-bits")
-            others = open_.select("band", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"), F.col("bits").alias("those"))
-            pairs = open_.join(others, "band").where((F.col("component") < F.col("there")) & similar("n", "m", percent) & alike("bits", "those", percent))
+            others = open_.select("band", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"), F.col("bits").alias("those"), F.col("all_bands").alias("their_bands"))
+            # a pair that meets in several buckets comes out of one of them
+            once = F.col("band") == F.array_min(F.array_intersect("all_bands", "their_bands"))
+            pairs = open_.join(others, "band").where((F.col("component") < F.col("there")) & similar("n", "m", percent) & alike("bits", "those", percent) & once)
         pairs = pairs.where(similar("n", "m", percent)).select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct()
         pairs = stage(pairs.join(tried, ["src", "dst"], "left_anti"), "pairs")
         found = found.unionByName(stage(verified(pairs, texts, words, percent), "links"))
