@@ -32,30 +32,29 @@ def kth_smallest(df: DataFrame, k: int, x: str = "x", bits: int = 64, out: str =
 
     Each round counts rows per 16-bit digit among the rows that share the digits found so far and
     picks the digit that holds the k-th row. Counts are combined in the map tasks and there are at
-    most 65536 of them, so ties and hot values need no care and rows are never sorted.
+    most 65536 of them, so ties and hot values need no care and rows are never sorted. Nulls are no values.
     """
     if k < 1:
         raise ValueError("k counts from 1")
     if not isinstance(df.schema[x].dataType, T.IntegralType):
         raise TypeError(f"{x} must be of an integer type; ranks of other numbers come from ranks()")
     # the arithmetic shift keeps the sign in the top digit, so digits order like the values
-    value = F.col(x).cast("bigint")
+    values = df.select(F.col(x).cast("bigint").alias("_value")).where("_value IS NOT NULL")
     found = None
     for shift in range(bits - 16, -1, -16):
-        digit = F.shiftright(value, shift).alias("_digit")
+        digit = F.shiftright("_value", shift).alias("_digit")
         if found is None:
-            rows = df.select(digit)
-            wanted = F.lit(k)
+            rows = values.select(digit, F.lit(k).cast("bigint").alias("_wanted"))
         else:
-            prefix = found.select("_digit").scalar()
-            wanted = found.select("_left").scalar()
-            rows = df.where(F.shiftright(value, shift + 16) == prefix).select(digit)
-        counts = rows.groupBy("_digit").agg(F.count(F.lit(1)).alias("_n"))
+            # the one row found so far meets the data in a join, so each round refers to the round before it once
+            prefix = found.select(F.col("_digit").alias("_prefix"), F.col("_left").alias("_wanted"))
+            rows = values.select(F.shiftright("_value", shift + 16).alias("_prefix"), digit).join(F.broadcast(prefix), "_prefix")
+        counts = rows.groupBy("_digit", "_wanted").agg(F.count(F.lit(1)).alias("_n"))
         ahead = Window.orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
         found = (
             counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-            .where((F.col("_ahead") < wanted) & (F.col("_ahead") + F.col("_n") >= wanted))
-            .select("_digit", (wanted - F.col("_ahead")).alias("_left"))
+            .where((F.col("_ahead") < F.col("_wanted")) & (F.col("_ahead") + F.col("_n") >= F.col("_wanted")))
+            .select("_digit", (F.col("_wanted") - F.col("_ahead")).alias("_left"))
         )
     checked = found.agg(F.max("_digit").alias("v"))
     message = F.lit(f"k={k} is larger than the number of rows")

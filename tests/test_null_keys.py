@@ -43,6 +43,13 @@ def test_selection_refuses_fractions(keyed):
         sort.kth_smallest(keyed, 2)
 
 
+def test_selection_skips_nulls_and_reads_the_table_once_a_round(spark):
+    df = spark.createDataFrame([(5,), (None,), (-3,), (70000,), (None,), (5,)], "x long")
+    assert [sort.kth_smallest(df, k).first()[0] for k in (1, 2, 3, 4)] == [-3, 5, 5, 70000]
+    plan = sort.kth_smallest(df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 4
+
+
 def test_console_form_prints_every_row(spark, capsys):
     results.write_table(spark.range(1500))
     assert len(capsys.readouterr().out.splitlines()) == 1501
