@@ -207,6 +207,19 @@ def links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     return found
 
 
+def marked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, id_column: str, text: str) -> DataFrame:
+    """``key, doc_id, n, component, component_id``: ``component`` names the component itself, null without words."""
+    source = pick(docs, doc_id=id_column, text=text).withColumn("key", row_key("doc_id", "text"))
+    sigs = stage(signatures(source, words, bands, rows), "signatures", compression="zstd")
+    labels = component_labels(links(sigs, source.select("key", "text"), words, percent)).withColumnRenamed("id", "node")
+    flat = sigs.select("key", "doc_id", "n", "node")
+    groups = flat.groupBy("node").agg(F.min("doc_id").alias("lowest")).where(F.col("node").isNotNull()).join(labels, "node", "left")
+    groups = groups.withColumn("component", F.coalesce("component", "node"))
+    lowest = groups.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    by_node = groups.select("node", "component").join(lowest, "component").select("node", "component", "component_id")
+    return flat.join(by_node, "node", "left").drop("node")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
     id_column: str = "doc_id", text: str = "text",
@@ -220,24 +233,18 @@ def near_duplicates(
     empty, white space) are linked with nothing. A null id is never the smallest, unless all ids of the component
     are null; rows with equal ids stay rows of their own. ``key`` names a row by its values (see ``row_key``).
     """
-    source = pick(docs, doc_id=id_column, text=text).withColumn("key", row_key("doc_id", "text"))
-    sigs = stage(signatures(source, words, bands, rows), "signatures", compression="zstd")
-    labels = component_labels(links(sigs, source.select("key", "text"), words, percent)).withColumnRenamed("id", "node")
-    flat = sigs.select("key", "doc_id", "n", "node")
-    groups = flat.groupBy("node").agg(F.min("doc_id").alias("lowest")).where(F.col("node").isNotNull()).join(labels, "node", "left")
-    groups = groups.withColumn("component", F.coalesce("component", "node"))
-    lowest = groups.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    by_node = groups.select("node", "component").join(lowest, "component").select("node", "component_id")
-    return flat.join(by_node, "node", "left").select(
+    return marked(docs, words, percent, bands, rows, id_column, text).select(
         "key", "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group left: the smallest id, then the smallest key. All columns stay;
-    of rows that are equal in id and text one stays."""
-    marks = near_duplicates(docs, words, percent, id_column=id_column, text=text)
-    chosen = marks.where("kept").groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("key")).alias("alone")).agg(F.min("key").alias("_key")).select("_key")
+    """``docs`` with one row of each near-duplicate group left: the smallest id (null last), then the smallest key. All
+    columns stay; of rows that are equal in id and text one stays. Groups are told apart by their links, not by their
+    ids, which may be null or repeated."""
+    marks = marked(docs, words, percent, BANDS, ROWS, id_column, text)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")
+    chosen = marks.groupBy(F.coalesce("component", "key").alias("group"), F.col("component").isNull().alias("alone")).agg(least).select(F.col("least.key").alias("_key"))
     keyed = docs.withColumn("_key", row_key(id_column, text))
     return keyed.join(chosen.distinct(), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

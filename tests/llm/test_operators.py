@@ -180,6 +180,24 @@ def test_one_of_each_group_keeps_the_columns(docs):
     assert sum("changed" in (t or "") for t in texts) == 0 and max(n for t, n in texts.items() if t and t.split()) == 1
 
 
+def test_one_of_each_group_keeps_a_row_of_every_group(spark, corpus):
+    """Null ids and repeated ids join no groups: what is linked with nothing stays."""
+    rng = random.Random(31)
+    same = prose(rng, 80)
+    rows = [r[:2] for r in corpus] + [(None, prose(rng, 60)) for _ in range(4)] + [(None, same), (None, same + " end"), (1, prose(rng, 60)), (1, same.upper())]
+    left = near_duplicates.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=3, percent=85)
+    sets = [shingles(t, 3) for _, t in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    groups: dict = {}
+    for k, r in reach(range(len(rows)), links).items():
+        groups.setdefault(r, []).append(rows[k])
+    kept = Counter((r.doc_id, r.text) for r in left.collect())
+    assert sum(kept.values()) == len({r if sets[r] else rows[r] for r in groups})
+    for members in groups.values():
+        lowest = min((i is None, i or 0) for i, _ in members)
+        assert sum(kept[m] for m in set(members)) == 1 and any(kept[m] for m in members if (m[0] is None, m[0] or 0) == lowest)
+
+
 def test_sketch_agreement_follows_similarity():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
