@@ -16,6 +16,8 @@ from gridloom.llm.common import ITERATOR, pick, stage
 #: entries of the model: words, and n-grams of each length
 WORDS, GRAMS, ORDERS = 60_000, 20_000, (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
+#: characters of a word that are cut into n-grams at once
+PIECE = 64
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -54,10 +56,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     model = {"langs": sorted(totals), "tables": []}
     # all grams at a place are prefixes of the longest one there; chr(0) fills up behind the word
     longest = max(ORDERS)
-    padded = F.concat(F.lit(" "), F.substring("word", 1, 40), F.lit(" "))
-    filled = F.concat(padded, F.lit("\0" * (longest - 1)))
-    places = F.sequence(F.lit(1), F.length(padded))
-    at_place = counts.select(F.explode(F.transform(places, lambda i: filled.substr(i, F.lit(longest)))).alias("entry"), "lang", "n")
+    # a word is read in pieces, each with the first characters of the next: no place is looked for from the beginning of a long word
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), "word", F.lit(" ")), F.lit("(?s).{1,%d}+" % PIECE), F.lit(0))
+    behind = lambda i: F.rpad(F.substring(F.coalesce(F.get("pieces", i + 1), F.lit("")), 1, longest - 1), longest - 1, "\0")
+    cut = counts.select(F.explode(F.array(pieces)).alias("pieces"), "lang", "n")
+    cut = cut.select(F.explode(F.transform("pieces", lambda p, i: F.struct(F.length(p).alias("long"), F.concat(p, behind(i)).alias("filled")))).alias("p"), "lang", "n")
+    places = F.sequence(F.lit(1), F.col("p.long"))
+    at_place = cut.select(F.explode(F.transform(places, lambda i: F.col("p.filled").substr(i, F.lit(longest)))).alias("entry"), "lang", "n")
     at_place = stage(at_place.groupBy("entry", "lang").agg(F.sum("n").alias("n")), "grams")
     for order in (0, *ORDERS):
         if order:
@@ -102,11 +107,16 @@ class Scorer:
         """Row of a word that the model does not know: it is scored by its n-grams and takes the next row."""
         i = len(self.row)
         self.row[w] = i
-        padded = f" {w[:40]} "
+        padded = f" {w} "
         for order, table in self.grams:
-            found = [table[g] for g in (padded[i : i + order] for i in range(len(padded) - order + 1)) if g in table]
+            found, total = 0, [0.0] * len(self.langs)
+            for k in range(len(padded) - order + 1):
+                logs = table.get(padded[k : k + order])
+                if logs is not None:
+                    found += 1
+                    total = [a + b for a, b in zip(total, logs)]
             if found:
-                self.rows[i] = [sum(v) / len(found) for v in zip(*found)]
+                self.rows[i] = [a / found for a in total]
                 return i
         self.rows[i] = 0
         return i

@@ -296,6 +296,17 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_id_reads_words_to_their_end(spark):
+    """The characters behind the first 40 of an unspaced text teach and decide as those before them do."""
+    rng = random.Random(13)
+    plain = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = [("x" * 45 + plain("abcde", 200), "p") for _ in range(20)] + [("x" * 45 + plain("vwyzu", 200), "q") for _ in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    cases = {"x" * 45 + plain("abcde", 90): "p", "x" * 45 + plain("vwyzu", 90): "q", plain("abcde", 100) + plain("vwyzu", 5000): "q", plain("vwyzu", 100) + plain("abcde", 5000): "p"}
+    got = language_id.predict(spark.createDataFrame([(c,) for c in cases], "text string"), model).collect()
+    assert {r.text: r.lang_pred for r in got} == cases
+
+
 def test_token_output_round_trip(spark, docs, corpus, tmp_path):
     path = str(tmp_path / "order")
     rows = token_output.write_training_order(docs, path, seq_len=16, shard_rows=100).collect()
