@@ -1,19 +1,22 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Counts come from every training text: words by language, and from the table of distinct words the n-grams of each
-length. The model keeps the most frequent words and n-grams, so its size is a parameter and does not follow the
-corpus. A known word scores its log frequency in each language; an unknown word falls back to its n-grams of the
-longest length of which it has known ones.
+length. All of them are kept in staged tables. A known word scores its log frequency in each language; an unknown word
+falls back to its n-grams of the longest length of which it has known ones.
+
+The entries that are frequent in some language are broadcast as a cache of fixed size. The other words of a text, and the
+other n-grams of words that are unknown, are looked up by joins with the whole tables, each distinct word once; so the
+size of the cache does not change a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ITERATOR, pick, stage
+from gridloom.llm.common import pick, stage
 
-#: entries of the model: words, and n-grams of each length
+#: entries of the cache: words, and n-grams of each length
 WORDS, GRAMS, ORDERS = 60_000, 20_000, (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 #: characters of a word that are cut into n-grams at once
@@ -45,15 +48,30 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInPandas(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
+def with_logs(entries: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """``entry, peak, logs`` of ``entry, lang, n``: log10 frequencies by language, each smoothed towards the entry's
+    frequency in all of them, and the largest share of a language that the entry is."""
+    whole = float(sum(totals.values()))
+    langs = sorted(totals)
+    by = entries.groupBy("entry").agg(F.sum("n").alias("all"), F.array(*[F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)) for g in langs]).alias("by"))
+    of = lambda i: F.get("by", F.lit(i))
+    logs = [F.log10((of(i) + 0.5 * F.col("all") / whole) / (totals[g] + 0.5)) for i, g in enumerate(langs)]
+    return by.select("entry", F.array_max(F.array(*[of(i) / (totals[g] + 0.5) for i, g in enumerate(langs)])).alias("peak"), F.array(*logs).alias("logs"))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> dict:
-    """A model of bounded size: languages, and log frequencies by language of words and n-grams.
+    """A model: languages, staged tables of all words and n-grams with their log frequencies by language, and a cache.
 
-    Rows with a null text or language teach nothing; without any row the model knows no language.
+    ``words`` and ``grams`` bound the cache alone, which holds what is most frequent in any one language, so that a
+    language with few texts has its share. Rows with a null text or language teach nothing; without any row the model
+    knows no language.
     """
     rows = pick(docs, text=text, lang=lang).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = stage(word_counts(rows), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    model = {"langs": sorted(totals), "tables": []}
+    model = {"langs": sorted(totals), "cache": []}
+    if not totals:
+        return model
     # all grams at a place are prefixes of the longest one there; chr(0) fills up behind the word
     longest = max(ORDERS)
     # a word is read in pieces, each with the first characters of the next: no place is looked for from the beginning of a long word
@@ -64,102 +82,119 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     places = F.sequence(F.lit(1), F.col("p.long"))
     at_place = cut.select(F.explode(F.transform(places, lambda i: F.col("p.filled").substr(i, F.lit(longest)))).alias("entry"), "lang", "n")
     at_place = stage(at_place.groupBy("entry", "lang").agg(F.sum("n").alias("n")), "grams")
+    starts = F.filter(F.array(*[F.substring("entry", 1, order) for order in ORDERS]), lambda g: ~g.contains("\0"))
+    model["words"] = stage(with_logs(counts.withColumnRenamed("word", "entry"), totals), "word-logs", compression="zstd")
+    model["grams"] = stage(with_logs(at_place.select(F.explode(starts).alias("entry"), "lang", "n"), totals), "gram-logs", compression="zstd")
     for order in (0, *ORDERS):
-        if order:
-            start = F.substring("entry", 1, order)
-            entries = at_place.select(start.alias("entry"), "lang", "n").where(~F.col("entry").contains("\0"))
-            entries = entries.groupBy("entry", "lang").agg(F.sum("n").alias("n"))
-        else:
-            entries = counts.withColumnRenamed("word", "entry")
-        by_lang = entries.groupBy("entry").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        top = by_lang.orderBy(F.desc("all"), "entry").limit(grams if order else words).collect()
-        model["tables"].append((order, _logs(top, model["langs"], totals)))
+        entries = model["grams"].where(F.length("entry") == order) if order else model["words"]
+        top = entries.orderBy(F.desc("peak"), "entry").limit(grams if order else words).select("entry", "logs").collect()
+        model["cache"].append((order, {r["entry"]: r["logs"] for r in top}))
     return model
 
 
-def _logs(rows, langs: list[str], totals: dict[str, int]) -> dict:
-    """Entry -> log10 frequencies, each language smoothed towards the entry's frequency in all of them."""
-    import math
+def sums(k: str, logs: str, n: int) -> Column:
+    """Element-wise sum of ``k`` times an array of length ``n``."""
+    return F.array(*[F.sum(F.col(k) * F.get(logs, F.lit(i))) for i in range(n)])
 
-    whole = sum(totals.values())
-    return {
-        r["entry"]: [math.log10((r["by"].get(g, 0) + 0.5 * r["all"] / whole) / (totals[g] + 0.5)) for g in langs]
-        for r in rows
-    }
 
+def spell(unknown: DataFrame, model: dict) -> DataFrame:
+    """``entry, logs`` of words that the model does not know: the mean over their known n-grams of the longest length of
+    which they have any. A word without any has no row."""
+    n = len(model["langs"])
+    shared = unknown.sparkSession.sparkContext.broadcast(model["cache"][1:])  # of fixed size
 
-class Scorer:
-    """Log scores of words by language, remembered within bounds."""
-
-    def __init__(self, model: dict):
-        import numpy as np
-
-        self.langs = model["langs"]
-        words = model["tables"][0][1]
-        self.model_rows = len(words)
-        self.rows = np.zeros((len(words) + 200_000, max(1, len(self.langs))))
-        if words:
-            self.rows[: len(words)] = list(words.values())
-        self.row = {w: i for i, w in enumerate(words)}
-        self.grams = model["tables"][1:]
-
-    def _place(self, w: str) -> int:
-        """Row of a word that the model does not know: it is scored by its n-grams and takes the next row."""
-        i = len(self.row)
-        self.row[w] = i
-        padded = f" {w} "
-        for order, table in self.grams:
-            found, total = 0, [0.0] * len(self.langs)
-            for k in range(len(padded) - order + 1):
-                logs = table.get(padded[k : k + order])
-                if logs is not None:
-                    found += 1
-                    total = [a + b for a, b in zip(total, logs)]
-            if found:
-                self.rows[i] = [a / found for a in total]
-                return i
-        self.rows[i] = 0
-        return i
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def cached(frames):
+        """The sums over n-grams in the cache, and the others, down to the longest length of which some are in it."""
         from collections import Counter
 
-        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
 
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total, pairs = np.zeros(len(self.langs)), list(Counter(text.lower().split()).items())
-        for lo in range(0, len(pairs), 20_000):
-            some = pairs[lo : lo + 20_000]
-            if len(self.row) + len(some) > len(self.rows):
-                self.row = dict(list(self.row.items())[: self.model_rows])
-            get, place = self.row.get, self._place
-            at = [place(w) if i is None else i for w, i in ((w, get(w)) for w, _ in some)]
-            total += np.array([n for _, n in some], dtype=float) @ self.rows[at]
-        share = np.power(10.0, np.clip(total - total.max(), -300, 0))
-        best = int(np.argmax(total))
-        return self.langs[best], float(share[best] / share.sum())
+        row = TaskContext.get().partitionId() << 33
+        for frame in frames:
+            out = []
+            for w in frame["entry"]:
+                padded = f" {w} "
+                for order, table in shared.value:
+                    hits, total, others = 0, [0.0] * n, Counter()
+                    for g, k in Counter(padded[i : i + order] for i in range(len(padded) - order + 1)).items():
+                        logs = table.get(g)
+                        if logs is None:
+                            others[g] = k
+                        else:
+                            hits += k
+                            total = [a + k * b for a, b in zip(total, logs)]
+                    out.append((row, w, order, hits, total, list(others), list(others.values())))
+                    if hits:
+                        break
+                row += 1
+            yield pd.DataFrame(out, columns=["row", "entry", "order", "hits", "total", "grams", "k"])
+
+    tries = stage(unknown.mapInPandas(cached, "row long, entry string, order int, hits long, total array<double>, grams array<string>, k array<long>"), "tries", compression="zstd")
+    others = tries.select("row", "order", F.explode(F.arrays_zip("grams", "k")).alias("g")).select("row", "order", F.col("g.grams").alias("gram"), "g.k")
+    found = others.join(model["grams"].select(F.col("entry").alias("gram"), "logs"), "gram")
+    found = found.groupBy("row", "order").agg(F.sum("k").alias("more"), sums("k", "logs", n).alias("add"))
+    every = tries.select("row", "order", "hits", "total").join(found, ["row", "order"], "left").select(
+        "row", "order", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"),
+        F.when(F.col("add").isNull(), F.col("total")).otherwise(F.zip_with("total", "add", lambda a, b: a + b)).alias("total"),
+    ).where(F.col("hits") > 0)
+    best = every.groupBy("row").agg(F.max(F.struct("order", "hits", "total")).alias("top"))
+    named = tries.where(F.col("order") == max(ORDERS)).select("row", "entry").join(best, "row")
+    return named.select("entry", F.transform("top.total", lambda x: x / F.col("top.hits")).alias("logs"))
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the language of each text and its share of the posterior (0 to 1). A text without a letter, or a
     null one, is ``und`` with score 0; so is every text when the model knows no language. Ties go to the first in
     alphabetical order. Columns of the same names are replaced."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the model's size parameters
-    cache: dict = {}
+    langs = model["langs"]
+    n = len(langs)
+    if not langs:
+        return docs.withColumns({lang_out: F.lit(UNDETERMINED), score_out: F.lit(0.0)})
+    shared = docs.sparkSession.sparkContext.broadcast(model["cache"][0][1])  # of fixed size
+    key = F.unhex(F.md5(F.coalesce(docs[f"`{text}`"], F.lit(""))))  # equal texts have equal labels
+
+    def cached(frames):
+        """The sums over words in the cache, and the others; texts without a letter are left out."""
+        from collections import Counter
 
-    def label(batches):
+        import numpy as np
         import pandas as pd
+        from pyspark import TaskContext
 
-        if "scorer" not in cache:
-            cache["scorer"] = Scorer(shared.value)
-        for texts in batches:
-            yield pd.DataFrame([cache["scorer"](t) for t in texts], columns=["a", "b"])
-
-    guess = F.pandas_udf(label, "a string, b double", functionType=ITERATOR)
-    return docs.withColumn("_guess", guess(docs[f"`{text}`"])).withColumns({lang_out: F.col("_guess.a"), score_out: F.col("_guess.b")}).drop("_guess")
-
-
-
-
+        at = {w: i for i, w in enumerate(shared.value)}
+        logs = np.array(list(shared.value.values())).reshape(-1, n)
+        row = TaskContext.get().partitionId() << 33
+        for frame in frames:
+            out = []
+            for name, t in zip(frame["key"], frame["text"]):
+                if not any(map(str.isalpha, t)):
+                    continue
+                places, times, others, k = [], [], [], []
+                for w, many in Counter(t.lower().split()).items():
+                    i = at.get(w)
+                    if i is None:
+                        others.append(w)
+                        k.append(many)
+                    else:
+                        places.append(i)
+                        times.append(many)
+                out.append((row, name, np.array(times, dtype=float) @ logs[np.array(places, dtype=int)], others, k))
+                row += 1
+            yield pd.DataFrame(out, columns=["row", "key", "total", "words", "k"])
+
+    texts = docs.select(key.alias("key"), docs[f"`{text}`"].alias("text")).where(F.col("text").isNotNull())
+    parts = stage(texts.mapInPandas(cached, "row long, key binary, total array<double>, words array<string>, k array<long>"), "texts", compression="zstd")
+    others = parts.select("row", F.explode(F.arrays_zip("words", "k")).alias("w")).select("row", F.col("w.words").alias("entry"), "w.k")
+    wanted = stage(others.select("entry").distinct().join(model["words"].select("entry", "logs"), "entry", "left"), "wanted", compression="zstd")
+    spelled = spell(wanted.where(F.col("logs").isNull()).select("entry"), model)
+    rated = stage(wanted.where(F.col("logs").isNotNull()).select("entry", "logs").unionByName(spelled), "rated", compression="zstd")
+    tail = others.join(rated, "entry").groupBy("row").agg(sums("k", "logs", n).alias("add"))
+    total = F.when(F.col("add").isNull(), F.col("total")).otherwise(F.zip_with("total", "add", lambda a, b: a + b))
+    sure = parts.select("row", "key", "total").join(tail, "row", "left").select("key", total.alias("total"), F.array_max(total).alias("top"))
+    share = F.aggregate("total", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
+    label = F.get(F.array(*map(F.lit, langs)), (F.array_position("total", F.col("top")) - 1).cast("int"))
+    labels = sure.groupBy("key").agg(F.min(F.struct(label.alias("lang"), (1 / share).alias("share"))).alias("_guess")).withColumnRenamed("key", "_text_key")
+    marked = docs.withColumn("_text_key", key).join(labels, "_text_key", "left")
+    named = {lang_out: F.coalesce("_guess.lang", F.lit(UNDETERMINED)), score_out: F.coalesce("_guess.share", F.lit(0.0))}
+    return marked.withColumns(named).drop("_guess", "_text_key")

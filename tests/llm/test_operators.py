@@ -307,6 +307,43 @@ def test_language_id_reads_words_to_their_end(spark):
     assert {r.text: r.lang_pred for r in got} == cases
 
 
+@pytest.mark.parametrize("words,grams", [(60_000, 20_000), (3, 2)])
+def test_language_id_knows_all_words_and_grams(spark, words, grams):
+    """The cache may be smaller than the tables: every score is that of the whole counts."""
+    rng = random.Random(17)
+    name = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    own = {"hot": [name("abcdefgh") for _ in range(120)], "rare": [name("efghijkl") for _ in range(40)]}
+    rows = [(" ".join(rng.choices(own[g], k=20)), g) for g, many in (("hot", 60), ("rare", 3)) for _ in range(many)]
+    cases = [" ".join(rng.choices(own[g], k=3) + [name("cdefghijkl")]) for g in ("hot", "rare") * 15] + ["zzz", "é fg", rows[0][0]]
+    counts, tables = {g: Counter() for g in own}, {order: {g: Counter() for g in own} for order in range(1, 6)}
+    for t, g in rows:
+        counts[g].update(t.split())
+        for w in t.split():
+            for order, table in tables.items():
+                table[g].update(f" {w} "[i : i + order] for i in range(len(w) + 3 - order))
+    sizes = {g: sum(c.values()) for g, c in counts.items()}
+
+    def logs(table, entry):
+        both = sum(c[entry] for c in table.values())
+        return np.array([np.log10((table[g][entry] + 0.5 * both / sum(sizes.values())) / (sizes[g] + 0.5)) for g in own]) if both else None
+
+    def rated(w):
+        if (known := logs(counts, w)) is not None:
+            return known
+        for order in range(5, 0, -1):
+            found = [x for i in range(len(w) + 3 - order) if (x := logs(tables[order], f" {w} "[i : i + order])) is not None]
+            if found:
+                return sum(found) / len(found)
+        return np.zeros(2)
+
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), words=words, grams=grams)
+    out = language_id.predict(spark.createDataFrame([(c,) for c in cases * 2], "text string"), model).collect()
+    assert len(out) == 2 * len(cases)
+    for r in out:
+        x = sum(map(rated, r.text.split()))
+        assert r.lang_pred == ("hot", "rare")[int(x.argmax())] and np.isclose(r.score, 1 / (10 ** (x - x.max())).sum())
+
+
 def test_token_output_round_trip(spark, docs, corpus, tmp_path):
     path = str(tmp_path / "order")
     rows = token_output.write_training_order(docs, path, seq_len=16, shard_rows=100).collect()
