@@ -5,7 +5,8 @@ shingles with the longest words are picked, one more than a match may lack; a ma
 word, an anchor. Only windows around anchors can match. Texts are read in blocks of words,
 each with the first words of the next. Windows overlap such that any stretch as long as a template lies inside one; a window with 0.8 of a template's shingles then has a similarity of
 0.25 or more to it, and with 48 bands of one row a MinHash retrieves it with a probability of at least
-``1 - 0.75**48 > 0.999999``. What is retrieved is verified by exact containment.
+``1 - 0.75**48 > 0.999999``. What is retrieved is verified by exact containment. A notice of fewer than five words is
+one shingle of its whole length; its windows are as long and start at every word.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ GROWTH = 1.25
 
 #: fixed values: the notices that are looked for, as their authors print them
 NOTICES = [
+    ("All-rights-reserved", "All rights reserved."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -51,6 +53,11 @@ def shingles_of(words: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(SHINGLE)])))
 
 
+def whole(words: Column, length: Column) -> Column:
+    """Words of a short notice or of its window as their only shingle; none where there are fewer."""
+    return F.when(F.size(words) == length, F.array(F.concat_ws(" ", words))).otherwise(F.array().cast("array<string>"))
+
+
 def band_keys(shingles: Column) -> Column:
     """A 64-bit minimum for each band, of shingle hashes that are mixed anew for the band."""
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
@@ -75,15 +82,17 @@ def find_licenses(docs: DataFrame, notices: DataFrame | None = None, id_column:
     """``doc_id, license, containment, first_word``: documents of which some window holds 0.8 or more of a notice's shingles.
 
     One row per document and notice: the largest containment, and the first word (from 0) of the first such window.
-    Null and empty texts hold nothing; notices of fewer than five words, null ones and those without a name match nothing. Of rows
-    equal in id and text each pair is reported once. The notices are a bounded table (a few thousand at most) and are broadcast.
+    Null and empty texts hold nothing; notices without a word, null ones and those without a name match nothing. A notice of
+    fewer than five words matches only as a whole. Of rows equal in id and text each pair is reported once. The notices are a bounded table (a few thousand at most) and are broadcast.
     """
     spark = docs.sparkSession
     notices = templates(spark) if notices is None else notices
     wanted = pick(notices, license=name, t=notice).where(F.col("license").isNotNull() & F.col("t").isNotNull()).distinct()
-    wanted = wanted.withColumn("w", words_of(F.col("t"))).where(F.size("w") >= SHINGLE).withColumn("tsh", shingles_of(F.col("w")))
+    wanted = wanted.withColumn("w", words_of(F.col("t"))).where(F.get("w", F.lit(0)) != "")
+    short = F.size("w") < SHINGLE
+    wanted = wanted.withColumn("tsh", F.when(short, whole(F.col("w"), F.size("w"))).otherwise(shingles_of(F.col("w"))))
     steps = F.ceil(F.log(F.size("w") / float(SHINGLE)) / F.log(F.lit(GROWTH)) - 1e-9)
-    wanted = wanted.withColumn("length", F.ceil(F.pow(F.lit(GROWTH), steps) * SHINGLE).cast("int")).select("license", "tsh", "length")
+    wanted = wanted.withColumn("length", F.when(short, F.size("w")).otherwise(F.ceil(F.pow(F.lit(GROWTH), steps) * SHINGLE).cast("int"))).select("license", "tsh", "length")
     longest = F.transform("tsh", lambda s: F.array_max(F.transform(F.split(s, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
     # a match lacks at most this many shingles, so one more of them always meets it: those with the longest words serve as anchors
     spared = F.size("tsh") - F.ceil(F.size("tsh") * F.lit(CONTAINMENT) - 1e-9).cast("int")
@@ -111,7 +120,9 @@ def find_licenses(docs: DataFrame, notices: DataFrame | None = None, id_column:
     source = source.withColumn("class", classes).select("*", "class.*").where(F.arrays_overlap("words", "marks"))
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("marks", w), i)), lambda i: i.isNotNull())
     source = computed(source.select("key", "doc_id", "number", "words", "length", "marks"), "at", at)
-    stride, width = F.ceil(F.col("length") / 2).cast("int"), F.ceil(F.col("length") * 1.5).cast("int")
+    short = F.col("length") < SHINGLE
+    stride = F.when(short, 1).otherwise(F.ceil(F.col("length") / 2).cast("int"))
+    width = F.when(short, F.col("length")).otherwise(F.ceil(F.col("length") * 1.5).cast("int"))
     # windows start at multiples of the stride in their block; those that hold the place of an anchor
     first = lambda i: F.greatest(F.lit(0), F.ceil((i - width + 1) / stride).cast("int"))
     last = lambda i: F.floor(F.least(i, F.lit(block - 1)) / stride).cast("int")
@@ -119,8 +130,9 @@ def find_licenses(docs: DataFrame, notices: DataFrame | None = None, id_column:
     windows = source.select("key", "doc_id", "number", "length", "words", F.explode(F.array_distinct(F.flatten(spans))).alias("n"))
     windows = computed(windows, "here", F.slice("words", F.col("n") * stride + 1, width))
     windows = windows.withColumn("start", F.col("number").cast("long") * block + F.col("n") * stride).drop("words")
-    windows = computed(windows, "sh", shingles_of(F.col("here"))).where(F.size("sh") > 0)
+    windows = computed(windows, "sh", F.when(short, whole(F.col("here"), F.col("length"))).otherwise(shingles_of(F.col("here")))).where(F.size("sh") > 0)
     windows = computed(windows.select("key", "doc_id", "length", "start", "sh"), "keys", band_keys(F.col("sh")))
+    windows = windows.withColumn("keys", F.when(short, F.slice("keys", 1, 1)).otherwise(F.col("keys")))  # a single shingle has the same key or another in all bands
     bands = wanted.select("license", "tsh", "length", F.posexplode(band_keys(F.col("tsh"))).alias("band", "least"))
     met = windows.select("key", "doc_id", "length", "start", "sh", F.posexplode("keys").alias("band", "least")).join(F.broadcast(bands), ["length", "band", "least"])
     held = met.withColumn("containment", F.size(F.array_intersect("sh", "tsh")) / F.size("tsh")).where(F.col("containment") >= CONTAINMENT)

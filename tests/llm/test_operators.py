@@ -414,3 +414,16 @@ def test_license_lines_across_blocks_of_words(spark):
     got = license_scan.find_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license, r.containment) for r in got) == [(p, "MIT", 1.0) for p in places]
     assert all(r.first_word <= r.doc_id <= r.first_word + 8 for r in got)
+
+
+def test_short_notices_are_found_whole(spark):
+    """A notice of fewer than five words is one shingle: found at its place, also at the end and across blocks, never in part."""
+    rng = random.Random(14)
+    texts = [(p, prose(rng, p) + " All rights reserved. " + prose(rng, 700 - p)) for p in (0, 254, 255, 256, 700)]
+    texts += [(1000, "all rights were reserved"), (1001, "rights reserved"), (1002, "SPDX-License-Identifier: MIT"), (1003, "")]
+    table = spark.createDataFrame([(i, t.strip()) for i, t in texts], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.containment, r.first_word) for r in license_scan.find_licenses(table).collect())
+    assert got == [(p, "All-rights-reserved", 1.0, p) for p in (0, 254, 255, 256, 700)]
+    own = spark.createDataFrame([("spdx", "SPDX-License-Identifier: MIT"), ("one", "Reserved"), ("none", "!?")], "license string, text string")
+    got = {(r.doc_id, r.license): r.first_word for r in license_scan.find_licenses(table, own).collect()}
+    assert got == {(1002, "spdx"): 0, (1000, "one"): 3, (1001, "one"): 1} | {(p, "one"): p + 2 for p in (0, 254, 255, 256, 700)}
