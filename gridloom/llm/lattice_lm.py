@@ -25,8 +25,9 @@ from gridloom.llm.common import pick, stage
 HEAD, PRIOR = 100_000, 1000.0
 #: steps of re-weighting
 STEPS = 2
-#: characters of a word that are scored at once; longer words are scored in a chain of such parts
-LONGEST_WORD = 200
+#: characters of a word up to which words of a length are scored together; longer words are scored one by one, and so
+#: many of their characters are looked up at once
+LONGEST_WORD, BLOCK = 200, 50_000
 MARK = "▁"
 
 
@@ -135,6 +136,64 @@ class Lattice:
                     expected[self.bytes_at + b] += part
         return ahead[m], expected
 
+    def arcs_from(self, chars, lo: int, hi: int):
+        """``starts, ends, ids, weights`` of the arcs of one word that start in lo..hi, by start; id -1 is a character
+        spelled by its bytes."""
+        import numpy as np
+
+        h, found = np.full(hi - lo, 0xCBF29CE484222325, dtype=np.uint64), []
+        for size in range(1, self.longest + 1):
+            h = h[: len(chars) - size + 1 - lo]
+            if not len(h):
+                break
+            h = (h ^ chars[lo + size - 1 : lo + size - 1 + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+            hit = self.keys[at] == h[rows]
+            ids = self.ids[at[hit]]
+            found.append((lo + rows[hit], lo + rows[hit] + size, ids, self.logp[ids]))
+        spelled = self.spelled(chars[lo:hi])
+        rows = np.flatnonzero(np.isfinite(spelled))
+        found.append((lo + rows, lo + rows + 1, np.full(len(rows), -1), spelled[rows]))
+        starts, ends, ids, weights = map(np.concatenate, zip(*found))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], ids[order], weights[order]
+
+    def long_word(self, word: str, count=None):
+        """Log probability of one word of any length, and with ``count`` the expected number of each piece: the recursions
+        run over the whole word, the arcs of one block of characters at a time."""
+        import numpy as np
+
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        m, log1p, exp, never = len(chars), math.log1p, math.exp, -math.inf
+        blocks = [(lo, min(m, lo + BLOCK)) for lo in range(0, m, BLOCK)]
+
+        def plus(a, b):
+            if a < b:
+                a, b = b, a
+            return a if b == never else a + log1p(exp(b - a))
+
+        ahead = [0.0] + [never] * m
+        for lo, hi in blocks:
+            starts, ends, _, weights = self.arcs_from(chars, lo, hi)
+            for i, j, w in zip(starts.tolist(), ends.tolist(), weights.tolist()):
+                ahead[j] = plus(ahead[j], ahead[i] + w)
+        if count is None or ahead[m] == never:
+            return ahead[m], np.zeros(len(self.logp))
+        behind, expected, before = [never] * m + [0.0], np.zeros(len(self.logp)), np.array(ahead)
+        for lo, hi in reversed(blocks):
+            starts, ends, ids, weights = self.arcs_from(chars, lo, hi)
+            for i, j, w in zip(starts[::-1].tolist(), ends[::-1].tolist(), weights[::-1].tolist()):
+                behind[i] = plus(behind[i], behind[j] + w)
+            top = min(m, hi + self.longest)
+            share = np.exp(before[starts] + weights + np.array(behind[lo : top + 1])[ends - lo] - ahead[m]) * count
+            expected += np.bincount(ids[ids >= 0], share[ids >= 0], len(expected))
+            for i, part in zip(starts[ids < 0].tolist(), share[ids < 0].tolist()):
+                for b in word[i].encode("utf-8", "surrogatepass"):
+                    expected[self.bytes_at + b] += part
+        return ahead[m], expected
+
     def words(self, words: list[str], counts=None):
         """Log probability of each word, led by the space mark, and the expected pieces of all."""
         import numpy as np
@@ -143,9 +202,12 @@ class Lattice:
         parts: dict[int, list[tuple[int, str]]] = {}
         for k, w in enumerate(words):
             w = MARK + w
-            for lo in range(0, len(w), LONGEST_WORD):
-                part = w[lo : lo + LONGEST_WORD]
-                parts.setdefault(len(part), []).append((k, part))
+            if len(w) <= LONGEST_WORD:
+                parts.setdefault(len(w), []).append((k, w))
+                continue
+            out[k], exp = self.long_word(w, None if counts is None else counts[k])
+            if counts is not None:
+                expected += exp
         for m, some in parts.items():
             step = max(1, 400_000 // m)
             for lo in range(0, len(some), step):

@@ -427,3 +427,25 @@ def test_short_notices_are_found_whole(spark):
     own = spark.createDataFrame([("spdx", "SPDX-License-Identifier: MIT"), ("one", "Reserved"), ("none", "!?")], "license string, text string")
     got = {(r.doc_id, r.license): r.first_word for r in license_scan.find_licenses(table, own).collect()}
     assert got == {(1002, "spdx"): 0, (1000, "one"): 3, (1001, "one"): 1} | {(p, "one"): p + 2 for p in (0, 254, 255, 256, 700)}
+
+
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_lattice_sums_over_cuts_of_long_words(block, monkeypatch):
+    """A word of more than 200 characters is scored as shorter ones are: over all of its segmentations."""
+    monkeypatch.setattr(lattice_lm, "BLOCK", block, raising=False)
+    texts = [lattice_lm.MARK, "a", "b", "ab", lattice_lm.MARK + "a", "bab", "aa"]
+    weights = np.array([4, 3, 2, 2, 1, 1, 1.0] + [0.01] * 256)
+    logp = np.log(weights / weights.sum())
+    lattice, rng = lattice_lm.Lattice(texts, logp), random.Random(15)
+    for word in ["ab" * 300, "".join(rng.choices("abé", k=777)), "a" * 199, "a" * 200, "ab" * 99 + "é"]:
+        full = lattice_lm.MARK + word
+        total = [0.0] + [-np.inf] * len(full)
+        for j in range(1, len(full) + 1):
+            arcs = [total[j - len(t)] + x for t, x in zip(texts, logp) if full[:j].endswith(t)]
+            total[j] = np.logaddexp.reduce(arcs + [total[j - 1] + 2 * logp[-1]] * (full[j - 1] == "é"))
+        got, expected = lattice.words([word], np.full(1, 3.0))
+        assert np.isclose(got[0], total[-1])
+        # each character is covered by one piece, "é" by two bytes
+        assert np.isclose(expected[: len(texts)] @ list(map(len, texts)) + expected[len(texts) :].sum() / 2, 3 * len(full))
+        chars = np.frombuffer(full.encode("utf-32-le"), "<u4").reshape(1, -1).astype(np.uint64)
+        assert np.allclose(lattice.sums(chars, np.full(1, 3.0))[1], expected)
