@@ -23,13 +23,24 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import mix64, pick, row_key, stage
 from gridloom.operators.graph import component_labels
 
-BANDS, ROWS = 64, 10
+#: share of the pairs at the limit that no band may bring together; rows of a band, fewer where that takes more bands than these
+MISSED, ROWS, MOST_BANDS = 1e-6, 10, 128
 #: rounds of comparing with chosen members before what is left is compared in full
 CHOSEN_ROUNDS = 2
 #: bins of the bit sketch, and how far from the mean a pair at the limit may lie
 BITS, DEVIATIONS = 2048, 5
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and their rows by which pairs at the limit are missed with a probability of ``MISSED`` or less."""
+    limit = max(percent, 1) / 100
+    for rows in range(ROWS, 0, -1):
+        bands = 1 if limit >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(limit**rows)))
+        if bands <= MOST_BANDS:
+            break
+    return bands, rows
+
+
 def shingle_set(text: str | None, words: int, known: dict):
     """Sorted distinct 64-bit hashes of the word shingles. A-Z is lower-cased, words end at ASCII white space; fewer
     words than ``words`` are one shingle, no word is none."""
@@ -207,9 +218,11 @@ def links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     return found
 
 
-def marked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, id_column: str, text: str) -> DataFrame:
+def marked(docs: DataFrame, words: int, percent: int, bands: int | None, rows: int | None, id_column: str, text: str) -> DataFrame:
     """``key, doc_id, n, component, component_id``: ``component`` names the component itself, null without words."""
     source = pick(docs, doc_id=id_column, text=text).withColumn("key", row_key("doc_id", "text"))
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     sigs = stage(signatures(source, words, bands, rows), "signatures", compression="zstd")
     labels = component_labels(links(sigs, source.select("key", "text"), words, percent)).withColumnRenamed("id", "node")
     flat = sigs.select("key", "doc_id", "n", "node")
@@ -221,15 +234,15 @@ def marked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, id_
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None,
     id_column: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per document: ``key, doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when their shingle sets have a similarity of ``percent`` or more; ``component_id`` is the
     smallest id reachable over links. Each true link is found with probability ``1 - (1 - s**rows)**bands`` or
-    better (0.9999992 at 0.85 with the defaults; the bit sketch loses fewer than one in a million of those) and confirmed
-    on the full sets. Documents without words (null,
+    better and confirmed on the full sets. Bands and rows follow from ``percent`` (see ``banding``; 64 of 10 at 85, 122 of 10 at
+    80), unless both are given, so that fewer than one in a million links is missed; the bit sketch loses fewer than one in a million more. Documents without words (null,
     empty, white space) are linked with nothing. A null id is never the smallest, unless all ids of the component
     are null; rows with equal ids stay rows of their own. ``key`` names a row by its values (see ``row_key``).
     """
@@ -243,7 +256,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     """``docs`` with one row of each near-duplicate group left: the smallest id (null last), then the smallest key. All
     columns stay; of rows that are equal in id and text one stays. Groups are told apart by their links, not by their
     ids, which may be null or repeated."""
-    marks = marked(docs, words, percent, BANDS, ROWS, id_column, text)
+    marks = marked(docs, words, percent, None, None, id_column, text)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")
     chosen = marks.groupBy(F.coalesce("component", "key").alias("group"), F.col("component").isNull().alias("alone")).agg(least).select(F.col("least.key").alias("_key"))
     keyed = docs.withColumn("_key", row_key(id_column, text))

@@ -198,6 +198,17 @@ def test_one_of_each_group_keeps_a_row_of_every_group(spark, corpus):
         assert sum(kept[m] for m in set(members)) == 1 and any(kept[m] for m in members if (m[0] is None, m[0] or 0) == lowest)
 
 
+def test_bands_follow_the_limit(spark, monkeypatch):
+    for percent in range(1, 101):
+        bands, rows = near_duplicates.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    assert near_duplicates.banding(85) == (64, 10)
+    used, sign = [], near_duplicates.signatures
+    monkeypatch.setattr(near_duplicates, "signatures", lambda rows, words, *banding: used.append(banding) or sign(rows, words, *banding))
+    table = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert near_duplicates.one_of_each_group(table).count() == 1 and (1 - 0.8 ** used[0][1]) ** used[0][0] <= 1e-6
+
+
 def test_sketch_agreement_follows_similarity():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
