@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, language_id, lattice_lm, license_scan, metric_join, near_duplicates, packing, quality, repeated_passages, token_output
+from gridloom.llm import (
+    decontamination, language_id, lattice_lm, license_scan, merkle_manifest, metric_join, near_duplicates, packing, quality, repeated_passages, token_output,
+)
 from gridloom.llm.common import held_out
 from gridloom.runtime import stage_root
 
@@ -85,3 +87,15 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.train(docs, labels.where(~held_out("doc_id", 5, 0)))
     rated = quality.score(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model)
     return rated.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    forged = F.when(even, F.replace("text", F.lit("\n"), F.lit("")))
+    made = merkle_manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], forged)
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.siblings("proof"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
