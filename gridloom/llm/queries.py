@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import (
-    decontamination, language_id, lattice_lm, license_scan, merkle_manifest, metric_join, near_duplicates, packing, quality, repeated_passages, token_output,
+    decontamination, language_id, lattice_lm, license_scan, merkle_manifest, metric_join, near_duplicates, packing, quality, repeated_passages,
+    secret_scan, token_output,
 )
 from gridloom.llm.common import held_out
 from gridloom.runtime import stage_root
@@ -99,3 +100,11 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.siblings("proof"), 256).alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    counts = [F.size(secret_scan.of_kind("secrets", kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
+    base = F.sha2(secret_scan.listed(secret_scan.of_kind("secrets", *secret_scan.BASE)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.listed("secrets").alias("spans"))
