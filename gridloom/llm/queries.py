@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import (
     decontamination, language_id, lattice_lm, license_scan, merkle_manifest, metric_join, near_duplicates, packing, quality, repeated_passages,
-    secret_scan, token_output,
+    secret_scan, token_output, whitening,
 )
 from gridloom.llm.common import held_out
 from gridloom.runtime import stage_root
@@ -90,6 +90,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    made = whitening.whiten(table(spark, folder, "embeddings"), 8)
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
