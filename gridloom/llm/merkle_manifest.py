@@ -97,12 +97,13 @@ def hand_down(tables: list[DataFrame], keys: list[str], tops: DataFrame, arity:
 
 
 def manifest(
-    docs: DataFrame, fields: list[str], forged: Column | None = None, group: str = "source", id_column: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, fields: list[str], forged: Column | None = None, group: str = "source", id_column: str = "doc_id", text: str = "text",
+    arity: int = ARITY, levels: int = LEVELS,
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, leaf, subroot, root, proof, folded_root``.
 
     A leaf is the digest of ``fields``; leaves of a group stand in the order of their ids, a null id first, equal
-    ids in the order of their leaves. Runs of three become a node until one is left, the group's subroot; the
+    ids in the order of their leaves. Runs of ``arity`` become a node until one is left, the group's subroot; the
     subroots, a null group first, else by bytes, likewise become the root. ``proof`` lists per level what stands
     ``left`` and ``right`` of the path, from the leaf to the root. ``folded_root`` is the root that follows from the proof
     and the leaf of the row with ``forged`` as its text (null or none given: the leaf itself), as a verifier would
@@ -121,15 +122,15 @@ def manifest(
     leaves = rows.select("grp", "doc_id", leaf.alias("digest"), other.alias("other"), F.monotonically_increasing_id().alias("row"))
     leaves = stage(leaves, "leaves")
     ranked = rank_rows(leaves, ["doc_id", "digest", "row"], "rank", ["grp"])
-    blocks = roll_up_all(ranked.select("grp", "rank", "digest", F.struct("doc_id", "other").alias("payload")), ["grp"])
+    blocks = roll_up_all(ranked.select("grp", "rank", "digest", F.struct("doc_id", "other").alias("payload")), ["grp"], arity, levels)
 
     groups = rank_rows(blocks[-1].select("grp", "digest"), ["grp"], "rank")
     everything = F.lit(0).alias("all")
-    upper = roll_up_all(groups.select(everything, "rank", "digest", F.struct("grp").alias("payload")), ["all"])
+    upper = roll_up_all(groups.select(everything, "rank", "digest", F.struct("grp").alias("payload")), ["all"], arity, levels)
     none = F.array().cast(STEPS).alias("steps")
-    subroots = hand_down(upper, ["all"], upper[-1].select("all", none, F.col("digest").alias("above")))
+    subroots = hand_down(upper, ["all"], upper[-1].select("all", none, F.col("digest").alias("above")), arity, levels)
     tops = subroots.select("payload.grp", "steps", F.struct(F.col("digest").alias("subroot"), F.col("above").alias("root")).alias("above"))
-    found = hand_down(blocks, ["grp"], tops)
+    found = hand_down(blocks, ["grp"], tops, arity, levels)
     folded = F.aggregate(
         "steps", F.coalesce(F.col("payload.other"), F.col("digest")), lambda node, step: digest(step["left"], node, step["right"])
     )

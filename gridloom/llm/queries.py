@@ -13,10 +13,10 @@ from gridloom.llm import (
     secret_scan, token_output, whitening,
 )
 from gridloom.llm.common import held_out
+from gridloom.llm.statements import SQL  # noqa: F401
 from gridloom.runtime import stage_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
