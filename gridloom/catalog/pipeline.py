@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gridloom.catalog import views as v
-from gridloom.catalog.registry import query, rounded
+from gridloom.catalog.registry import QUERIES, SQL, query, rounded
 from gridloom.functions import numeric, text
 from gridloom.functions.rules import CORPUS_MARKS, MODELS, SCALING_NS
 from gridloom.operators import reduce
 from gridloom.plans import corpus, evaluation, ingest, metrics, prompts, restore
 from gridloom.runtime import stage_root
-from gridloom.sources import results
+from gridloom.sources import prompt_tree, results
 from gridloom.sources.results import RESULTS
-from gridloom.streaming import flows
+from gridloom.streaming import flows, incremental
 
 # ---------------------------------------------------------------- metrics
 
@@ -773,13 +774,13 @@ def _(t):
 
 @query("incremental_results", "SELECT doc_id, min(md5(text)) AS digest FROM documents GROUP BY 1")
 def _(t):
-    """Two passes over the same file stream source: the second finds everything done."""
+    """Two passes over the same files, each from the start: the second finds everything done."""
     folder = _run_folder(t, "incremental")
-    for _attempt in range(2):
+    for attempt in range(2):
         items = flows.file_stream(t.spark, t.folder, t.documents.schema, glob="documents.parquet")
         work = lambda df: df.select("doc_id", F.md5("text").alias("digest"))
-        flows.append_new(items, f"{folder}/results", f"{folder}/checkpoint", ["doc_id"], work).awaitTermination()
-    return flows.existing(t.spark, f"{folder}/results").drop("batch")
+        incremental.append_new(items, f"{folder}/results", f"{folder}/checkpoint{attempt}", ["doc_id"], work, F.md5("text")).awaitTermination()
+    return incremental.read_new(t.spark, f"{folder}/results").drop("run", "batch")
 
 
 @query("cached_responses", "SELECT DISTINCT conv_id, turn, md5(text) AS digest FROM conversations")
@@ -787,5 +788,147 @@ def _(t):
     folder = _run_folder(t, "cache")
     turns = flows.file_stream(t.spark, t.folder, t.conversations.schema, glob="conversations.parquet")
     responses = turns.select("conv_id", "turn", F.md5("text").alias("digest"))
-    flows.cache_responses(responses, f"{folder}/cache", f"{folder}/checkpoint", ["conv_id", "turn", "digest"]).awaitTermination()
-    return flows.existing(t.spark, f"{folder}/cache").drop("batch")
+    incremental.cache_responses(responses, f"{folder}/cache", f"{folder}/checkpoint", ["conv_id", "turn", "digest"]).awaitTermination()
+    return incremental.read_cache(t.spark, f"{folder}/cache").select("conv_id", "turn", "digest")
+
+
+@query("resumed_marks", _MARKED_SQL)
+def _(t):
+    """Four files, one a batch. The third batch fails between its counts and the totals; the run that goes on uses
+    another number of shuffle partitions."""
+    folder = _run_folder(t, "resumed")
+    t.documents.repartition(4).write.parquet(f"{folder}/files")
+
+    def run(before_snapshot=lambda batch: None):
+        files = flows.file_stream(t.spark, f"{folder}/files", t.documents.schema, files_per_batch=1)
+        return incremental.resumable_counts(
+            files, f"{folder}/store", f"{folder}/checkpoint", "text", "lang", _MARKS_BY_LANGUAGE, before_snapshot=before_snapshot
+        )
+
+    def fail(batch):
+        if batch == 2:
+            raise InterruptedError("stopped on purpose")
+
+    try:
+        run(fail).awaitTermination()
+    except StreamingQueryException as stopped:
+        if "stopped on purpose" not in str(stopped) or incremental.last_commit(t.spark, f"{folder}/store") != 1:
+            raise
+    width = t.spark.conf.get("spark.sql.shuffle.partitions")
+    t.spark.conf.set("spark.sql.shuffle.partitions", int(width) + 3)
+    try:
+        run().awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.shuffle.partitions", width)
+    return incremental.read_counts(t.spark, f"{folder}/store")
+
+
+@query(
+    "results_of_two_sittings",
+    "SELECT doc_id, min(md5(text)) AS digest, 1 AS sitting FROM documents GROUP BY 1"
+    " UNION ALL SELECT -1 - doc_id, min(md5(lang)), 2 FROM documents WHERE doc_id % 5 = 0 GROUP BY 1",
+)
+def _(t):
+    """Files come in three loads, the later ones repeat keys with other contents. The second sitting starts with a fresh
+    checkpoint, so it goes through all files again and has to find the few new keys in the index."""
+    folder = _run_folder(t, "sittings")
+    items = t.documents.select("doc_id", F.md5("text").alias("digest"))
+    other = t.documents.select("doc_id", F.md5("lang").alias("digest"))
+
+    def load(rows, files):
+        rows.repartition(files).write.mode("append").parquet(f"{folder}/files")
+
+    def sit(name):
+        stream = flows.file_stream(t.spark, f"{folder}/files", items.schema, files_per_batch=1)
+        work = lambda df: df.withColumn("sitting", F.lit(name))
+        incremental.append_new(stream, f"{folder}/results", f"{folder}/checkpoint{name}", ["doc_id"], work, "digest", buckets=32).awaitTermination()
+
+    load(items, 1)
+    load(other.where("doc_id % 3 = 0"), 2)
+    sit(1)
+    load(other.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "digest").unionByName(other), 2)
+    sit(2)
+    return incremental.read_new(t.spark, f"{folder}/results").drop("run", "batch")
+
+
+@query(
+    "reused_responses",
+    "WITH asked AS (SELECT conv_id, turn, md5(text) AS digest FROM conversations UNION ALL SELECT conv_id, turn, md5(text) FROM conversations WHERE turn % 2 = 0)"
+    " SELECT conv_id, turn, min(digest) AS digest, count(*) AS requests, count(*) - 1 AS reused FROM asked GROUP BY 1, 2",
+)
+def _(t):
+    """Two overlapping loads; what the first brought is taken from the keyed state when the second asks for it."""
+    folder = _run_folder(t, "reused")
+    keys = ["conv_id", "turn"]
+    turns = t.conversations.select(*keys, F.md5("text").alias("digest"))
+    turns.coalesce(1).write.parquet(f"{folder}/turns")
+    turns.where("turn % 2 = 0").coalesce(1).write.mode("append").parquet(f"{folder}/turns")
+    stream = flows.file_stream(t.spark, f"{folder}/turns", turns.schema, files_per_batch=1)
+    incremental.cache_responses(stream, f"{folder}/cache", f"{folder}/checkpoint", keys, "digest").awaitTermination()
+    counts = incremental.reuse_counts(t.spark, f"{folder}/cache", keys)
+    return incremental.read_cache(t.spark, f"{folder}/cache").select(*keys, "digest").join(counts, keys)
+
+
+# ---------------------------------------------------------------- files
+
+_TREE_MODELS = ["serial", "omp", "mpi", "mpi+omp", "kokkos", "cuda", "hip"]
+
+
+@query(
+    "prompt_tree_source",
+    "SELECT lang AS problem_type, 'cpp' AS \"language\", source || '/' || doc_id AS name, 'mpi+omp' AS parallelism_model, md5(text) AS digest"
+    " FROM documents WHERE doc_id % 7 = 3 AND lang IN ('en', 'de')",
+)
+def _(t):
+    """Documents as a tree of prompt files, of which one model and two types are read back."""
+    folder = _run_folder(t, "tree")
+    model = F.element_at(F.array(*map(F.lit, _TREE_MODELS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    name = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    prompt_tree.write_prompt_tree(
+        t.documents.select(F.col("lang").alias("problem_type"), name.alias("name"), model.alias("parallelism_model"), F.col("text").alias("prompt")), folder
+    )
+    rows = prompt_tree.read_prompt_tree(t.spark, folder, parallelism_model=["mpi+omp"], problem_type=["en", "de"])
+    return rows.withColumn("digest", F.md5("prompt")).drop("prompt")
+
+
+@query(
+    "ranked_result_files",
+    f"WITH {_ANSWERS}, files AS (SELECT name, model, prompt, line, CASE WHEN line % 3 = 0 THEN 2 ELSE line % 3 - 1 END AS source_rank FROM ready)"
+    " SELECT name, model AS parallelism_model, arg_min(prompt, source_rank * 1000000000 + line) AS prompt, min(source_rank) AS source_rank FROM files GROUP BY 1, 2",
+)
+def _(t):
+    """Results in one folder per run, read by a glob; the first file by name that has a response wins."""
+    folder = _run_folder(t, "ranked")
+    made = restore.usable(_answered(t), 2, 0.2, False).withColumn("problem_type", F.lit("scan")).withColumn("language", F.lit("cpp"))
+    for rest, label in ((1, "a run"), (2, "b%run"), (0, "c")):
+        part = made.where(F.col("line") % 3 == rest).withColumn("max_new_tokens", F.col("line").cast("int"))
+        results.append_cache(part.select(*RESULTS.names), f"{folder}/{label}/results.json")
+    ranked = results.read_ranked_results(t.spark, f"{folder}/*/results.json", lines=True)
+    order = F.struct("source_rank", "max_new_tokens")
+    return restore.first_responses(ranked.select("name", "parallelism_model", "prompt", "source_rank", "max_new_tokens"), order, ["name", "parallelism_model"]).drop("max_new_tokens")
+
+
+@query(
+    "problem_size_file",
+    "SELECT source AS name, lang AS parallelism_model, '(1<<' || count(*) || ')' AS problem_size, (2 ** (count(*) % 60))::BIGINT AS items FROM documents GROUP BY 1, 2",
+)
+def _(t):
+    """Sizes as a nested map in one JSON file, read back as rows."""
+    path = _run_folder(t, "sizes")
+    counts = t.documents.groupBy(F.col("source").alias("name"), F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct("model", F.concat(F.lit("(1<<"), F.col("n").cast("string"), F.lit(")")))
+    by_name = counts.groupBy("name").agg(F.map_from_entries(F.collect_list(entry)).alias("sizes"))  # a few models a name
+    nested = by_name.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "sizes")))).alias("value"))
+    nested.coalesce(1).write.text(path)
+    sizes = results.read_problem_sizes(t.spark, path)
+    exponent = F.regexp_extract("problem_size", r"(\d+)\)$", 1).cast("int")
+    return sizes.withColumn("items", F.pow(F.lit(2.0), exponent % 60).cast("bigint"))
+
+
+@query("metric_csv_round_trip", SQL["pass_at_k"])
+def _(t):
+    """A metric table as CSV, and back."""
+    path = _run_folder(t, "metrics")
+    table = QUERIES["pass_at_k"](t.spark, t.folder)
+    results.write_table(table, path)
+    return t.spark.read.option("header", True).schema(table.schema).csv(path)

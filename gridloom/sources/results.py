@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources.prompt_tree import read_prompt_tree  # noqa: F401
+
 STRING, BOOLEAN, DOUBLE, INT = T.StringType(), T.BooleanType(), T.DoubleType(), T.IntegerType()
 
 
@@ -64,8 +69,25 @@ def read_results(spark: SparkSession, path: str, lines: bool = False, schema: T.
 
 
 def read_ranked_results(spark: SparkSession, pattern: str, lines: bool = False) -> DataFrame:
-    """Results of many files; ``source_file`` orders them (file names, ascending)."""
-    return read_results(spark, pattern, lines).select("*", F.col("_metadata.file_path").alias("source_file"))
+    """Results of all files or folders that match ``pattern``, with ``source_file`` and its 0-based ``source_rank`` by name.
+
+    A folder that matches counts as one file, whatever its parts. The names come from the listing, so ranks take no scan.
+    """
+    rows = read_results(spark, pattern, lines)
+    depth = _path_only(pattern).rstrip("/").count("/")
+    names = {"/".join(_path_only(unquote(f)).split("/")[: depth + 1]) for f in rows.inputFiles()}
+    ranks = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(names))], "source_file string, source_rank int")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    source = F.substring_index(F.regexp_replace(path, _SCHEME, "/"), "/", depth + 1)
+    return rows.select("*", source.alias("source_file")).join(ranks, "source_file")
+
+
+#: scheme and host of a path
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+"
+
+
+def _path_only(path: str) -> str:
+    return re.sub(_SCHEME, "/", path)
 
 
 def parse_outputs(outputs: Column) -> Column:
@@ -73,20 +95,6 @@ def parse_outputs(outputs: Column) -> Column:
     return F.transform(outputs, lambda o: F.when(F.startswith(o, F.lit("{")), F.from_json(o, OUTPUT)))
 
 
-def read_prompt_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Text files laid out as ``<type>/<name>/<model>``: the columns come from the path."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)$", i)
-    return files.select(
-        part(1).alias("problem_type"),
-        F.lit("cpp").alias("language"),
-        part(2).alias("name"),
-        part(3).alias("parallelism_model"),
-        F.col("value").alias("prompt"),
-    )
-
-
 def read_problem_sizes(spark: SparkSession, path: str) -> DataFrame:
     """``{problem: {model: "(1<<n)"}}`` as (name, parallelism_model, problem_size)."""
     nested = spark.read.text(path, wholetext=True)

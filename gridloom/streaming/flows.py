@@ -1,14 +1,11 @@
-"""Structured Streaming flows: corpus counters, incremental evaluation, response cache.
+"""Structured Streaming flows: file streams and corpus counters in operator state.
 
-All of them resume from a checkpoint folder and rewrite a micro-batch that is replayed after a
-failure instead of adding it twice.
+They resume from a checkpoint folder and rewrite a micro-batch that is replayed after a
+failure instead of adding it twice. Work over several runs is in ``incremental``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,44 +52,3 @@ def count_corpus(
 def latest_snapshot(spark: SparkSession, snapshot: str) -> DataFrame:
     states = spark.read.parquet(snapshot)
     return states.where(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
-
-
-def append_new(
-    items: DataFrame,
-    target: str,
-    checkpoint: str,
-    keys: list[str],
-    work: Callable[[DataFrame], DataFrame] = lambda df: df,
-    every: str | None = None,
-) -> StreamingQuery:
-    """Process only items whose keys are not in ``target`` yet, and append the results.
-
-    Each micro-batch drops repeats of its own, anti-joins the results of earlier batches and writes
-    ``target/batch=<n>``. A replayed batch is compared with the other batches only, then overwritten.
-    """
-
-    def write(batch_df: DataFrame, batch: int) -> None:
-        spark = batch_df.sparkSession
-        fresh = batch_df.dropDuplicates(keys)
-        done = existing(spark, target)
-        if done is not None:
-            fresh = fresh.join(done.where(F.col("batch") != batch).select(*keys), keys, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{target}/batch={batch}")
-
-    writer = items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-def existing(spark: SparkSession, target: str) -> DataFrame | None:
-    """Results written so far, or None before the first batch."""
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def cache_responses(responses: DataFrame, cache: str, checkpoint: str, keys: list[str], every: str | None = None) -> StreamingQuery:
-    """Append responses to the cache, each key once, whatever is replayed."""
-    return append_new(responses, cache, checkpoint, keys, every=every)

@@ -13,7 +13,7 @@ from gridloom.functions import estimators, text
 from gridloom.functions.rules import MODELS, launch_rows
 from gridloom.plans import corpus, evaluation, ingest, metrics, prompts, restore
 from gridloom.sources import generators, results
-from gridloom.streaming import flows
+from gridloom.streaming import flows, incremental
 
 
 def evaluated(code="x; }", built=True, runs=(), baseline=1.0):
@@ -460,18 +460,18 @@ def test_incremental_results_and_cache(spark, tmp_path):
 
     def start():
         stream = flows.file_stream(spark, source, spark.createDataFrame([], schema).schema, "json")
-        query = flows.append_new(stream, target, check, ["name", "model"], lambda df: df.withColumn("score", F.length("name")))
+        query = incremental.append_new(stream, target, check, ["name", "model"], lambda df: df.withColumn("score", F.length("name")))
         assert query.awaitTermination(120)
 
     start()
     spark.createDataFrame([("b", "omp"), ("c", "mpi")], schema).write.mode("append").json(source)
     start()
-    rows = sorted((r.name, r.model, r.score) for r in flows.existing(spark, target).collect())
+    rows = sorted((r.name, r.model, r.score) for r in incremental.read_new(spark, target).collect())
     assert rows == [("a", "omp", 1), ("b", "omp", 1), ("c", "mpi", 1)]
     stream = flows.file_stream(spark, source, spark.createDataFrame([], schema).schema, "json")
-    assert flows.cache_responses(stream, str(tmp_path / "cache"), str(tmp_path / "check2"), ["name", "model"]).awaitTermination(120)
-    assert flows.existing(spark, str(tmp_path / "cache")).count() == 3
-    assert flows.existing(spark, str(tmp_path / "none")) is None
+    assert incremental.cache_responses(stream, str(tmp_path / "cache"), str(tmp_path / "check2"), ["name", "model"]).awaitTermination(120)
+    assert incremental.read_cache(spark, str(tmp_path / "cache")).count() == 3
+    assert incremental.read_new(spark, str(tmp_path / "none")) is None
 
 
 def test_generators(spark):
