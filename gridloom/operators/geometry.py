@@ -2,50 +2,51 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_LIMIT = 4096
+from gridloom.runtime import group_id, stage
+
+#: most points of a grid cell that is joined
+CELL_LIMIT = 32
 FLUSH_ROWS = 100_000
-CHUNK = 96
+#: points among which all triples are tried
+CHUNK = 256
+#: sorted positions that a triangle task looks at, at least
+SWEEP_WORK = 1 << 20
+#: most points of a hull side that one task sweeps
+SIDE_ROWS = 1 << 18
 
 
-# ---------------------------------------------------------------- closest pair
+def finite(*columns: str) -> Column:
+    """All columns hold numbers: no null, NaN or infinity."""
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return test
 
 
-def _batch_distance(xy: np.ndarray) -> float:
-    """Smallest distance inside one Arrow batch, by sweeping along its longer axis."""
-    spans = xy.max(axis=0) - xy.min(axis=0)
-    axis = int(np.argmax(spans))
-    xy = xy[np.lexsort((xy[:, -1 - axis], xy[:, axis]))]
-    best = np.inf
-    for lag in range(1, len(xy)):
-        step = xy[lag:] - xy[:-lag]
-        near = step[:, axis] < best
-        if not near.any():
-            break
-        best = min(best, float(np.sqrt((step[near] ** 2).sum(axis=1)).min()))
-        if best == 0.0:
-            break
-    return best
+# ---------------------------------------------------------------- closest pair
 
 
-def _distance_bound(points: DataFrame, coords: list[str]):
-    """(bound, rows, largest coordinate): the smallest distance seen inside any one batch."""
+def _crowding(width: float, rows: int, dims: int) -> float | None:
+    """Distance that some two of ``rows`` points in a square (or an interval) of ``width`` cannot exceed: cut into fewer
+    parts than points, one part holds two."""
+    parts = rows - 1 if dims == 1 else math.isqrt(rows - 1)
+    return width * math.sqrt(dims) / max(parts, 1) * (1 + 1e-9)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            xy = batch[coords].to_numpy()
-            if len(xy):
-                near = _batch_distance(xy) if len(xy) > 1 else np.inf
-                yield pd.DataFrame({"d": [near], "n": [len(xy)], "m": [float(np.abs(xy).max())]})
 
-    found = points.select(*coords).mapInPandas(run, "d double, n bigint, m double")
-    return found.agg(F.min("d"), F.coalesce(F.sum("n"), F.lit(0)), F.max("m")).first()
+def _spread(extents: list[float], rows: int) -> float:
+    """The same for points in a box: the smallest squares of which fewer than ``rows`` cover it, to a tenth."""
+    width = max(extents) * (1 + 1e-9)
+    while width > 0 and math.prod(math.ceil(e / width * 1.1) or 1 for e in extents) < rows:
+        width /= 1.1
+    return width * math.sqrt(len(extents)) * (1 + 1e-9)
 
 
 def closest_pair(
@@ -55,41 +56,48 @@ def closest_pair(
     out: str = "distance",
     cell_limit: int = CELL_LIMIT,
 ) -> DataFrame:
-    """Distance of the closest pair (0 for fewer than two points); one or two coordinates.
+    """Distance of the closest pair (0 for fewer than two points); one or two coordinates. Points with a null, NaN or
+    infinite coordinate are no points.
 
-    A pass over the batches yields an upper bound d; the bound is that of a random sample of pairs,
-    so few pairs are closer. Points then meet only inside cells of width d and their neighbours.
-    If some cell still holds more than ``cell_limit`` points, batches cut from the cells tighten the
-    bound further (a crowded cell must hold a much closer pair), so no cell is joined while crowded.
+    The points' number and extent bound the distance, as more points than cells cannot all lie apart. In a grid of that
+    width the fullest cell gives a smaller bound in the same way, and so on until no cell holds more than ``cell_limit``
+    points: each round only counts cells, and a cell of m points shrinks the width by the root of m. Then points
+    meet inside cells and their neighbours, which hold the closest pair for certain.
     """
     names = list(coords)
-    points = df.select(F.col(index).alias("_i"), *[F.col(c).cast("double").alias(c) for c in names])
+    dims = len(names)
+    points = df.select(F.col(index).alias("_i"), *[F.col(c).cast("double").alias(c) for c in names]).where(finite(*names))
     spark = df.sparkSession
 
     def answer(value: float) -> DataFrame:
         return spark.range(1).select(F.lit(float(value)).alias(out))
 
-    bound, rows, scale = _distance_bound(points, names)
+    rows, *ends = points.agg(F.count(F.lit(1)), *[f(c) for c in names for f in (F.min, F.max)]).first()
     if rows < 2:
         return answer(0.0)
-    if not np.isfinite(bound):  # at most one row per batch, hence no more rows than input tasks
-        bound = _distance_bound(points.coalesce(1), names)[0]
-    cells = [f"_g{k}" for k in range(len(names))]
+    lows, extents = ends[::2], [hi - lo for lo, hi in zip(ends[::2], ends[1::2])]
+    extent = max(extents)
+    bound = _spread(extents, rows)
+    cells = [f"_g{k}" for k in range(dims)]
+    known_apart = False
     while True:
         if bound == 0.0:
             return answer(0.0)
-        width = max(bound, scale * 2.0**-40)  # keeps cell numbers exact; wider cells are still right
-        placed = points.select("*", *[F.floor(F.col(c) / F.lit(width)).alias(g) for c, g in zip(names, cells)])
+        width = max(bound, extent * 2.0**-50)  # keeps cell numbers exact; wider cells are still right
+        placed = points.select("*", *[F.floor((F.col(c) - F.lit(lo)) / F.lit(width)).alias(g) for c, lo, g in zip(names, lows, cells)])
         crowd = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if crowd <= cell_limit or width > bound:
             break
-        slices = F.pmod(F.xxhash64("_i"), F.lit(16))
-        tighter = _distance_bound(placed.repartition(*cells, slices), names)[0]
+        if not known_apart:  # equal points would stay together in any cell
+            known_apart = True
+            if points.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+                return answer(0.0)
+        tighter = _crowding(width, crowd, dims)
         if not tighter < bound:
             break
         bound = tighter
 
-    if len(names) == 1:
+    if dims == 1:
         steps = [(0,), (1,)]
     else:
         steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # half of the 3x3 cells: each pair meets once
@@ -104,7 +112,7 @@ def closest_pair(
     )
     pairs = placed.join(reach, cells).where(~F.col("_same") | (F.col("_i") < F.col("_j")))
     square = sum((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in names)
-    return pairs.agg(F.least(F.sqrt(F.min(square)), F.lit(bound)).alias(out))
+    return pairs.agg(F.sqrt(F.min(square)).alias(out))
 
 
 def closest_pair_1d(df: DataFrame, x: str = "x", index: str = "i", out: str = "distance") -> DataFrame:
@@ -142,56 +150,138 @@ def closest_pair_1d(df: DataFrame, x: str = "x", index: str = "i", out: str = "d
 # ---------------------------------------------------------------- smallest triangle
 
 
-def _min_area(a: np.ndarray, b: np.ndarray, c: np.ndarray, ab_same: bool, bc_same: bool) -> float:
+def _area(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Areas of triangles; the last axis holds x and y."""
+    u, v = q - p, r - p
+    return 0.5 * np.abs(u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0])
+
+
+def _smallest_of_all(xy: np.ndarray) -> float:
+    """Every triple of a few points."""
     best = np.inf
-    for i, p in enumerate(a):
-        first = i + 1 if ab_same else 0
-        q = b[first:]
-        if not len(q):
-            continue
-        u, v = q - p, c - p
-        area = 0.5 * np.abs(np.outer(u[:, 0], v[:, 1]) - np.outer(u[:, 1], v[:, 0]))
-        if bc_same:
-            area = area[np.arange(first, len(b))[:, None] < np.arange(len(c))[None, :]]
-        if area.size:
-            best = min(best, float(area.min()))
+    for i in range(len(xy) - 2):
+        u = xy[i + 1 :] - xy[i]
+        area = 0.5 * np.abs(np.outer(u[:, 0], u[:, 1]) - np.outer(u[:, 1], u[:, 0]))
+        best = min(best, float(area[np.triu_indices(len(u), 1)].min()))
+    return best
+
+
+def _directions(xy: np.ndarray, intervals: int) -> np.ndarray:
+    """Edges of direction intervals in [0, pi]: half of them even, half so that as many pairs point into each."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, len(xy), (2, 8 * intervals))
+    step = (xy[a] - xy[b])[a != b]
+    pairs = np.sort(np.mod(np.arctan2(step[:, 1], step[:, 0]), np.pi))
+    half = intervals // 2
+    return np.sort(np.concatenate([np.linspace(0, np.pi, half + 1), pairs[np.linspace(0, len(pairs) - 1, intervals - half).astype(int)]]))
+
+
+def _smallest_of_width(xy: np.ndarray, width: float, best: float, edges: np.ndarray) -> float:
+    """Smallest triangle among those whose longer extent is between ``width`` / 2 and ``width`` and whose longest side
+    points into one of the direction intervals, if it is smaller than ``best``.
+
+    Seen along the longest side, the three corners lie within a strip: as wide as the side's deviation from the
+    middle of its interval, plus the triangle's height. So they are close in the order across that direction.
+    """
+    middle, half = (edges[1:] + edges[:-1]) / 2, (edges[1:] - edges[:-1]) / 2
+    at_once = max(1, SWEEP_WORK // len(xy))
+    for k in range(0, len(middle), at_once):
+        turn = middle[k : k + at_once]
+        across = np.stack([-np.sin(turn), np.cos(turn)]) if len(turn) else np.zeros((2, 0))
+        u = (xy @ across).T
+        order = np.argsort(u, axis=1)
+        u = np.take_along_axis(u, order, axis=1)
+        strip = math.sqrt(2) * width * np.sin(half[k : k + at_once]) * (1 + 1e-9) + 1e-14 * np.abs(u).max()
+        for far in range(2, len(xy)):
+            row, first = np.nonzero(u[:, far:] - u[:, :-far] <= (strip + 4 * best / width)[:, None])
+            if not len(row):
+                break
+            p, r = xy[order[row, first]], xy[order[row, first + far]]
+            for near in range(1, far):
+                best = min(best, float(_area(p, xy[order[row, first + near]], r).min()))
     return best
 
 
 def smallest_triangle(
     df: DataFrame, keys: list[str], x: str = "x", y: str = "y", index: str = "i", out: str = "area", chunk: int = CHUNK
 ) -> DataFrame:
-    """Smallest triangle area per group (0 for fewer than three points).
-
-    The work is cubic in a group, because nearly collinear points may lie far apart. A group is
-    hashed into chunks of about ``chunk`` points and every unordered triple of chunks is one task, so
-    no task holds more than three chunks however large the group is, and no pairs are shuffled.
+    """Smallest triangle area per group, of which null is one (0 for fewer than three points or if two are equal).
+    Points with a null, NaN or infinite coordinate are no points.
+
+    Nearly collinear points may lie far apart, so cells alone cannot prune. Triangles are sought by size instead: at
+    level j those whose longer extent is about the group's divided by 2**j, in overlapping blocks of two such cells a side.
+    All triples of a block of up to ``chunk`` points are tried. In a larger block the direction of the longest side is
+    cut into intervals, two a point; within one, the corners of a triangle no larger than the smallest known are
+    close in the order across it (see ``_smallest_of_width``). Only points of large blocks go on to the next level. The
+    work is about quadratic in the points of a block, and its intervals are dealt to many tasks; a task holds the
+    coordinates of its block.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.ceil(F.col("_n") / chunk).cast("int")
-    points = (
-        df.select(*keys, F.col(index).alias("_i"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        .join(sizes, keys)
-        .where(F.col("_n") >= 3)
-        .withColumn("_chunks", chunks)
-        .withColumn("_c", F.pmod(F.xxhash64("_i"), "_chunks").cast("int"))
-        .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        .withColumn("_q", F.explode(F.sequence("_p", F.col("_chunks") - 1)))
-        .withColumn("_t", F.array_sort(F.array("_c", "_p", "_q")))
-        .select(*keys, "_t", "_c", "_x", "_y")
-    )
+    chunk = max(chunk, 3)
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], group_id(keys).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    groups = rows.select(*[F.col(f"`{k}`") for k in keys], "_g").distinct()
+    points = stage(rows.where(finite("_x", "_y")).groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "points")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        triple = list(key[-1])
-        a, b, c = (pdf.loc[pdf["_c"] == t, ["_x", "_y"]].to_numpy() for t in triple)
-        area = _min_area(a, b, c, triple[0] == triple[1], triple[1] == triple[2])
-        return pd.DataFrame([[*key[:-1], area]])
-
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    areas = points.groupBy(*keys, "_t").applyInPandas(run, f"{fields}, _area double").groupBy(*keys).agg(
-        F.min("_area").alias("_area")
-    )
-    return sizes.join(areas, keys, "left").select(*keys, F.coalesce("_area", F.lit(0.0)).alias(out))
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Triples in the order of x: some small triangles."""
+        for batch in batches:
+            for g, part in batch.groupby("_g"):
+                xy = part[["_x", "_y"]].to_numpy()
+                xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]
+                if len(xy) > 2:
+                    yield pd.DataFrame({"_g": [g], "_area": [float(_area(xy[:-2], xy[1:-1], xy[2:]).min())]})
+
+    some = points.mapInPandas(neighbours, "_g string, _area double").groupBy("_g").agg(F.min("_area").alias("_area"))
+    extent = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))
+    info = points.groupBy("_g").agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), extent.alias("_width")
+    ).where("_rows >= 3").join(some, "_g", "left")
+    start = F.when(F.col("_m") < F.col("_rows"), 0.0).otherwise(F.coalesce("_area", F.col("_width") * F.col("_width") / 2))
+    info = stage(info.select("_g", "_m", "_x0", "_y0", "_width", start.alias("_best")), "groups")
+
+    def search(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        xy = block[["_x", "_y"]].to_numpy()
+        if len(xy) <= chunk:
+            return pd.DataFrame({"_g": [key[0]], "_area": [_smallest_of_all(xy)]})
+        xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]  # all tasks of a block cut it alike
+        edges = _directions(xy, 2 * len(xy))
+        lo, hi = (len(edges) - 1) * int(key[3]) // int(key[4]), (len(edges) - 1) * (int(key[3]) + 1) // int(key[4])
+        best = _smallest_of_width(xy, float(block["_width"].iloc[0]), float(block["_best"].iloc[0]), edges[lo : hi + 1])
+        return pd.DataFrame({"_g": [key[0]], "_area": [best]})
+
+    live, level = points.select("_g", "_x", "_y"), 0
+    while True:
+        # areas at rounding level are not told apart any further
+        todo = info.where(F.col("_best") > F.lit(2.0**-50) * F.col("_width") * F.col("_width"))
+        placed = live.join(todo, "_g").withColumn("_width", F.col("_width") / 2.0**level)
+        if level == 0:
+            placed = placed.withColumns({"_bx": F.lit(0).cast("bigint"), "_by": F.lit(0).cast("bigint")})
+        else:
+            cell = lambda c, lo: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("_width")), F.lit((1 << level) - 1))
+            cx, cy = cell("_x", "_x0"), cell("_y", "_y0")
+            blocks = F.array(*[F.struct((cx - a).alias("_bx"), (cy - b).alias("_by")) for a in (0, 1) for b in (0, 1)])
+            placed = placed.drop("_m").select("*", F.inline(blocks))
+            sizes = placed.groupBy("_g", "_bx", "_by").agg(F.count(F.lit(1)).alias("_m")).where("_m >= 3")
+            placed = placed.join(sizes, ["_g", "_bx", "_by"])
+        many = F.col("_m").cast("double")
+        parts = F.when(F.col("_m") <= chunk, 1).otherwise(F.ceil(2 * many * many / F.greatest(F.lit(SWEEP_WORK), 512 * many))).cast("int")
+        dealt = placed.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        found = dealt.groupBy("_g", "_bx", "_by", "_part", "_parts").applyInPandas(search, "_g string, _area double")
+        found = found.groupBy("_g").agg(F.min("_area").alias("_found"))
+        if level == 0:
+            large = todo.where(F.col("_m") > chunk).select("_g")
+            deeper = not large.isEmpty()
+            found = stage(found, "triangles") if deeper else found
+            live = stage(live.join(large, "_g", "left_semi"), "live") if deeper else live
+        else:
+            found = stage(found, "triangles")
+            live = stage(placed.where(F.col("_m") > chunk).select("_g", "_x", "_y").distinct(), "live")
+            deeper = not live.isEmpty()
+        info = info.join(found, "_g", "left").withColumn("_best", F.least("_best", "_found")).drop("_found")
+        if not deeper:
+            break
+        info, level = stage(info, "groups"), level + 1
+    area = info.select("_g", F.col("_best").alias(out))
+    return groups.join(area, "_g", "left").select(*[F.col(f"`{k}`") for k in keys], F.coalesce(out, F.lit(0.0)).alias(out))
 
 
 # ---------------------------------------------------------------- convex hull
@@ -218,17 +308,15 @@ def _corners(xy: np.ndarray) -> np.ndarray:
     return np.unique(np.vstack([_chain(xy), _chain(xy[::-1])]), axis=0)
 
 
-def _batch_hulls(points: DataFrame, keys: list[str]) -> DataFrame:
+def _batch_hulls(points: DataFrame) -> DataFrame:
     """Drop points inside the hull of what their own task has seen; memory per task is bounded."""
 
     def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [
-            pd.DataFrame(_corners(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(
-                **dict(zip(keys, key if isinstance(key, tuple) else (key,)))
-            )
-            for key, g in pdf.groupby(keys, sort=False)
+            pd.DataFrame(_corners(part[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(_g=g)
+            for g, part in pdf.groupby("_g", sort=False)
         ]
-        return pd.concat(parts)[[*keys, "x", "y"]]
+        return pd.concat(parts)[["_g", "x", "y"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -250,19 +338,20 @@ _SIDES = [("wl", "sl", 1), ("sr", "el", 1), ("eh", "nr", -1), ("nl", "wh", -1)]
 _FLATS = [("sl", "sr"), ("el", "eh"), ("nr", "nl"), ("wh", "wl")]
 
 
-def hull_edges(df: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y") -> DataFrame:
-    """Edges ``(keys, x, y, next_x, next_y)`` of the strict hull, counter-clockwise, per group.
+def hull_edges(df: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y", side_rows: int = SIDE_ROWS) -> DataFrame:
+    """Edges ``(keys, x, y, next_x, next_y)`` of the strict hull, counter-clockwise, per group, of which null is one.
+    Points with a null, NaN or infinite coordinate are no points.
 
     Tasks first discard everything inside their local hulls. The eight extreme corners of a group
-    then split the survivors into four independent sides; points inside the corner polygon go, and
-    each side is swept on its own, so no task sees a whole group of survivors.
+    then split the survivors into four independent sides; points inside the corner polygon go. A side of more than
+    ``side_rows`` points is split at the point farthest from its chord, which is a corner of the hull, and so on:
+    points inside the triangle go, the others belong to one of the two new sides. Each side is swept on its own, so no
+    task sees a whole group, even if all its points lie on the hull.
     """
     keys = keys or []
-    by = keys or ["_all"]
-    points = df.select(
-        *keys, *([] if keys else [F.lit(0).alias("_all")]), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
-    )
-    survivors = _batch_hulls(points, by)
+    by = ["_g"]
+    points = df.select(group_id(keys).alias("_g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    survivors = stage(_batch_hulls(points.where(finite("x", "y"))), "survivors")
     px, py = F.col("x"), F.col("y")
     corners = survivors.groupBy(*by).agg(
         F.min(F.struct(px, py)).alias("wl"),
@@ -293,41 +382,53 @@ def hull_edges(df: DataFrame, keys: list[str] | None = None, x: str = "x", y: st
         at("y", "x", "nr").alias("nr"),
     )
 
-    def outside(a: str, b: str):
+    def beyond(a: str, b: str) -> Column:
+        """Twice the signed area of (a, b, point): negative outside the side from a to b."""
         ax, ay, bx, by_ = F.col(a)["x"], F.col(a)["y"], F.col(b)["x"], F.col(b)["y"]
-        return (bx - ax) * (py - ay) - (by_ - ay) * (px - ax) < 0
-
-    side = F.lit(None).cast("int")
-    for number, (a, b, _) in reversed(list(enumerate(_SIDES))):
-        side = F.when(outside(a, b), F.lit(number)).otherwise(side)
-    held = survivors.join(corners, by).withColumn("_side", side).where(F.col("_side").isNotNull()).select(*by, "_side", "x", "y")
-    ends = corners.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("_side"), F.col(c)["x"].alias("x"), F.col(c)["y"].alias("y"))
-                    for n, (a, b, _) in enumerate(_SIDES)
-                    for c in (a, b)
-                ]
-            )
-        ),
-    )
-
-    def sweep(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = np.unique(pdf[["x", "y"]].to_numpy(), axis=0)[:: _SIDES[int(key[-1])][2]]
+        return (bx - ax) * (py - ay) - (by_ - ay) * (px - ax)
+
+    def first_beyond(sides: list[tuple[str, str, Column]]) -> Column:
+        side = F.lit(None).cast("bigint")
+        for a, b, number in reversed(sides):
+            side = F.when(beyond(a, b) < 0, number).otherwise(side)
+        return side
+
+    # sides are numbered 4 to 7, the halves of side s are 2s and 2s + 1
+    numbered = first_beyond([(a, b, F.lit(4 + n).cast("bigint")) for n, (a, b, _) in enumerate(_SIDES)])
+    held = survivors.join(corners, by).withColumn("_side", numbered).where(F.col("_side").isNotNull()).select(*by, "_side", "x", "y")
+    ends = corners.select(*by, F.inline(F.array(*[F.struct(F.lit(4 + n).cast("bigint").alias("_side"), F.col(a).alias("a"), F.col(b).alias("b")) for n, (a, b, _) in enumerate(_SIDES)])))
+    if survivors.count() > side_rows:  # else no side can be large
+        held, ends = stage(held, "held"), stage(ends, "sides")
+        while True:
+            crowded = held.groupBy(*by, "_side").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > side_rows).select(*by, "_side")
+            if crowded.isEmpty():
+                break
+            open_sides = stage(ends.join(crowded, [*by, "_side"]), "open")
+            reach = held.join(open_sides, [*by, "_side"])
+            # of equally far points the lowest is an end of an edge
+            apex = reach.groupBy(*by, "_side").agg(F.min_by(F.struct("x", "y"), F.struct(beyond("a", "b").alias("d"), "x", "y")).alias("c"))
+            split = stage(open_sides.join(apex, [*by, "_side"]), "split")
+            halves = first_beyond([("a", "c", F.col("_side") * 2), ("c", "b", F.col("_side") * 2 + 1)])
+            moved = held.join(split, [*by, "_side"]).withColumn("_half", halves).where("_half IS NOT NULL")
+            rest = held.join(split, [*by, "_side"], "left_anti").select(*by, "_side", "x", "y")
+            held = stage(rest.unionByName(moved.select(*by, F.col("_half").alias("_side"), "x", "y")), "held")
+            new = split.select(*by, F.inline(F.array(
+                F.struct((F.col("_side") * 2).alias("_side"), F.col("a").alias("a"), F.col("c").alias("b")),
+                F.struct((F.col("_side") * 2 + 1).alias("_side"), F.col("c").alias("a"), F.col("b").alias("b")),
+            )))
+            ends = stage(ends.join(split, [*by, "_side"], "left_anti").unionByName(new), "sides")
+    ends = ends.select(*by, "_side", F.inline(F.array("a", "b")))
+
+    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        side = int(key[1])
+        side >>= side.bit_length() - 3
+        xy = np.unique(pdf[["x", "y"]].to_numpy(), axis=0)[:: _SIDES[side - 4][2]]
         chain = _chain(xy)
         edges = pd.DataFrame(np.hstack([chain[:-1], chain[1:]]), columns=["x", "y", "next_x", "next_y"])
-        for name, value in zip(by, key):
-            edges[name] = value
-        return edges[[*by, "x", "y", "next_x", "next_y"]]
-
-    fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
-    sides = (
-        held.unionByName(ends)
-        .groupBy(*by, "_side")
-        .applyInPandas(sweep, f"{fields}, x double, y double, next_x double, next_y double")
-    )
+        edges["_g"] = key[0]
+        return edges[["_g", "x", "y", "next_x", "next_y"]]
+
+    sides = held.unionByName(ends).groupBy(*by, "_side").applyInPandas(sweep, "_g string, x double, y double, next_x double, next_y double")
     flats = corners.select(
         *by,
         F.inline(
@@ -344,30 +445,34 @@ def hull_edges(df: DataFrame, keys: list[str] | None = None, x: str = "x", y: st
             )
         ),
     ).where((F.col("x") != F.col("next_x")) | (F.col("y") != F.col("next_y")))
-    return sides.unionByName(flats).drop(*([] if keys else ["_all"]))
+    edges = sides.unionByName(flats)
+    if not keys:
+        return edges.drop("_g")
+    names = df.select(*[F.col(f"`{k}`") for k in keys], group_id(keys).alias("_g")).distinct()
+    return edges.join(names, "_g").select(*[F.col(f"`{k}`") for k in keys], "x", "y", "next_x", "next_y")
 
 
-def convex_hull(df: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y") -> DataFrame:
+def convex_hull(df: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y", side_rows: int = SIDE_ROWS) -> DataFrame:
     """Hull vertices per group as a set; a group of fewer than three distinct points comes back as it is."""
-    edges = hull_edges(df, keys, x, y)
-    names = [*(keys or []), "x", "y"]
-    starts = edges.select(*names)
-    single = df.groupBy(*(keys or [])).agg(F.min(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_p"))
-    lowest = single.where(F.col("_p").isNotNull()).select(*(keys or []), "_p.*")  # the lowest point is always a vertex
-    return starts.unionByName(lowest).distinct()
+    edges = hull_edges(df, keys, x, y, side_rows)
+    by = [F.col(f"`{k}`") for k in keys or []]
+    points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(finite("x", "y"))
+    lowest = points.groupBy(*by).agg(F.min(F.struct("x", "y")).alias("_p")).where("_p IS NOT NULL").select(*by, "_p.*")  # always a vertex
+    return edges.select(*by, "x", "y").unionByName(lowest).distinct()
 
 
 def hull_perimeter(
-    df: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y", out: str = "perimeter"
+    df: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y", out: str = "perimeter", side_rows: int = SIDE_ROWS
 ) -> DataFrame:
     """Perimeter of the hull per group; 0 for fewer than three points."""
-    keys = keys or []
-    edges = hull_edges(df, keys, x, y).select(
-        *keys, F.hypot(F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")).alias("_len"), F.lit(0).alias("_n")
+    by = [F.col(f"`{k}`") for k in keys or []]
+    edges = hull_edges(df, keys, x, y, side_rows).select(
+        *by, F.hypot(F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")).alias("_len"), F.lit(0).alias("_n")
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.lit(0.0).alias("_len"), "_n")
+    points = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sizes = points.groupBy(*by).agg(F.count_if(finite("_x", "_y")).alias("_n")).select(*by, F.lit(0.0).alias("_len"), "_n")
     return (
         edges.unionByName(sizes)
-        .groupBy(*keys)
+        .groupBy(*by)
         .agg(F.when(F.sum("_n") >= 3, F.sum("_len")).otherwise(0.0).alias(out))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAGE_CONF = "spark.checkpoint.dir"
@@ -54,6 +54,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def group_id(keys: list[str]) -> Column:
+    """One text for the values of ``keys``, never null, so that groups with null keys pass joins and Python functions."""
+    # each value with its length, so that no two lists of values read alike
+    values = [F.col(f"`{k}`").cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    return F.md5(F.concat(*parts).cast("binary")) if parts else F.lit("")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which nulls are equal; ``right`` adds its other columns."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
