@@ -300,6 +300,22 @@ def _(t):
     return sort.kth_smallest(cents, 500)
 
 
+@query("kth_smallest_value", "SELECT value AS result FROM events ORDER BY 1 LIMIT 1 OFFSET 99")
+def _(t):
+    return sort.kth_smallest(t.events, 100, "value")
+
+
+@query(
+    "price_quantiles",
+    "SELECT p AS probability, round(q, 6) AS value FROM (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]::DOUBLE[]) AS p,"
+    " unnest(quantile_cont(o_totalprice - 150000.0, [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0])) AS q FROM orders)",
+)
+def _(t):
+    """Exact quantiles of positive and negative doubles, all in one selection."""
+    around = t.orders.select((F.col("o_totalprice") - 150000.0).alias("x"))
+    return sort.quantiles(around, "x", [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]).select("probability", rounded("value", 6).alias("value"))
+
+
 @query("sorted_ranks", f"WITH {v.VEC} SELECT i, row_number() OVER (ORDER BY CAST(x AS FLOAT), i) - 1 AS \"rank\" FROM vec")
 def _(t):
     return sort.ranks(v.vec(t).withColumn("x", F.col("x").cast("float"))).select("i", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import INT32_MAX
-from gridloom.runtime import hot_keys, repeat_rows, salted_join, spread_rows, stage
+from gridloom.runtime import hot_keys, repeat_rows, salted_join, spread_rows, stage, unstage
 
 
 def edge_count(adjacency: DataFrame, a: str = "a", out: str = "result") -> DataFrame:
@@ -73,7 +73,8 @@ def component_labels(
             .unionByName(lowest.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        pairs = stage(contracted, "pairs")
+        last, pairs = pairs, stage(contracted, "pairs")
+        unstage(last, hung)  # a round needs the table of the round before only
         before, state = state, fingerprint(pairs)
         if state == before:
             break
@@ -98,12 +99,23 @@ def component_count(edges: DataFrame, vertices: DataFrame, out: str = "result")
     return labels.agg(F.count_if(F.col("id") == F.col("component")).alias(out))
 
 
+def _merged(segments: list[DataFrame], rows: list[int]) -> None:
+    """Join the last segments while they are of like size: a few remain however many waves there were."""
+    while len(rows) > 1 and rows[-2] <= 2 * rows[-1]:
+        one = stage(segments[-2].union(segments[-1]), "visited")
+        unstage(*segments[-2:])
+        segments[-2:], rows[-2:] = [one], [sum(rows[-2:])]
+
+
 def hop_distance(
     edges: DataFrame, source, dest, unreachable: int = INT32_MAX, max_hops: int | None = None, out: str = "result", **salting
 ) -> DataFrame:
     """Breadth-first hop distance over directed ``edges``; ``unreachable`` if there is no path.
 
-    Each wave is staged; only its size and whether it holds the destination come to the driver.
+    Waves start from both ends and the smaller one goes on, so each covers about half of the way. The links are written
+    once in either direction, with hub vertices dealt out. A wave is staged and compared with the vertices its
+    side has seen, which lie in a few segments that grow like a logarithm, and with the other side's last wave; only
+    the two counts come to the driver.
     """
     spark = edges.sparkSession
 
@@ -113,25 +125,38 @@ def hop_distance(
     if source == dest:
         return answer(0)
     kind = edges.schema["src"].dataType
-    links = edges.select(F.col("src").alias("id"), F.col("dst").alias("_to")).where(F.col("id") != F.col("_to"))
-    # every wave reads the links again: written once, with hub vertices already dealt out
-    links = stage(links, "links")
-    hot = stage(hot_keys(links, ["id"], **salting), "hubs")
-    links = spread_rows(links, hot, ["id"], ["_to"])
-    wave = spark.range(1).select(F.lit(source).cast(kind).alias("id"))
-    seen = [wave]
-    hops = 0
-    while max_hops is None or hops < max_hops:
-        hops += 1
-        visited = seen[0]
-        for earlier in seen[1:]:
-            visited = visited.union(earlier)
-        reached = links.join(repeat_rows(wave, hot, ["id"]), ["id", "_slice"]).select(F.col("_to").alias("id")).distinct()
-        wave = stage(reached.join(visited, "id", "left_anti"), "wave")
-        rows, hit = wave.agg(F.count(F.lit(1)), F.coalesce(F.bool_or(F.col("id") == F.lit(dest)), F.lit(False))).first()
-        if hit:
-            return answer(hops)
-        if rows == 0:
-            break
-        seen.append(wave)
-    return answer(unreachable)
+    sides = []
+    for start, near, far in ((source, "src", "dst"), (dest, "dst", "src")):
+        links = edges.select(F.col(near).alias("id"), F.col(far).alias("_to")).where(F.col("id") != F.col("_to"))
+        links = stage(links, "links")
+        hot = stage(hot_keys(links, ["id"], **salting), "hubs")
+        wave = stage(spark.range(1).select(F.lit(start).cast(kind).alias("id")), "wave")
+        sides.append({"links": spread_rows(links, hot, ["id"], ["_to"]), "hot": hot, "wave": wave, "rows": 1, "seen": [wave], "sizes": [1], "hops": 0})
+
+    try:
+        while max_hops is None or sides[0]["hops"] + sides[1]["hops"] < max_hops:
+            side, other = sorted(sides, key=lambda s: s["rows"])
+            reached = side["links"].join(repeat_rows(side["wave"], side["hot"], ["id"]), ["id", "_slice"]).select(F.col("_to").alias("id")).distinct()
+            for segment in side["seen"]:
+                reached = reached.join(segment, "id", "left_anti")
+            wave = stage(reached, "wave")
+            met = other["wave"].select("id", F.lit(1).alias("_met"))
+            rows, hits = wave.join(met, "id", "left").agg(F.count(F.lit(1)), F.count("_met")).first()
+            side["hops"] += 1
+            side["seen"].append(wave)
+            side["sizes"].append(rows)
+            # before this wave the two sides had no vertex in common, so a first meeting is a shortest path
+            if hits:
+                return answer(sides[0]["hops"] + sides[1]["hops"])
+            if rows == 0:
+                return answer(unreachable)
+            side["rows"], side["wave"] = rows, wave.select("id")
+            if len(side["seen"]) > 2:  # the newest segment stays as it is, the wave is read from it
+                newest, size = side["seen"].pop(), side["sizes"].pop()
+                _merged(side["seen"], side["sizes"])
+                side["seen"].append(newest)
+                side["sizes"].append(size)
+        return answer(unreachable)
+    finally:
+        for side in sides:
+            unstage(side["hot"], *side["seen"])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.runtime import salted_join
+from gridloom.runtime import grid_join, salted_join, shuffle_width
 
 BLOCK_BITS = 8
+#: blocks of a product that a task adds up at a time
+HELD_BLOCKS = 64
 
 
 def add_duplicates(a: DataFrame) -> DataFrame:
@@ -33,66 +37,79 @@ def dense(a: DataFrame, rows: int, cols: int) -> DataFrame:
 def spmm(a: DataFrame, b: DataFrame, shape: tuple[int, int] | None = None, **salting) -> DataFrame:
     """Sparse product A B; duplicates add. ``shape`` asks for the dense result.
 
-    Both sides are reduced to one entry per coordinate before the join on the inner index, and an
-    inner index that dominates A is split by row over many tasks. The products are summed inside
-    the join stage before they are shuffled by (row, col).
+    Both sides are reduced to one entry per coordinate before the join on the inner index. An inner index that
+    dominates either side is a grid of slices, over rows of A and columns of B, so that each pair of entries meets
+    in one of many tasks. The products are summed inside the join stage before they are shuffled by (row, col).
     """
     left = add_duplicates(a).select("row", F.col("col").alias("_k"), F.col("value").alias("_a"))
     right = add_duplicates(b).select(F.col("row").alias("_k"), "col", F.col("value").alias("_b"))
     product = (
-        salted_join(left, right, ["_k"], ["row"], **salting)
+        grid_join(left, right, ["_k"], ["row"], ["col"], **salting)
         .groupBy("row", "col")
         .agg(F.sum(F.col("_a") * F.col("_b")).alias("value"))
     )
     return dense(product, *shape) if shape else product
 
 
-def gemm(a: DataFrame, b: DataFrame, shape: tuple[int, int], bits: int = BLOCK_BITS) -> DataFrame:
-    """Dense product C = A B with ``shape`` = (rows of A, columns of B).
+def gemm(a: DataFrame, b: DataFrame, shape: tuple[int, int], bits: int = BLOCK_BITS, inner: int | None = None) -> DataFrame:
+    """Dense product C = A B with ``shape`` = (rows of A, columns of B); repeated coordinates add up.
 
-    Blocks of 2**bits x 2**bits cells meet on (row block, column block, inner block), each task
-    multiplies two bounded blocks, and partial blocks are added by coordinate.
+    The cells of either side are shuffled once, by the block of the inner index they belong to, and packed there
+    into one row per block of 2**bits x 2**bits cells. The packed rows meet in a join that needs no further shuffle; each
+    task adds up what it gets for a block of C, so that a partial block leaves it once in most cases. With fewer
+    inner blocks than tasks, the side with more blocks is dealt to slices and the other one goes to every slice.
+    ``inner`` is the number of columns of A, which is looked up if it is not given.
     """
     size = 1 << bits
-    block_rows, block_cols = -(-shape[0] // size), -(-shape[1] // size)
-    left = a.select(
-        F.shiftright("row", bits).alias("bi"),
-        F.shiftright("col", bits).alias("bk"),
-        F.col("row").bitwiseAND(size - 1).cast("int").alias("r"),
-        F.col("col").bitwiseAND(size - 1).cast("int").alias("k"),
-        F.col("value").cast("double").alias("v"),
-    ).withColumn("bj", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(block_cols - 1).cast("bigint"))))
-    right = b.select(
-        F.shiftright("col", bits).alias("bj"),
-        F.shiftright("row", bits).alias("bk"),
-        F.col("row").bitwiseAND(size - 1).cast("int").alias("k"),
-        F.col("col").bitwiseAND(size - 1).cast("int").alias("c"),
-        F.col("value").cast("double").alias("v"),
-    ).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(block_rows - 1).cast("bigint"))))
-
-    def multiply(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"row": [], "col": [], "value": []})
-        left_block, right_block = np.zeros((size, size)), np.zeros((size, size))
-        np.add.at(left_block, (x.r.to_numpy(), x.k.to_numpy()), x.v.to_numpy())
-        np.add.at(right_block, (y.k.to_numpy(), y.c.to_numpy()), y.v.to_numpy())
-        rows, cols = np.unique(x.r.to_numpy()), np.unique(y.c.to_numpy())
-        cells = (left_block @ right_block)[np.ix_(rows, cols)]
-        return pd.DataFrame(
-            {
-                "row": np.repeat(rows.astype("int64") + (int(key[0]) << bits), len(cols)),
-                "col": np.tile(cols.astype("int64") + (int(key[1]) << bits), len(rows)),
-                "value": cells.ravel(),
-            }
-        )
-
-    keys = ["bi", "bj", "bk"]
-    partial = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(multiply, "row bigint, col bigint, value double")
-    )
-    return add_duplicates(partial)
+    inner = inner or (a.agg(F.max("col")).first()[0] or 0) + 1
+    rows, cols, depth = (-(-n // size) for n in (*shape, inner))
+    slices = max(1, min(max(rows, cols), -(-shuffle_width(a.sparkSession) // depth)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
+
+    def packed(cells: DataFrame, own: str, place: str, deal: bool) -> DataFrame:
+        block = F.shiftright(own, bits)
+        split = cells.select(
+            F.shiftright(place, bits).alias("bk"), (block % slices if deal else every).alias("slice"), block.alias(f"b_{own}"),
+            F.col(own).bitwiseAND(size - 1).cast("int").alias("o"), F.col(place).bitwiseAND(size - 1).cast("int").alias("k"),
+            F.col("value").cast("double").alias("v"),
+        )
+        # grouping and join keep to this partitioning
+        lists = [F.collect_list(c).alias(f"{own}_{c}") for c in ("o", "k", "v")]
+        return split.repartition("bk", "slice").groupBy("bk", "slice", f"b_{own}").agg(*lists)
+
+    left, right = packed(a, "row", "col", rows >= cols), packed(b, "col", "row", rows < cols)
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}
+        latest: tuple = (None, None)
+
+        def block(own, k, v, turned: bool) -> np.ndarray:
+            cells = np.zeros((size, size))
+            np.add.at(cells, (k, own) if turned else (own, k), v)
+            return cells
+
+        def cells(at) -> pd.DataFrame:
+            total, seen = sums.pop(at)
+            r, c = np.nonzero(seen)
+            return pd.DataFrame({"row": r + (at[0] << bits), "col": c + (at[1] << bits), "value": total[r, c]})
+
+        for frame in frames:
+            for pair in frame.itertuples(index=False):
+                if latest[0] != (pair.bk, pair.b_row):  # the pairs of one left block follow each other
+                    latest = (pair.bk, pair.b_row), block(pair.row_o, pair.row_k, pair.row_v, False)
+                at = (int(pair.b_row), int(pair.b_col))
+                if at not in sums:
+                    if len(sums) >= HELD_BLOCKS:
+                        yield cells(next(iter(sums)))
+                    sums[at] = [np.zeros((size, size)), np.zeros((size, size), dtype=bool)]
+                total, seen = sums[at]
+                total += latest[1] @ block(pair.col_o, pair.col_k, pair.col_v, True)
+                seen[np.ix_(np.unique(pair.row_o), np.unique(pair.col_o))] = True
+        while sums:
+            yield cells(next(iter(sums)))
+
+    pairs = left.join(right, ["bk", "slice"])
+    return add_duplicates(pairs.mapInPandas(multiply, "row bigint, col bigint, value double"))
 
 
 def _row_products(a: DataFrame, x: DataFrame, **salting) -> DataFrame:

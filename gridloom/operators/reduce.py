@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import INT32_MAX, safe_inverse
+from gridloom.operators.sort import quantiles
+from gridloom.runtime import stage
 
 
 def logical_xor(df: DataFrame, x: str = "x", out: str = "result") -> DataFrame:
@@ -60,15 +62,12 @@ def mean_or_zero(df: DataFrame, x: str = "x", out: str = "result") -> DataFrame:
 def describe(df: DataFrame, x: str, exact_median: bool = True) -> DataFrame:
     """mean, population deviation, min, max, median and total of one numeric column.
 
-    The exact median sees a histogram of distinct values, so it suits counts; pass
-    ``exact_median=False`` for columns with unbounded distinct values.
+    The exact median comes from a radix selection over the values, which are written once; no task holds the distinct
+    values. ``exact_median=False`` takes Spark's approximate one in the same pass.
     """
-    median = F.median(x) if exact_median else F.percentile_approx(x, 0.5).cast("double")
-    return df.agg(
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        median.alias("median"),
-        F.sum(x).alias("total"),
-    )
+    measures = [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("total")]
+    if not exact_median:
+        return df.agg(*measures, F.percentile_approx(x, 0.5).cast("double").alias("median")).select("mean", "std", "min", "max", "median", "total")
+    values = stage(df.select(x), "numbers")
+    middle = quantiles(values, x, [0.5]).select("value").scalar()
+    return values.agg(*measures).select("mean", "std", "min", "max", middle.alias("median"), "total")

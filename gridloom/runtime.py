@@ -44,14 +44,24 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors and lets later steps read single columns.
     """
     path = f"{stage_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; only frames that ``stage`` returned are taken."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def group_id(keys: list[str]) -> Column:
@@ -73,19 +83,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = 1_000_000, share: int = 1000) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/``share`` of all rows, with a slice count.
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = 1_000_000, share: int = 100_000) -> DataFrame:
+    """Keys with more rows than one task should get, with a slice count.
 
-    At most ``share`` keys qualify, which bounds the table for broadcasting. Exact counts (not samples)
-    decide, so that every reader of the table agrees on it.
+    A task gets ``hot_rows`` rows, or 1/``share`` of all rows if that is more: at most ``share`` keys qualify, which bounds
+    the table for broadcasting. Exact counts (not samples) decide, so that every reader of the table agrees on it.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        counts.where((F.col("_n") > hot_rows) & (F.col("_n") * share > total))
-        .withColumn("_slices", F.ceil(F.col("_n") * share / total).cast("int"))
-        .drop("_n")
-    )
+    budget = F.greatest(F.lit(hot_rows), total / share)
+    return counts.where(F.col("_n") > budget).withColumn("_slices", F.ceil(F.col("_n") / budget).cast("int")).drop("_n")
 
 
 def spread_rows(df: DataFrame, hot: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
@@ -108,14 +115,38 @@ def salted_join(
     spread: list[str],
     how: str = "inner",
     hot_rows: int = 1_000_000,
-    share: int = 1000,
+    share: int = 100_000,
 ) -> DataFrame:
     """Equi-join that splits the hot keys of ``left`` over many tasks (see ``hot_keys``).
 
     ``how`` may be inner, left, left_semi or left_anti: each left row is in exactly one slice, and
-    every slice sees all right rows of its key.
+    every slice sees all right rows of its key. The counts are written once, for both sides to read.
     """
-    hot = hot_keys(left, on, hot_rows, share)
+    hot = stage(hot_keys(left, on, hot_rows, share), "hot")
     return (
         spread_rows(left, hot, on, spread).join(repeat_rows(right, hot, on), [*on, "_slice"], how).drop("_slice")
     )
+
+
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    left_spread: list[str],
+    right_spread: list[str],
+    hot_rows: int = 1_000_000,
+    share: int = 100_000,
+) -> DataFrame:
+    """Inner equi-join in which a key may be hot on either side or both: its rows form a grid of slices, and each pair of
+    rows meets in one cell of it."""
+    sides = [hot_keys(df, on, hot_rows, share).withColumnRenamed("_slices", f"_{name}") for df, name in ((left, "down"), (right, "across"))]
+    hot = sides[0].join(sides[1], on, "full").fillna(1, ["_down", "_across"])
+    hot = stage(hot, "hot")
+    down, across = F.coalesce("_down", F.lit(1)), F.coalesce("_across", F.lit(1))
+
+    def dealt(df: DataFrame, spread: list[str], own: str, slices: Column, other: str, copies: Column) -> DataFrame:
+        placed = df.join(F.broadcast(hot), on, "left").withColumn(own, F.pmod(F.xxhash64(*spread), slices).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), copies - 1))).drop("_down", "_across")
+
+    rows = dealt(left, left_spread, "_i", down, "_j", across)
+    return rows.join(dealt(right, right_spread, "_j", across, "_i", down), [*on, "_i", "_j"]).drop("_i", "_j")

@@ -1,6 +1,7 @@
 """Null keys are a group like any other; NaN is no value."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import geometry, index, sort
 from gridloom.sources import results
@@ -38,9 +39,11 @@ def test_closest_pair_ignores_nan_and_null(spark):
     assert geometry.closest_pair_1d(df).first()[0] == 10.0
 
 
-def test_selection_refuses_fractions(keyed):
+def test_selection_takes_fractions_and_refuses_other_types(keyed):
+    values = sorted(r.x for r in keyed.collect() if r.x is not None)
+    assert [sort.kth_smallest(keyed, k).first()[0] for k in (1, 2)] == values[:2]
     with pytest.raises(TypeError):
-        sort.kth_smallest(keyed, 2)
+        sort.kth_smallest(keyed.withColumn("x", F.col("x").cast("string")), 2)
 
 
 def test_selection_skips_nulls_and_reads_the_table_once_a_round(spark):

@@ -355,3 +355,99 @@ def test_transforms(spark, rng, whole):
         assert np.allclose(spectrum_of(spectral.fft_split(df, ["s"]), "a", "r", "i"), np.fft.fft(frames["a"]))
         padded = spectral.fft(df, ["s"], pad=True, whole_series=whole)
         assert np.allclose(spectrum_of(padded, "b"), np.fft.fft(frames["b"], 128), atol=1e-9)
+
+
+@pytest.mark.parametrize("shape, bits", [((40, 3, 5), 2), ((3, 50, 4), 2), ((2, 2, 60), 3), ((33, 33, 33), 4), ((1, 1, 1), 8)])
+def test_gemm_of_any_shape(spark, rng, shape, bits):
+    m, k, n = shape
+    a, b = rng.uniform(-1, 1, (m, k)), rng.uniform(-1, 1, (k, n))
+    left = coo(spark, a).union(coo(spark, a)).repartition(3)  # repeated coordinates add up
+    for inner in (None, k):
+        assert np.allclose(to_dense(matrix.gemm(left, coo(spark, b), (m, n), bits, inner), (m, n)), 2 * a @ b)
+    assert matrix.gemm(left.where("false"), coo(spark, b), (m, n), bits).count() == 0
+
+
+def test_gemm_shuffles_each_side_once(spark, rng):
+    a, b = rng.uniform(-1, 1, (30, 64)), rng.uniform(-1, 1, (64, 30))
+    plan = matrix.gemm(coo(spark, a), coo(spark, b), (30, 30), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "RoundRobin" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("hot_side", ["left", "right", "both"])
+def test_spmm_with_a_hot_index_on_either_side(spark, rng, hot_side):
+    a, b = sparse(rng, 60, 12), sparse(rng, 12, 50)
+    if hot_side != "right":
+        a[:, 3] = rng.uniform(1, 2, 60)
+    if hot_side != "left":
+        b[3, :] = rng.uniform(1, 2, 50)
+    got = to_dense(matrix.spmm(coo(spark, a), coo(spark, b), hot_rows=12, share=1000), (60, 50))
+    assert np.allclose(got, a @ b)
+
+
+def test_grid_join_meets_every_pair_once(spark):
+    from gridloom.runtime import grid_join, hot_keys
+
+    left = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 1 WHEN id < 202 THEN NULL ELSE id % 7 END AS k", "id AS l")
+    right = spark.range(200).selectExpr("CASE WHEN id < 100 THEN 2 WHEN id < 101 THEN NULL ELSE id % 7 END AS k", "id AS r")
+    got = grid_join(left, right, ["k"], ["l"], ["r"], hot_rows=30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, ["k"]).collect()))
+    assert {r.k: r._slices for r in hot_keys(left, ["k"], 30).collect()} == {1: 8}  # 214 rows, 30 a task
+
+
+def test_hop_distance_over_a_long_path(spark, rng):
+    n = 21
+    names = rng.permutation(n)
+    pairs = [(names[k], names[k + 1]) for k in range(n - 1)] + [(names[k + 1], names[k]) for k in range(0, n - 1, 3)] + [(names[5], 100), (101, names[7])]
+    edges = edges_of(spark, pairs).repartition(3).cache()
+    assert one(graph.hop_distance(edges, int(names[0]), int(names[-1]))) == n - 1
+    assert one(graph.hop_distance(edges, int(names[0]), int(names[-1]), max_hops=n - 2)) == 2147483647
+    assert one(graph.hop_distance(edges, int(names[3]), 100)) == 3
+    assert one(graph.hop_distance(edges, 100, 101)) == 2147483647
+
+
+def test_hop_distances_of_random_graphs(spark, rng):
+    for _ in range(4):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 25, (35, 2))]
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+        source, dest = (int(v) for v in rng.integers(0, 25, 2))
+        seen, wave, hops, want = {source}, {source}, 0, 2147483647
+        while wave:
+            if dest in wave:
+                want = hops
+                break
+            wave = {b for a in wave for b in near.get(a, ())} - seen
+            seen |= wave
+            hops += 1
+        assert one(graph.hop_distance(edges_of(spark, pairs), source, dest, hot_rows=3)) == want
+
+
+def test_visited_vertices_lie_in_few_segments(spark):
+    from gridloom.operators.graph import _merged
+    from gridloom.runtime import stage
+
+    segments, rows = [], []
+    for k in range(20):
+        segments.append(stage(spark.range(k, k + 1), "wave"))
+        rows.append(1)
+        _merged(segments, rows)
+        assert sum(rows) == k + 1 and len(rows) <= 3
+    assert sorted(r.id for part in segments for r in part.collect()) == list(range(20))
+
+
+def test_superseded_rounds_are_deleted(spark):
+    import pathlib
+
+    from gridloom.runtime import stage, stage_root, unstage
+
+    root = pathlib.Path(stage_root(spark).removeprefix("file://"))
+    before = {p.name for p in root.iterdir()}
+    path = edges_of(spark, [(k, k + 1) for k in range(30)])
+    assert graph.component_labels(path).where("component <> 0").count() == 0
+    left = {p.name.rsplit("-", 1)[0] for p in root.iterdir()} if not before else [p.name.rsplit("-", 1)[0] for p in root.iterdir() if p.name not in before]
+    assert list(left).count("pairs") == 1 and "hung" not in left
+    table = stage(spark.range(3), "gone")
+    unstage(table)
+    assert not pathlib.Path(table._staged_at.removeprefix("file://")).exists()

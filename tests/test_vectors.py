@@ -207,3 +207,37 @@ def test_compare(spark, vec):
     p = spark.createDataFrame([(0.0, 1.0), (2.0, 3.0)], "x double, y double")
     assert one(compare.point_sets_equal(p, p.orderBy("x", ascending=False)))
     assert not one(compare.point_sets_equal(p, p.limit(1)))
+
+
+@pytest.mark.parametrize("values", [[3.5], [2.0, -1.0], [0.0, -0.0, 1e-320, -1e-320, 1e308, -1e308, 5.0, 5.0, 5.0], [math.inf, -math.inf, 0.25], None])
+def test_exact_quantiles_of_doubles(spark, rng, vec, values):
+    from gridloom.operators import sort
+
+    values = list(rng.normal(0, 1, 400) * 10.0 ** rng.integers(-300, 300, 400)) + [0.5] * 300 if values is None else values
+    finite = [v for v in values if math.isfinite(v)]
+    df = vec(values)
+    probabilities = [0.0, 0.1, 1 / 3, 0.5, 0.77, 1.0]
+    if len(finite) == len(values):
+        got = {r.probability: r.value for r in sort.quantiles(df, "x", probabilities).collect()}
+        for p in probabilities:
+            at = p * (len(values) - 1)
+            low, high = sorted(values)[math.floor(at)], sorted(values)[math.ceil(at)]
+            assert got[p] == pytest.approx(low if at % 1 == 0 else low * (1 - at % 1) + high * (at % 1), rel=1e-12)
+    for k in {1, len(values) // 2 + 1, len(values)}:
+        assert one(sort.kth_smallest(df, k)) == sorted(values)[k - 1]
+    with pytest.raises(Exception, match="larger than the number of rows"):
+        one(sort.kth_smallest(df, len(values) + 1))
+
+
+def test_quantiles_of_odd_columns(spark):
+    from gridloom.operators import reduce, sort
+
+    df = spark.createDataFrame([(1, 2.5, None), (None, None, None), (4, float("nan"), None), (2, -1.0, None)], "a int, b double, c double")
+    assert [r.value for r in sort.quantiles(df, "a", [0.5]).collect()] == [2.0]
+    assert [r.value for r in sort.quantiles(df, "b", [0.0, 0.5]).orderBy("probability").collect()] == [-1.0, 2.5]
+    assert sort.quantiles(df, "c", [0.5]).count() == 0
+    row = reduce.describe(df, "a").first()
+    assert (row["min"], row["max"], row["median"], row["total"]) == (1, 4, 2.0, 7) and reduce.describe(df, "c").first()["median"] is None
+    # nothing holds the distinct values: the aggregates of the selection are counts of digits
+    plan = reduce.describe(df, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan and "collect_" not in plan
