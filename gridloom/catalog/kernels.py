@@ -14,6 +14,7 @@ from gridloom.operators import (
     histogram,
     index,
     matrix,
+    monoid,
     reduce,
     scan,
     search,
@@ -747,6 +748,76 @@ def _(t):
     return compare.point_sets_equal(pts, pts.withColumn("x", F.round("x", 4)), 1e-4)
 
 
+@query(
+    "vectors_with_nan",
+    f"WITH {v.VEC}, n AS (SELECT i, x, CASE WHEN i % 97 = 5 THEN 'nan'::DOUBLE ELSE x END AS y FROM vec)"
+    " SELECT 'nan' AS kind, count(*) FILTER (WHERE isnan(y) OR abs(x - y) > 0.001) = 0 AS equal FROM n"
+    " UNION ALL SELECT 'none', count(*) FILTER (WHERE isnan(y) OR abs(x - y) > 0.001) = 0 FROM n WHERE i % 97 <> 5"
+    " UNION ALL SELECT 'both', count(*) FILTER (WHERE isnan(y) OR abs(x - y) > 0.001) = 0 FROM n WHERE i % 97 = 5",
+)
+def _(t):
+    """A NaN is close to nothing, not even to a NaN at the same place."""
+    x = v.vec(t)
+    y = x.withColumn("x", F.when(F.col("i") % 97 == 5, float("nan")).otherwise(F.col("x")))
+    cases = {"nan": (x, y), "none": (x.where("i % 97 <> 5"), y.where("i % 97 <> 5")), "both": (y.where("i % 97 = 5"), y.where("i % 97 = 5"))}
+    rows = [compare.close_to(a, b, ["i"], "x", 0.001).select(F.lit(kind).alias("kind"), "equal") for kind, (a, b) in cases.items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query(
+    "repeated_points_equal",
+    "WITH a AS (SELECT user_id % 3 AS x, 0.5 AS y FROM events) SELECT 'same' AS kind, true AS equal FROM (SELECT 1)"
+    " UNION ALL SELECT 'one less', (SELECT count(*) FROM events WHERE event_id > (SELECT min(event_id) FROM events)) = (SELECT count(*) FROM a)",
+)
+def _(t):
+    """Three points that repeat as often as there are events."""
+    points = lambda df: df.select((F.col("user_id") % 3).cast("double").alias("x"), F.lit(0.5).alias("y"))
+    first = t.events.agg(F.min("event_id")).scalar()
+    less = compare.point_sets_equal(points(t.events), points(t.events.where(F.col("event_id") > first)))
+    same = compare.point_sets_equal(points(t.events), points(t.events.repartition(3)))
+    return same.select(F.lit("same").alias("kind"), "equal").union(less.select(F.lit("one less"), "equal"))
+
+
+# ---------------------------------------------------------------- folds and scans with a function of the user's own
+
+_PRIME = 1_000_003
+
+
+def _maps(t):
+    """An affine map per event: x -> a x + b modulo a prime."""
+    return t.events.select(
+        "event_type", F.col("event_id").alias("i"), (F.col("value").cast("bigint") % 1009 + 2).alias("a"), (F.col("user_id") % 1013).cast("bigint").alias("b")
+    )
+
+
+_MAPS = "maps AS (SELECT event_type, event_id AS i, CAST(trunc(value) AS BIGINT) % 1009 + 2 AS a, CAST(user_id % 1013 AS BIGINT) AS b FROM events)"
+
+
+def _compose(first, second):
+    """One map after the other; the order matters."""
+    return {"a": first["a"] * second["a"] % _PRIME, "b": (second["a"] * first["b"] + second["b"]) % _PRIME}
+
+
+@query(
+    "composed_maps",
+    f"WITH {_MAPS} SELECT event_type, m.a AS a, m.b AS b FROM (SELECT event_type, list_reduce(list({{'a': a, 'b': b}} ORDER BY i),"
+    f" lambda p, q: {{'a': p.a * q.a % {_PRIME}, 'b': (q.a * p.b + q.b) % {_PRIME}}}) AS m FROM maps GROUP BY 1)",
+)
+def _(t):
+    return monoid.fold(_maps(t), "i", ["a", "b"], _compose, {"a": 1, "b": 0}, ["event_type"], bits=6)
+
+
+@query(
+    "running_composed_maps",
+    f"WITH RECURSIVE {_MAPS}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i) AS n FROM maps),"
+    " s AS (SELECT event_type, i, n, a, b FROM n WHERE n = 1"
+    f" UNION ALL SELECT n.event_type, n.i, n.n, s.a * n.a % {_PRIME}, (n.a * s.b + n.b) % {_PRIME} FROM s JOIN n ON n.event_type = s.event_type AND n.n = s.n + 1)"
+    " SELECT event_type, i, a, b FROM s",
+)
+def _(t):
+    return monoid.scan(_maps(t), "i", ["a", "b"], _compose, ["event_type"], bits=6)
+
+
 @query("map_column", f"WITH {v.VEC} SELECT i, CAST(floor((x - trunc(x)) * 4) AS INTEGER) AS quarter FROM vec")
 def _(t):
     return transform.map_column(v.vec(t), "x", numeric.fraction_quarter, "quarter").select("i", "quarter")

@@ -231,10 +231,11 @@ def _(t):
 # ---------------------------------------------------------------- ingest
 
 
-def _nested(t):
+def _nested(t, launches=None):
     """One prompt per document. Labelled documents hold two evaluated outputs, others one line of text per output."""
+    launches = launches or [[F.lit(4).alias("num_threads")]] * 2
     run = lambda valid, shift: F.struct(
-        F.lit(True).alias("did_run"), valid.alias("is_valid"), (F.col("n_chars") + shift).cast("double").alias("runtime"), F.lit(4).alias("num_threads")
+        F.lit(True).alias("did_run"), valid.alias("is_valid"), (F.col("n_chars") + shift).cast("double").alias("runtime"), *launches[shift]
     )
     first = F.struct(
         F.col("text").alias("generated_output"), F.lit(True).alias("did_build"), F.lit(True).alias("is_source_valid"),
@@ -264,6 +265,28 @@ def _(t):
     return flat.select("name", "output_idx", "run_idx", "is_valid", "runtime", F.md5("generated_output").alias("generated"), "prompted")
 
 
+_FLAT_HEAD = (
+    "SELECT source AS prompt, 'd' || doc_id AS name, source AS problem_type, 'cpp' AS \"language\", lang AS parallelism_model, 0.2::DOUBLE AS temperature,"
+    " 0.95::DOUBLE AS top_p, true AS do_sample, 64 AS max_new_tokens, false AS prompted,"
+)
+
+
+@query(
+    "flatten_runs_whole_rows",
+    "WITH l AS (SELECT d.*, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+    f" {_FLAT_HEAD} md5(text) AS generated_output, true AS did_build, true AS is_source_valid, n_chars::DOUBLE AS best_sequential_runtime, 0 AS output_idx,"
+    " 0 AS run_idx, true AS did_run, quality = 1 AS is_valid, n_chars::DOUBLE AS runtime, (doc_id % 64 + 1)::INTEGER AS num_threads, NULL::INTEGER AS num_procs FROM l"
+    f" UNION ALL {_FLAT_HEAD} md5(text), true, true, n_chars::DOUBLE, 0, 1, true, toxic = 1, (n_chars + 1)::DOUBLE, NULL, (doc_id % 7 + 1)::INTEGER FROM l"
+    f" UNION ALL {_FLAT_HEAD} md5('failed'), false, false, NULL, 1, NULL, NULL, NULL, NULL, NULL, NULL FROM l",
+)
+def _(t):
+    """All 21 columns, with settings that only some runs have."""
+    threads, procs, none = (F.col("doc_id") % 64 + 1).cast("int"), (F.col("doc_id") % 7 + 1).cast("int"), F.lit(None).cast("int")
+    nested = _nested(t, [[a.alias("num_threads"), b.alias("num_procs")] for a, b in ((threads, none), (none, procs))])
+    flat = ingest.flatten_runs(nested.select(*RESULTS.names))
+    return flat.withColumn("generated_output", F.md5("generated_output"))
+
+
 def _run_folder(t, label: str) -> str:
     return f"{stage_root(t.spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -410,6 +433,22 @@ def _(t):
     return evaluation.roll_up_rows(v.runs(t), ["output_idx"])
 
 
+@query(
+    "roll_up_arrays",
+    f"WITH {v.RUNS}, f AS (SELECT output_idx, count(run_idx) > 0 AS built, coalesce(bool_or(did_run), false) AS any_run,"
+    " count(run_idx) > 0 AND bool_and(coalesce(did_run, false)) AS all_run, coalesce(bool_or(is_valid), false) AS any_valid,"
+    " bool_and(coalesce(is_valid, false)) AS all_valid, min(best_sequential_runtime) AS best FROM runs GROUP BY 1)"
+    " SELECT output_idx, built AS did_build, any_run AS did_any_run, all_run AS did_all_run, any_run AND any_valid AS are_any_valid,"
+    " all_run AND all_valid AS are_all_valid, CASE WHEN any_run THEN best END AS best_sequential_runtime FROM f",
+)
+def _(t):
+    """The flags from the nested array of runs, which is null where an output was never built."""
+    run = F.struct("run_idx", F.when(F.col("did_run"), 0).otherwise(1).alias("exit_code"), "is_valid", "best_sequential_runtime")
+    runs = F.collect_list(F.when(F.col("run_idx").isNotNull(), run))
+    nested = v.runs(t).groupBy("output_idx").agg(F.when(F.size(runs) > 0, runs).alias("runs"))
+    return nested.select("output_idx", *[flag.alias(name) for name, flag in evaluation.roll_up(F.col("runs")).items()])
+
+
 def _judged(t):
     flags = evaluation.roll_up_rows(v.runs(t), ["name", "parallelism_model", "output_idx"])
     return flags.select(

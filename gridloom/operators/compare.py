@@ -31,8 +31,8 @@ def coo_equal(left: DataFrame, right: DataFrame, eps: float = 1e-6, out: str = "
 
 
 def point_sets_equal(left: DataFrame, right: DataFrame, eps: float = 1e-6, out: str = "equal") -> DataFrame:
-    """Points paired by sorted position; both coordinates within ``eps``."""
-    a = rank_rows(left.select("x", "y"), ["x", "y"], "pos")
-    b = rank_rows(right.select("x", "y"), ["x", "y"], "pos")
+    """Points paired by sorted position; both coordinates within ``eps``. A row number tells equal points apart, so that
+    any number of them is spread over the ranges."""
+    a, b = (rank_rows(df.select("x", "y", F.monotonically_increasing_id().alias("_n")), ["x", "y", "_n"], "pos") for df in (left, right))
     longer = lambda d: d.select("pos", F.posexplode(F.array("x", "y")).alias("axis", "v"))
     return close_to(longer(a), longer(b), ["pos", "axis"], "v", eps, out)

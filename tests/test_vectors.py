@@ -241,3 +241,45 @@ def test_quantiles_of_odd_columns(spark):
     # nothing holds the distinct values: the aggregates of the selection are counts of digits
     plan = reduce.describe(df, "a")._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "median(" not in plan and "collect_" not in plan
+
+
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_user_folds_and_scans(spark, rng, bits):
+    from gridloom.operators import monoid
+
+    def compose(first, second):
+        return {"a": first["a"] * second["a"] % 101, "b": (second["a"] * first["b"] + second["b"]) % 101}
+
+    rows = [(None if g == 2 else int(g), int(i) * 3 - 70, int(a), int(b)) for i, (g, a, b) in enumerate(zip(rng.integers(0, 3, 150), rng.integers(1, 101, 150), rng.integers(0, 101, 150)))]
+    df = spark.createDataFrame(rows, "g long, i long, a long, b long").repartition(6)
+    want, ends = {}, {}
+    for g, i, a, b in rows:
+        x, y = ends.get(g, (1, 0))
+        ends[g] = want[g, i] = (x * a % 101, (a * y + b) % 101)
+    got = monoid.scan(df, "i", ["a", "b"], compose, ["g"], bits=bits)
+    assert {(r.g, r.i): (r.a, r.b) for r in got.collect()} == want and got.columns == ["g", "i", "a", "b"]
+    assert {r.g: (r.a, r.b) for r in monoid.fold(df, "i", ["a", "b"], compose, {}, ["g"], bits=bits).collect()} == ends
+    x, y = 1, 0
+    for _, _, a, b in rows:
+        x, y = x * a % 101, (a * y + b) % 101
+    identity = {"a": 1, "b": 0}
+    assert tuple(monoid.fold(df, "i", ["a", "b"], compose, identity, bits=bits).first()) == (x, y)
+    assert tuple(monoid.fold(df.where("false"), "i", ["a", "b"], compose, identity).first()) == (1, 0)
+    assert monoid.fold(df.where("false"), "i", ["a", "b"], compose, identity, ["g"]).count() == 0 == monoid.scan(df.where("false"), "i", ["a"], compose).count()
+
+
+def test_user_functions_of_other_types(spark):
+    from gridloom.operators import monoid
+
+    def last(first, second):
+        return {"t": second["t"]}
+
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(40)], "i long, t string").repartition(4)
+    assert monoid.fold(df, "i", ["t"], last, {"t": ""}, bits=2).first()[0] == "t39"
+    assert all(r.t == f"t{r.i}" for r in monoid.scan(df, "i", ["t"], last, bits=2).collect())
+
+
+def test_equal_points_are_spread_over_ranges(spark):
+    df = spark.range(4000).selectExpr("double(id % 2) AS x", "0.0D AS y")
+    more = df.union(spark.createDataFrame([(1.0, 0.0)], "x double, y double"))
+    assert one(compare.point_sets_equal(df, df.repartition(3))) and not one(compare.point_sets_equal(df, more))
