@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.rules import RUNTIME_FLOOR
-
 
 def _product(factors: list[Column]) -> Column:
     return reduce(lambda a, b: a * b, factors, F.lit(1.0))
@@ -34,20 +32,3 @@ def success_at_k(samples: Column, correct: Column, k: int) -> Column:
         [F.try_divide(_product([wrong - float(t) for t in c]), _product([n - float(t) for t in c])) for c in chunks]
     )
     return F.when(wrong < k, 1.0).when(correct == 0, 0.0).otherwise(1.0 - misses)
-
-
-def order_weight(rank: Column, draws: Column, k: int, strict: bool = False) -> Column:
-    """Weight of the rank-th smallest (1-based) sample: C(rank-1, k-1) / C(n, k), with ``draws`` = C(n, k)."""
-    # null where strict counting leaves no way to draw k samples
-    return F.try_divide(choose(rank - 1, k - 1, strict), draws)
-
-
-def expected_speedup_term(
-    rank: Column, draws: Column, runtime: Column, baseline: Column, k: int, resources: Column | None = None,
-    strict: bool = False,
-) -> Column:
-    """One sample's share of speedup@k, or of efficiency@k when resources are given; summed per group."""
-    cost = F.greatest(runtime, F.lit(RUNTIME_FLOOR))
-    if resources is not None:
-        cost = cost * resources
-    return order_weight(rank, draws, k, strict) * baseline / cost

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.estimators import choose, expected_speedup_term, success_at_k
+from gridloom.functions.estimators import choose, success_at_k
 from gridloom.functions.numeric import resource_count
-from gridloom.functions.rules import FIXED_RESOURCES, FIXED_SLICE, METRIC_KS, SCALING_NS
+from gridloom.functions.rules import FIXED_RESOURCES, FIXED_SLICE, METRIC_KS, RUNTIME_FLOOR, SCALING_NS
 from gridloom.operators.index import ordinal, rank_rows
-from gridloom.runtime import stage
+from gridloom.runtime import join_null_safe, stage
 
 OUTPUT_KEY = ["name", "parallelism_model", "output_idx"]
 GROUP = ["name", "parallelism_model", "problem_type"]
@@ -129,39 +129,38 @@ def _samples(runs: DataFrame, outputs: DataFrame, overrides: dict[str, int] | No
     return sliced.unionByName(per_output)
 
 
-def _ranked(samples: DataFrame, by: list[str], ks: list[int], strict: bool) -> DataFrame:
-    """Add ``rank`` (1-based by runtime), the baseline and C(n, k) of the group; k = 1 alone needs no rank.
+def _ranked(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``rank``, 1-based by runtime."""
+    return rank_rows(samples, ["runtime", "output_idx", "run_idx"], "rank", by).withColumn("rank", F.col("rank") + 1)
 
-    With ranks, sizes and baselines are read from the staged ranking, not from the samples again.
+
+def _group_sums(ranked: DataFrame, by: list[str], ks: list[int], strict: bool, resources: Column) -> DataFrame:
+    """``by, s<k>, e<k>``: the sums of all speedup and efficiency terms of a group, in one aggregation.
+
+    The group's size and baseline are the same in every term, so they are gathered beside the sums and applied to them,
+    instead of being joined to the samples first.
     """
-    if max(ks) > 1:
-        samples = rank_rows(samples, ["runtime", "output_idx", "run_idx"], "rank", by).withColumn("rank", F.col("rank") + 1)
-    else:
-        samples = samples.withColumn("rank", F.lit(1))
-    size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), F.min("best_sequential_runtime").alias("baseline"))
-    draws = [choose(F.col("_size"), k, strict).alias(f"draws{k}") for k in ks]
-    return samples.join(size.select(*by, "baseline", *draws), by)
-
-
-def _term(k: int, strict: bool, resources: Column | None = None) -> Column:
-    return expected_speedup_term(
-        F.col("rank"), F.col(f"draws{k}"), F.col("runtime"), F.col("baseline"), k, resources, strict
-    )
+    cost = F.greatest("runtime", F.lit(RUNTIME_FLOOR))
+    ways = {k: choose(F.col("rank") - 1, k - 1, strict) for k in ks}
+    sums = [F.sum(w / c).alias(f"{name}{k}") for k, w in ways.items() for name, c in (("s", cost), ("e", cost * resources))]
+    gathered = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), F.min("best_sequential_runtime").alias("_baseline"), *sums)
+    # null where strict counting leaves no way to draw k samples
+    of = lambda c, k: (F.try_divide(F.col(c), choose(F.col("_size"), k, strict)) * F.col("_baseline")).alias(c)
+    return gathered.select(*by, *[of(f"{name}{k}", k) for k in ks for name in ("s", "e")])
 
 
 def _runtime_table(samples: DataFrame, ks: list[int], strict: bool) -> DataFrame:
     by = ["kind", *GROUP]
-    ranked = _ranked(samples, by, [*ks, 2] if max(ks) == 1 else ks, strict)
-    # efficiency_max pairs the j-th smallest runtime with the resources of the j-th output
-    cheapest = ranked.where("kind = 'efficiency_max'").select(*by, "output_idx", "resources")
-    listed = ordinal(cheapest, "output_idx", "rank", by).select(
-        *by, (F.col("rank") + 1).alias("rank"), F.col("resources").alias("paired")
-    )
-    ranked = ranked.join(listed, [*by, "rank"], "left").withColumn("resources", F.coalesce("paired", "resources"))
-    per_group = ranked.groupBy(*by).agg(
-        *[F.sum(_term(k, strict)).alias(f"s{k}") for k in ks],
-        *[F.sum(_term(k, strict, F.col("resources"))).alias(f"e{k}") for k in ks],
+    ranked = _ranked(samples, by)
+    # efficiency_max pairs the j-th smallest runtime with the resources of the j-th output; the other kinds join nothing
+    paired_kind = F.col("kind") == "efficiency_max"
+    cheapest = ranked.where(paired_kind)
+    listed = ordinal(cheapest.select(*by, "output_idx", "resources"), "output_idx", "rank", by).select(
+        *by, (F.col("rank") + 1).alias("rank"), "resources"
     )
+    paired = join_null_safe(cheapest.drop("resources"), listed, [*by, "rank"])
+    ranked = ranked.where(~paired_kind).unionByName(paired)
+    per_group = _group_sums(ranked, by, ks, strict, F.col("resources"))
     picks = []
     for k in ks:
         picks += [
@@ -216,9 +215,10 @@ def scaling_table(
         .where(F.col("n").isin(ns))
     )
     by = [*GROUP, "n"]
-    ranked = _ranked(samples, by, [k], strict)
-    per_group = ranked.groupBy(*by).agg(F.sum(_term(k, strict)).alias("s"), F.sum(_term(k, strict, F.col("n"))).alias("e"))
-    picks = [(f"{m}_{c}@{k}", c, v) for c in ns for m, v in (("speedup", "s"), ("efficiency", "e"))]
+    # with k = 1 every sample weighs the same, whatever its rank
+    ranked = _ranked(samples, by) if k > 1 else samples.withColumn("rank", F.lit(1))
+    per_group = _group_sums(ranked, by, [k], strict, F.col("n"))
+    picks = [(f"{m}_{c}@{k}", c, v) for c in ns for m, v in (("speedup", f"s{k}"), ("efficiency", f"e{k}"))]
     table = per_group.groupBy(*RESULT).agg(*[F.avg(F.when(F.col("n") == c, F.col(v))).alias(name) for name, c, v in picks])
     return _label(table.fillna(0.0), model_name)
 

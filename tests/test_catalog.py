@@ -84,3 +84,9 @@ def test_worker_functions_travel_by_value(tmp_path):
     code = "import pickle, sys, numpy; print(len(pickle.load(sys.stdin.buffer)(numpy.array([[0, 0], [2, 0], [0, 2], [.5, .5]]))))"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_corners), capture_output=True, cwd=tmp_path, check=True)
     assert done.stdout.strip() == b"3"
+
+
+def test_metric_plan_joins_only_what_is_paired(spark):
+    """Sizes and baselines come with the sums: the one join of samples is that of the paired kind."""
+    plan = QUERIES["metric_table"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 9 and plan.count("Aggregate") <= 16, (plan.count("Join"), plan.count("Aggregate"))
