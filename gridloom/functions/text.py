@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.rules import INCLUDES, PROMPT_STYLES, WHITESPACE
+from gridloom.functions.rules import CPU_HEADER, GPU_HEADER, INCLUDES, PROMPT_STYLES, SUFFIX_HEADER, WHITESPACE
 
 LINE_BREAK = r"\r\n|\n|\r"
 
@@ -82,8 +82,8 @@ def balanced(s: Column, left: str = "{", right: str = "}") -> Column:
 def function_name(prompt: Column, model: Column) -> Column:
     """Name in the function header on the last line; null if there is none."""
     header = last_line(prompt)
-    gpu = F.regexp_extract(header, r"^__global__ void ([a-zA-Z0-9_]+)\(", 1)
-    cpu = F.regexp_extract(header, r"^\s*[a-zA-Z_]+ ([a-zA-Z0-9_]+)\(", 1)
+    gpu = F.regexp_extract(header, GPU_HEADER, 1)
+    cpu = F.regexp_extract(header, CPU_HEADER, 1)
     return F.nullif(F.when(model.isin("cuda", "hip"), gpu).otherwise(cpu), F.lit(""))
 
 
@@ -188,7 +188,7 @@ def _split_last(s: Column) -> tuple[Column, Column]:
 def suffix_function_name(prompt: Column, suffix: Column) -> Column:
     """Append a suffix to the function's name on the last line; null without a header below other lines."""
     above, header = _split_last(prompt)
-    name = F.regexp_extract(header, r"[^\s]+\s+(\w+)\s*\(", 1)
+    name = F.regexp_extract(header, SUFFIX_HEADER, 1)
     return F.when(
         (F.length(above) > 0) & (name != ""), F.concat(above, F.replace(header, name, F.concat(name, suffix)))
     )
