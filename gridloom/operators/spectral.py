@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import group_id
+
 GROUP_CELLS = 1 << 16  # cells that one task group of a long series holds, as long as a column fits
 WHOLE_SERIES = 1 << 16  # longest series that one task transforms on its own
 
@@ -158,12 +160,18 @@ def _conjugate_if(sign: int, cos: Column, sin: Column) -> tuple[Column, Column]:
 def transform(
     df: DataFrame, keys: list[str], sign: int = -1, pad: bool = False, whole_series: int = WHOLE_SERIES
 ) -> DataFrame:
-    """Discrete Fourier transform per series: ``(keys, size, k, re, im)`` for k in 0..size-1.
+    """Discrete Fourier transform per series: ``(keys, size, k, re, im)`` for k in 0..size-1. Null is a key like any other.
 
     ``pad`` extends each series with zeros to a power of two. Series up to ``whole_series`` long are
     transformed one per task group; longer ones are split over many tasks. Which of these plans are
     needed is decided from a few aggregated numbers about the lengths.
     """
+    clash = {"n", "re", "im", "size", "k"} & {key.lower() for key in keys}
+    if clash:
+        raise ValueError(f"keys must not be called {sorted(clash)}")
+    own, names = [F.col(f"`{key}`") for key in keys], keys
+    named = df.select(*own, group_id(keys).alias("_g")).distinct()
+    df, keys = df.select(group_id(keys).alias("_g"), *[c for c in ("n", "re", "im") if c in df.columns]), ["_g"]
     size = F.col("size")
     sizes = df.groupBy(*keys).agg((F.max("n") + 1).alias("size"))
     if pad:
@@ -184,12 +192,10 @@ def transform(
     if any_odd:
         odd = long & ~_is_power_of_two(size)
         plans.append(_chirp(series.where(odd), sizes.where(odd), keys, sign))
-    if not plans:
-        return _whole(series, keys, sign, 1)
-    result = plans[0]
+    result = plans[0] if plans else _whole(series, keys, sign, 1)
     for plan in plans[1:]:
         result = result.unionByName(plan)
-    return result
+    return result.join(named, "_g").select(*own, "size", "k", "re", "im") if names else result.drop("_g")
 
 
 def dft(df: DataFrame, keys: list[str], **kw) -> DataFrame:

@@ -56,3 +56,24 @@ def test_selection_skips_nulls_and_reads_the_table_once_a_round(spark):
 def test_console_form_prints_every_row(spark, capsys):
     results.write_table(spark.range(1500))
     assert len(capsys.readouterr().out.splitlines()) == 1501
+
+
+@pytest.mark.parametrize("whole", [2, 1 << 16])
+def test_series_with_null_keys(spark, whole):
+    import numpy as np
+
+    from gridloom.operators import spectral
+
+    values = {None: [1.0, 2.0, 0.5, 4.0], "a": [3.0, -1.0, 2.0], "": [7.0]}
+    rows = [(key, n, x, "x") for key, series in values.items() for n, x in enumerate(series)]
+    df = spark.createDataFrame(rows, "s string, n long, re double, _g string").repartition(3)
+    got = {}
+    for r in spectral.fft(df, ["s"], whole_series=whole).collect():
+        got.setdefault(r.s, {})[r.k] = complex(r.re, r.im)
+    assert set(got) == set(values)
+    for key, series in values.items():
+        assert np.allclose([got[key][k] for k in range(len(series))], np.fft.fft(series))
+    with pytest.raises(ValueError, match="must not be called"):
+        spectral.fft(df.withColumnRenamed("s", "k"), ["k"])
+    assert spectral.fft(df.where("false"), ["s"]).count() == 0
+    assert spectral.fft(df.where("s = 'a'"), []).count() == 3
