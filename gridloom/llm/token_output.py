@@ -78,7 +78,7 @@ def write_training_order(
     input is partitioned, not on the content. Repeated rows are sequences of their own.
     """
     spark = docs.sparkSession
-    spark_conf = {"compression": "zstd"}
+    spark_conf = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
     tokens = stage(token_rows(docs, seq_len, vocabulary, id_column, text), "tokens", **spark_conf)
     counts = tokens.groupBy("part").agg(F.sum(F.ceil(F.col("n_tokens") / seq_len)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -92,7 +92,7 @@ def write_training_order(
         import pandas as pd
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=9).compress
         for frame in frames:
             n = frame["n_tokens"].to_numpy()
             many = -(-n // seq_len)
