@@ -56,3 +56,34 @@ folded AS (
   FROM leaves d JOIN subroots s ON d.source IS NOT DISTINCT FROM s.source JOIN proofs p ON d.source IS NOT DISTINCT FROM p.source AND d.i = p.i)
 SELECT *, folded_root = root AS verified FROM folded
 """.format(head=_HEAD, text=_field("text"), other=_field("other"))
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_REACH = """
+reach AS (
+  SELECT x AS id, x AS root FROM links UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.id),
+lowest AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)"""
+
+SQL["op4_minhash_near_dedup"] = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),{_REACH}
+SELECT s.doc_id, len(s) AS n_shingles, coalesce(root, s.doc_id) AS component_id, coalesce(root, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN lowest l ON l.id = s.doc_id"""
+
+SQL["op9_embedding_near_dedup"] = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),{_REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN lowest l ON l.id = vec_id"""
