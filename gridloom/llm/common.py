@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.runtime import stage_root
-
-
-def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet below the cluster's shared folder and read it back: it survives lost executors."""
-    path = f"{stage_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from gridloom.runtime import stage  # noqa: F401  (for the modules here)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -22,6 +13,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """16 bytes that name a row by its values. Equal rows share a key, which is right where equal rows share a result."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
@@ -56,5 +55,15 @@ def per_worker(name: str, build):
     return getattr(kept, name)
 
 
+def release_workers() -> None:
+    """Drop what ``per_worker`` keeps in this worker: a task with large tables of its own makes room first."""
+    import sys
+
+    kept = sys.modules.get("_gridloom_worker")
+    if kept is not None:
+        for name in [n for n in vars(kept) if not n.startswith("__")]:
+            delattr(kept, name)
+
+
 #: kind of a pandas function from an iterator of batches to an iterator of batches
 ITERATOR = 204

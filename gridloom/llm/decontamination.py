@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick, row_key
+from gridloom.llm.common import free_name, pick, row_key
 
 #: edits allowed per character of an item, and the fewest characters of a piece
 RATE, LEAST_PIECE = 0.08, 8
@@ -129,5 +129,6 @@ def _find_block(source: DataFrame, block: list, wanted: DataFrame, rate: float)
 
 def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item. All columns stay."""
-    hits = find_items(docs, items, rate, id_column, text).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(id_column, text)).join(hits, "_key", "left_anti").drop("_key")
+    key = free_name(docs, "_key")
+    hits = find_items(docs, items, rate, id_column, text).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(id_column, text)).join(hits, key, "left_anti").drop(key)

@@ -14,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick, stage
+from gridloom.llm.common import free_name, pick, release_workers, stage
 
 #: entries of the cache: words, and n-grams of each length
 WORDS, GRAMS, ORDERS = 60_000, 20_000, (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
+#: words that a task counts at a time
+ENTRIES = 120_000
+#: words outside the cache that a task holds before it hands them on
+HELD = 100_000
 #: characters of a word that are cut into n-grams at once
 PIECE = 64
 
@@ -31,18 +35,23 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         import pandas as pd
 
+        release_workers()
         counts: dict[str, Counter] = defaultdict(Counter)
 
-        def rows():
-            out = [(w, lang, n) for lang, c in counts.items() for w, n in c.items()]
-            counts.clear()
+        def rows(least: int = 0):
+            """Entries of at most ``least`` occurrences leave, or all; frequent ones stay and go on counting."""
+            out = [(w, lang, n) for lang, c in counts.items() for w, n in c.items() if not least or n <= least]
+            for w, lang, _ in out:
+                del counts[lang][w]
             return pd.DataFrame(out, columns=["word", "lang", "n"])
 
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"]):
                 counts[lang].update(text.lower().split())
-            if sum(map(len, counts.values())) > 400_000:
-                yield rows()
+                if sum(map(len, counts.values())) > ENTRIES:
+                    yield rows(3)
+                    if sum(map(len, counts.values())) > ENTRIES // 2:
+                        yield rows()
         yield rows()
 
     return train.mapInPandas(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
@@ -153,6 +162,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
         return docs.withColumns({lang_out: F.lit(UNDETERMINED), score_out: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model["cache"][0][1])  # of fixed size
     key = F.unhex(F.md5(F.coalesce(docs[f"`{text}`"], F.lit(""))))  # equal texts have equal labels
+    guess, name = free_name(docs, "_guess"), free_name(docs, "_text_key")
 
     def cached(frames):
         """The sums over words in the cache, and the others; texts without a letter are left out."""
@@ -165,8 +175,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
         at = {w: i for i, w in enumerate(shared.value)}
         logs = np.array(list(shared.value.values())).reshape(-1, n)
         row = TaskContext.get().partitionId() << 33
+        names = ["row", "key", "total", "words", "k"]
         for frame in frames:
-            out = []
+            out, held = [], 0
             for name, t in zip(frame["key"], frame["text"]):
                 if not any(map(str.isalpha, t)):
                     continue
@@ -181,7 +192,11 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
                         times.append(many)
                 out.append((row, name, np.array(times, dtype=float) @ logs[np.array(places, dtype=int)], others, k))
                 row += 1
-            yield pd.DataFrame(out, columns=["row", "key", "total", "words", "k"])
+                held += len(others)
+                if held > HELD:  # the other words of a whole batch would be many strings at once
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     texts = docs.select(key.alias("key"), docs[f"`{text}`"].alias("text")).where(F.col("text").isNotNull())
     parts = stage(texts.mapInPandas(cached, "row long, key binary, total array<double>, words array<string>, k array<long>"), "texts", compression="zstd")
@@ -194,7 +209,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
     sure = parts.select("row", "key", "total").join(tail, "row", "left").select("key", total.alias("total"), F.array_max(total).alias("top"))
     share = F.aggregate("total", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
     label = F.get(F.array(*map(F.lit, langs)), (F.array_position("total", F.col("top")) - 1).cast("int"))
-    labels = sure.groupBy("key").agg(F.min(F.struct(label.alias("lang"), (1 / share).alias("share"))).alias("_guess")).withColumnRenamed("key", "_text_key")
-    marked = docs.withColumn("_text_key", key).join(labels, "_text_key", "left")
-    named = {lang_out: F.coalesce("_guess.lang", F.lit(UNDETERMINED)), score_out: F.coalesce("_guess.share", F.lit(0.0))}
-    return marked.withColumns(named).drop("_guess", "_text_key")
+    labels = sure.groupBy("key").agg(F.min(F.struct(label.alias("lang"), (1 / share).alias("share"))).alias(guess)).withColumnRenamed("key", name)
+    marked = docs.withColumn(name, key).join(labels, name, "left")
+    named = {lang_out: F.coalesce(F.col(guess)["lang"], F.lit(UNDETERMINED)), score_out: F.coalesce(F.col(guess)["share"], F.lit(0.0))}
+    return marked.withColumns(named).drop(guess, name)

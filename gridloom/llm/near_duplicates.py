@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mix64, pick, row_key, stage
+from gridloom.llm.common import free_name, mix64, pick, row_key, stage
 from gridloom.operators.graph import component_labels
 
 #: share of the pairs at the limit that no band may bring together; rows of a band, fewer where that takes more bands than these
@@ -258,6 +258,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     ids, which may be null or repeated."""
     marks = marked(docs, words, percent, None, None, id_column, text)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")
-    chosen = marks.groupBy(F.coalesce("component", "key").alias("group"), F.col("component").isNull().alias("alone")).agg(least).select(F.col("least.key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key(id_column, text))
-    return keyed.join(chosen.distinct(), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    key = free_name(docs, "_key")
+    chosen = marks.groupBy(F.coalesce("component", "key").alias("group"), F.col("component").isNull().alias("alone")).agg(least).select(F.col("least.key").alias(key))
+    keyed = docs.withColumn(key, row_key(id_column, text))
+    return keyed.join(chosen.distinct(), key, "left_semi").dropDuplicates([key]).drop(key)
