@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination, language_id, near_duplicates, packing, repeated_passages
-from gridloom.llm.common import stage
+from gridloom.llm.common import free_name, stage
 
 #: a document whose best language has a smaller share of the posterior is rejected, as is one without a letter
 LEAST_LANGUAGE_SCORE = 0.3
@@ -21,9 +21,10 @@ PASSAGE_BYTES = 200
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no determined language. The model learns from the documents' own texts and languages."""
     model = language_id.train(docs)
-    marked = language_id.predict(docs, model, lang_out="_lang", score_out="_score")
-    sure = (F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
-    return marked.where(sure).drop("_lang", "_score")
+    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    marked = language_id.predict(docs, model, lang_out=lang, score_out=score)
+    sure = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
+    return marked.where(sure).drop(lang, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
