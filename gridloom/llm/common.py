@@ -56,13 +56,19 @@ def per_worker(name: str, build):
 
 
 def release_workers() -> None:
-    """Drop what ``per_worker`` keeps in this worker: a task with large tables of its own makes room first."""
+    """Drop what ``per_worker`` keeps in this worker, and give back what earlier tasks have left behind: a task with large
+    tables of its own makes room first."""
+    import gc
     import sys
 
+    import pyarrow as pa
+
     kept = sys.modules.get("_gridloom_worker")
     if kept is not None:
         for name in [n for n in vars(kept) if not n.startswith("__")]:
             delattr(kept, name)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 #: kind of a pandas function from an iterator of batches to an iterator of batches
