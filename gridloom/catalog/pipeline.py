@@ -802,6 +802,11 @@ def _(t):
     return corpus.usage_by_language(t.documents, "text", "lang", _MARKS_BY_LANGUAGE)
 
 
+def _table_stream(t, name: str):
+    """The files of a table, which may be one file or a folder of them; Spark streams a single file by a pattern only."""
+    return flows.file_stream(t.spark, f"{t.folder}/{name}.parque[t]", getattr(t, name).schema)
+
+
 @query("streamed_marks", _MARKED_SQL)
 def _(t):
     """The same counters from a file stream with checkpoint and snapshots."""
@@ -825,7 +830,7 @@ def _(t):
 @query("cached_responses", "SELECT DISTINCT conv_id, turn, md5(text) AS digest FROM conversations")
 def _(t):
     folder = _run_folder(t, "cache")
-    turns = flows.file_stream(t.spark, t.folder, t.conversations.schema, glob="conversations.parquet")
+    turns = _table_stream(t, "conversations")
     responses = turns.select("conv_id", "turn", F.md5("text").alias("digest"))
     incremental.cache_responses(responses, f"{folder}/cache", f"{folder}/checkpoint", ["conv_id", "turn", "digest"]).awaitTermination()
     return incremental.read_cache(t.spark, f"{folder}/cache").select("conv_id", "turn", "digest")
