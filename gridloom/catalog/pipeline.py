@@ -821,7 +821,7 @@ def _(t):
     """Two passes over the same files, each from the start: the second finds everything done."""
     folder = _run_folder(t, "incremental")
     for attempt in range(2):
-        items = flows.file_stream(t.spark, t.folder, t.documents.schema, glob="documents.parquet")
+        items = _table_stream(t, "documents")
         work = lambda df: df.select("doc_id", F.md5("text").alias("digest"))
         incremental.append_new(items, f"{folder}/results", f"{folder}/checkpoint{attempt}", ["doc_id"], work, F.md5("text")).awaitTermination()
     return incremental.read_new(t.spark, f"{folder}/results").drop("run", "batch")

@@ -27,6 +27,12 @@ def tables(spark, tmp_path, request):
     return str(tmp_path), docs, turns
 
 
+def test_increments_of_a_whole_table(spark, tables):
+    folder, docs, turns = tables
+    done = sorted((r.doc_id, r.digest) for r in QUERIES["incremental_results"](spark, folder).collect())
+    assert done == [(k, md5(text)) for k, text, *_ in docs]
+
+
 def test_cache_of_a_whole_table(spark, tables):
     folder, docs, turns = tables
     cached = sorted((r.conv_id, r.turn, r.digest) for r in QUERIES["cached_responses"](spark, folder).collect())
