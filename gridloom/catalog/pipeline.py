@@ -811,7 +811,7 @@ def _table_stream(t, name: str):
 def _(t):
     """The same counters from a file stream with checkpoint and snapshots."""
     folder = _run_folder(t, "stream")
-    files = flows.file_stream(t.spark, t.folder, t.documents.schema, glob="documents.parquet")
+    files = _table_stream(t, "documents")
     flows.count_corpus(files, f"{folder}/snapshots", f"{folder}/checkpoint", "text", "lang", _MARKS_BY_LANGUAGE).awaitTermination()
     return flows.latest_snapshot(t.spark, f"{folder}/snapshots")
 

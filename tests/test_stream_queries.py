@@ -27,6 +27,17 @@ def tables(spark, tmp_path, request):
     return str(tmp_path), docs, turns
 
 
+def test_marks_of_a_whole_table(spark, tables):
+    folder, docs, turns = tables
+    marks = {(r.lang, r.files, r.article, r.list) for r in QUERIES["streamed_marks"](spark, folder).collect()}
+    of = lambda lang: [text or "" for _, text, own, *_ in docs if own == lang]
+    assert marks == {
+        (None, len(of(None)), 0, 0),
+        ("en", len(of("en")), sum("the " in x for x in of("en")), sum("; " in x for x in of("en"))),
+        ("fr", len(of("fr")), sum("le " in x or "la " in x for x in of("fr")), 0),
+    }
+
+
 def test_increments_of_a_whole_table(spark, tables):
     folder, docs, turns = tables
     done = sorted((r.doc_id, r.digest) for r in QUERIES["incremental_results"](spark, folder).collect())
