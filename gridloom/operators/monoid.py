@@ -8,12 +8,13 @@ as many calls as its size has binary digits:
         return {"a": left["a"] * right["a"], "b": right["a"] * left["b"] + right["b"]}
 
 Rows have explicit positions. They are combined in buckets of 2**bits positions, the buckets' results in buckets of
-buckets, so no task sees more than 2**bits rows at a time however long a group is.
+buckets, so no task sees more than 2**bits rows of a group at a time however long it is. Many small buckets are worked on
+at once: the function is called per Arrow batch of rows, not per bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,25 +32,37 @@ def _columns(frame: pd.DataFrame, names: list[str]) -> Columns:
     return {c: frame[c].to_numpy() for c in names}
 
 
-def _part(rows: Columns, at: slice) -> Columns:
+def _part(rows: Columns, at: np.ndarray) -> Columns:
     return {c: v[at] for c, v in rows.items()}
 
 
-def combine_all(rows: Columns, combine: Combine) -> Columns:
-    """One row: neighbours are combined pair by pair, then the pairs' results."""
-    while (n := len(next(iter(rows.values())))) > 1:
-        pairs = combine(_part(rows, slice(0, n - 1, 2)), _part(rows, slice(1, n, 2)))
-        last = _part(rows, slice(n - n % 2, n))
-        rows = {c: np.concatenate([pairs[c], last[c]]) for c in rows}
+def _places(starts: np.ndarray) -> np.ndarray:
+    """Place of each row in its segment, from 0; ``starts`` marks the first rows."""
+    at = np.arange(len(starts))
+    return at - np.maximum.accumulate(np.where(starts, at, 0))
+
+
+def combine_segments(rows: Columns, starts: np.ndarray, combine: Combine) -> Columns:
+    """One row per segment: neighbours are combined pair by pair, then the pairs' results."""
+    while not starts.all():
+        left = np.flatnonzero(_places(starts) % 2 == 0)
+        paired = left + 1 < len(starts)
+        paired[paired] = ~starts[left[paired] + 1]
+        pairs = combine(_part(rows, left[paired]), _part(rows, left[paired] + 1))
+        single = _part(rows, left[~paired])
+        place = np.argsort(np.concatenate([left[paired], left[~paired]]))
+        rows = {c: np.concatenate([pairs[c], single[c]])[place] for c in rows}
+        starts = starts[left]
     return rows
 
 
-def combine_running(rows: Columns, combine: Combine) -> Columns:
-    """Each row combined with all rows before it: after k steps with the 2**k rows that end at it."""
-    step, n = 1, len(next(iter(rows.values())))
-    while step < n:
-        later = combine(_part(rows, slice(0, n - step)), _part(rows, slice(step, n)))
-        rows = {c: np.concatenate([rows[c][:step], later[c]]) for c in rows}
+def combine_running(rows: Columns, starts: np.ndarray, combine: Combine) -> Columns:
+    """Each row combined with all rows before it in its segment: after k steps with the 2**k rows that end at it."""
+    places, step = _places(starts), 1
+    while len(at := np.flatnonzero(places >= step)):
+        later = combine(_part(rows, at - step), _part(rows, at))
+        place = np.argsort(np.concatenate([rest := np.flatnonzero(places < step), at]))
+        rows = {c: np.concatenate([rows[c][rest], later[c]])[place] for c in rows}
         step *= 2
     return rows
 
@@ -70,16 +83,53 @@ def _bucket(bits: int | None) -> Column:
     return F.lit(0).cast("bigint") if bits is None else F.shiftright("_i", bits)
 
 
+def _starts(frame: pd.DataFrame) -> np.ndarray:
+    """First rows of the buckets of a sorted frame."""
+    group, bucket = frame["_g"].to_numpy(), frame["_bucket"]
+    missing, number = bucket.isna().to_numpy(), bucket.fillna(0).to_numpy()
+    other = (group[1:] != group[:-1]) | (number[1:] != number[:-1]) | (missing[1:] != missing[:-1])
+    return np.concatenate([np.ones(min(len(frame), 1), bool), other.astype(bool)])
+
+
+def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in frames that end where a bucket ends, and the first rows of its buckets."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        seam = pd.concat([held[-1].iloc[-1:], batch]) if held else batch
+        starts = np.flatnonzero(_starts(seam)[1 if held else 0 :])
+        starts = starts if held else starts[1:]
+        if len(starts):
+            frame = pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True)
+            yield frame, _starts(frame)
+            held = []
+            batch = batch.iloc[starts[-1] :]
+        held.append(batch)
+    if held:
+        frame = pd.concat(held, ignore_index=True)
+        yield frame, _starts(frame)
+
+
+def _in_buckets(rows: DataFrame, run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *first: Column) -> DataFrame:
+    """``run`` on whole buckets, many at a time, with their rows in the order of ``first`` and then of position."""
+    placed = rows.repartition("_g", "_bucket").sortWithinPartitions("_g", "_bucket", *first, F.col("_i").asc_nulls_last())
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in _whole_buckets(batches):
+            yield run(frame, starts)
+
+    return placed.mapInPandas(work, schema)
+
+
 def _bucket_totals(rows: DataFrame, columns: list[str], combine: Combine, bits: int | None) -> DataFrame:
     """``_g, _i, columns``: the rows of each bucket combined, at the bucket's number."""
 
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_i")
-        out = pd.DataFrame(combine_all(_columns(rows, columns), combine))
-        return out.assign(_g=rows["_g"].iloc[0], _i=rows["_bucket"].iloc[0])[["_g", "_i", *columns]]
+    def total(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame(combine_segments(_columns(rows, columns), starts, combine))
+        return out.assign(_g=rows["_g"].to_numpy()[starts], _i=rows["_bucket"].to_numpy()[starts])[["_g", "_i", *columns]]
 
-    dealt = rows.withColumn("_bucket", _bucket(bits))
-    return dealt.groupBy("_g", "_bucket").applyInPandas(total, f"_g string, _i bigint, {_fields(rows, columns)}")
+    return _in_buckets(rows.withColumn("_bucket", _bucket(bits)), total, f"_g string, _i bigint, {_fields(rows, columns)}")
 
 
 def fold(
@@ -116,27 +166,37 @@ def scan(
 
 
 def _scan(rows: DataFrame, columns: list[str], combine: Combine, bits: int, levels: int, exclusive: bool) -> DataFrame:
-    """``_g, _i, _some, columns``; an exclusive scan leaves the row itself out, and ``_some`` says whether one came before."""
-    before = {c: f"_before_{c}" for c in columns}
-    dealt = rows.withColumn("_bucket", _bucket(bits if levels else None))
+    """``_g, _i, _some, columns``; an exclusive scan leaves the row itself out, and ``_some`` says whether one came before.
+
+    What came before a bucket goes to its task as a row ahead of it (``_some`` is null in all others).
+    """
+    dealt = rows.withColumn("_bucket", _bucket(bits if levels else None)).withColumn("_some", F.lit(None).cast("boolean"))
     if levels:
         earlier = _scan(_bucket_totals(rows, columns, combine, bits), columns, combine, bits, levels - 1, True)
-        earlier = earlier.select("_g", F.col("_i").alias("_bucket"), "_some", *[F.col(f"`{c}`").alias(b) for c, b in before.items()])
-        dealt = dealt.join(earlier, ["_g", "_bucket"])
-    else:
-        dealt = dealt.withColumns({"_some": F.lit(False), **{b: F.col(f"`{c}`") for c, b in before.items()}})
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_i")
-        n, carried = len(rows), bool(rows["_some"].iloc[0])
-        done = combine_running(_columns(rows, columns), combine)
-        first = {c: rows[b].to_numpy()[:1] for c, b in before.items()}
-        some = np.full(n, True)
-        if carried:
-            done = combine({c: np.repeat(first[c], n) for c in columns}, done)
+        ahead = earlier.withColumn("_bucket", F.col("_i")).select(dealt.columns)
+        dealt = dealt.unionByName(ahead).where(F.col("_bucket").isNotNull())
+
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ahead = rows["_some"].notna().to_numpy()
+        values = _columns(rows, columns)
+        if levels:  # each bucket has one row ahead, then its own rows
+            carried = np.repeat(rows["_some"].to_numpy()[ahead].astype(bool), np.diff(np.append(np.flatnonzero(ahead), len(rows))) - 1)
+            before = {c: np.repeat(v[ahead], np.diff(np.append(np.flatnonzero(ahead), len(rows))) - 1) for c, v in values.items()}
+            values, starts = _part(values, ~ahead), np.append(False, starts)[:-1][~ahead]
+            rows = rows[~ahead]
+        else:
+            carried, before = np.zeros(len(rows), bool), {c: np.repeat(v[starts], np.diff(np.append(np.flatnonzero(starts), len(rows)))) for c, v in values.items()}
+        done = combine_running(values, starts, combine)
+        if carried.any():
+            after = combine(_part(before, carried), _part(done, carried))
+            place = np.argsort(np.concatenate([np.flatnonzero(~carried), np.flatnonzero(carried)]))
+            done = {c: np.concatenate([done[c][~carried], after[c]])[place] for c in columns}
+        some = np.full(len(rows), True)
         if exclusive:
-            done = {c: np.concatenate([first[c], done[c][:-1]]) for c in columns}
-            some[0] = carried
+            moved = np.maximum(np.arange(len(rows)) - 1, 0)
+            place = np.where(starts, len(rows) + np.arange(len(rows)), moved)
+            done = {c: np.concatenate([done[c], before[c]])[place] for c in columns}
+            some[starts] = carried[starts]
         return pd.DataFrame({"_g": rows["_g"].to_numpy(), "_i": rows["_i"].to_numpy(), "_some": some, **done})
 
-    return dealt.groupBy("_g", "_bucket").applyInPandas(run, f"_g string, _i bigint, _some boolean, {_fields(rows, columns)}")
+    return _in_buckets(dealt, run, f"_g string, _i bigint, _some boolean, {_fields(rows, columns)}", F.col("_some").isNull())

@@ -279,6 +279,27 @@ def test_user_functions_of_other_types(spark):
     assert all(r.t == f"t{r.i}" for r in monoid.scan(df, "i", ["t"], last, bits=2).collect())
 
 
+def test_small_buckets_share_calls(spark):
+    from gridloom.operators import monoid
+
+    def run(work, n):
+        calls = spark.sparkContext.accumulator(0)
+
+        def add(first, second):
+            calls.add(1)
+            return {"x": first["x"] + second["x"]}
+
+        rows = work(spark.range(n).selectExpr("id % 3 AS g", "id AS i", "id AS x"), "i", ["x"], add).collect()
+        return rows, calls.value
+
+    fold = lambda *a: monoid.fold(*a, {}, ["g"], bits=2)
+    scan = lambda *a: monoid.scan(*a, ["g"], bits=2)
+    assert {r.g: r.x for r in run(fold, 6000)[0]} == {g: sum(range(g, 6000, 3)) for g in range(3)}
+    # buckets of four positions, one or two rows of a group each: far fewer calls than buckets
+    assert run(fold, 6000)[1] < 200 and run(scan, 6000)[1] < 200
+    assert {(r.g, r.i): r.x for r in run(scan, 6000)[0]} == {(i % 3, i): sum(range(i % 3, i + 1, 3)) for i in range(6000)}
+
+
 def test_equal_points_are_spread_over_ranges(spark):
     df = spark.range(4000).selectExpr("double(id % 2) AS x", "0.0D AS y")
     more = df.union(spark.createDataFrame([(1.0, 0.0)], "x double, y double"))
