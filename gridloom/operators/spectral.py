@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.runtime import group_id
 
 GROUP_CELLS = 1 << 16  # cells that one task group of a long series holds, as long as a column fits
+AT_ONCE = 1 << 18  # cells of several blocks that are transformed by one call
 WHOLE_SERIES = 1 << 16  # longest series that one task transforms on its own
 
 
@@ -69,12 +71,63 @@ def _whole(series: DataFrame, keys: list[str], sign: int, cells: int) -> DataFra
     return series.groupBy(group).applyInPandas(run, f"{fields}, size bigint, k bigint, re double, im double")
 
 
+def _in_blocks(rows: DataFrame, keys: list[str], shape: Callable[[pd.DataFrame], np.ndarray], run: Callable[..., dict], schema: str) -> DataFrame:
+    """``run`` on the blocks of series, many of one shape per call.
+
+    ``shape`` gives two lengths per row, of which the second may be that of a block's rim; ``run`` gets the blocks' cells, the
+    number of each row's block in it, the first rows of the blocks, and the shape.
+    """
+    placed = rows.repartition(*keys, "block").sortWithinPartitions(*keys, "block")
+    by = [*keys, "block"]
+
+    def starts_of(frame: pd.DataFrame) -> np.ndarray:
+        other = np.zeros(max(len(frame) - 1, 0), bool)
+        for c in by:
+            v = frame[c].to_numpy()
+            other |= (v[1:] != v[:-1]).astype(bool)
+        return np.concatenate([np.ones(min(len(frame), 1), bool), other])
+
+    def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        first = np.flatnonzero(starts_of(frame))
+        count = np.diff(np.append(first, len(frame)))
+        shapes, kind = np.unique(shape(frame.iloc[first]), axis=0, return_inverse=True)
+        for k, (down, across) in enumerate(shapes.tolist()):
+            blocks = np.flatnonzero(kind.reshape(-1) == k)
+            at_once = max(1, AT_ONCE // (down * across))
+            for some in range(0, len(blocks), at_once):
+                chosen = blocks[some : some + at_once]
+                number = np.repeat(np.arange(len(chosen)), count[chosen])
+                # the rows of the chosen blocks, in order
+                begin = np.repeat(first[chosen] - np.append(0, np.cumsum(count[chosen])[:-1]), count[chosen])
+                part = frame.iloc[begin + np.arange(len(begin))]
+                heads = frame.iloc[first[chosen]]
+                cells = run(part, number, heads, down, across)
+                yield pd.DataFrame({key: np.repeat(heads[key].to_numpy(), down * across) for key in keys} | cells)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            seam = pd.concat([held[-1].iloc[-1:], batch]) if held else batch
+            starts = np.flatnonzero(starts_of(seam)[1:])  # of the batch, without its first row if nothing is held
+            starts = starts if held else starts + 1
+            if len(starts):
+                yield from done(pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True))
+                held, batch = [], batch.iloc[starts[-1] :]
+            held.append(batch)
+        if held:
+            yield from done(pd.concat(held, ignore_index=True))
+
+    return placed.mapInPandas(work, schema)
+
+
 def _four_step(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
     """Power-of-two series of any length: two shuffles of the series.
 
     Position n = row * cols + col: first every column is transformed and twisted, then every row. A
-    group takes as many neighbouring columns (rows) as fit into about ``GROUP_CELLS`` cells, so long
-    series make many tasks and short ones few groups.
+    block takes as many neighbouring columns (rows) as fit into about ``GROUP_CELLS`` cells, so long
+    series make many blocks; the blocks of short series are transformed together.
     """
     cols = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size").cast("double")) / 2)).cast("bigint")
     rows = F.call_function("div", F.col("size"), F.col("cols"))
@@ -87,41 +140,46 @@ def _four_step(series: DataFrame, keys: list[str], sign: int) -> DataFrame:
     )
     fields = _fields(series, keys)
 
-    def columns(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, cols, rows, wide = (int(pdf[c].iloc[0]) for c in ("size", "cols", "rows", "wide"))
-        first = int(key[-1]) * wide
-        wide = min(wide, cols - first)
-        n = pdf["n"].to_numpy()
-        values = np.zeros((rows, wide), dtype=complex)
-        values[n // cols, n % cols - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        k1, n2 = np.indices((rows, wide))
-        n2 += first
-        twisted = (_dft(values, sign) * np.exp(sign * 2j * np.pi * (k1 * n2 % size) / size)).ravel()
-        data = {k: key[i] for i, k in enumerate(keys)}
-        data |= {"size": size, "cols": cols, "k1": k1.ravel(), "n2": n2.ravel(), "re": twisted.real, "im": twisted.imag}
-        return pd.DataFrame(data)
+    def column_shape(heads: pd.DataFrame) -> np.ndarray:
+        wide = np.minimum(heads["wide"], heads["cols"] - heads["block"] * heads["wide"])
+        return np.stack([heads["rows"], wide], axis=1)
+
+    def columns(part: pd.DataFrame, number: np.ndarray, heads: pd.DataFrame, rows: int, wide: int) -> dict:
+        first = (heads["block"] * heads["wide"]).to_numpy()
+        size, cols = heads["size"].to_numpy(), heads["cols"].to_numpy()
+        n, own = part["n"].to_numpy(), part["cols"].to_numpy()
+        values = np.zeros((rows, len(heads), wide), dtype=complex)
+        values[n // own, number, n % own - first[number]] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
+        k1, _, n2 = np.indices(values.shape, sparse=True)
+        n2 = n2 + first[None, :, None]
+        of = size[None, :, None]
+        twisted = _dft(values, sign) * np.exp(sign * 2j * np.pi * (k1 * n2 % of) / of)
+        flat = lambda cells: np.broadcast_to(cells, values.shape).transpose(1, 0, 2).ravel()
+        each = {"size": flat(of), "cols": flat(cols[None, :, None]), "k1": flat(k1), "n2": flat(n2)}
+        return each | {"re": flat(twisted.real), "im": flat(twisted.imag)}
 
     turned = (
-        laid_out.groupBy(*keys, "block")
-        .applyInPandas(columns, f"{fields}, size bigint, cols bigint, k1 bigint, n2 bigint, re double, im double")
+        _in_blocks(laid_out, keys, column_shape, columns, f"{fields}, size bigint, cols bigint, k1 bigint, n2 bigint, re double, im double")
         .withColumn("high", width(F.col("cols")))
         .withColumn("block", F.call_function("div", F.col("k1"), F.col("high")))
     )
 
-    def rows_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, cols, high = (int(pdf[c].iloc[0]) for c in ("size", "cols", "high"))
-        rows = size // cols
-        first = int(key[-1]) * high
-        high = min(high, rows - first)
-        values = np.zeros((cols, high), dtype=complex)
-        values[pdf["n2"].to_numpy(), pdf["k1"].to_numpy() - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        spectrum = _dft(values, sign).ravel()
-        k2, k1 = np.indices((cols, high))
-        data = {k: key[i] for i, k in enumerate(keys)}
-        data |= {"size": size, "k": (k1 + first + rows * k2).ravel(), "re": spectrum.real, "im": spectrum.imag}
-        return pd.DataFrame(data)
-
-    return turned.groupBy(*keys, "block").applyInPandas(rows_of, f"{fields}, size bigint, k bigint, re double, im double")
+    def row_shape(heads: pd.DataFrame) -> np.ndarray:
+        high = np.minimum(heads["high"], heads["size"] // heads["cols"] - heads["block"] * heads["high"])
+        return np.stack([heads["cols"], high], axis=1)
+
+    def rows_of(part: pd.DataFrame, number: np.ndarray, heads: pd.DataFrame, cols: int, high: int) -> dict:
+        first = (heads["block"] * heads["high"]).to_numpy()
+        size = heads["size"].to_numpy()
+        values = np.zeros((cols, len(heads), high), dtype=complex)
+        values[part["n2"].to_numpy(), number, part["k1"].to_numpy() - first[number]] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
+        spectrum = _dft(values, sign)
+        k2, _, k1 = np.indices(values.shape, sparse=True)
+        k = k1 + first[None, :, None] + (size // cols)[None, :, None] * k2
+        flat = lambda cells: np.broadcast_to(cells, values.shape).transpose(1, 0, 2).ravel()
+        return {"size": flat(size[None, :, None]), "k": flat(k), "re": flat(spectrum.real), "im": flat(spectrum.imag)}
+
+    return _in_blocks(turned, keys, row_shape, rows_of, f"{fields}, size bigint, k bigint, re double, im double")
 
 
 def _chirp(series: DataFrame, sizes: DataFrame, keys: list[str], sign: int) -> DataFrame:
