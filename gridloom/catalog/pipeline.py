@@ -838,13 +838,14 @@ def _(t):
 
 @query("resumed_marks", _MARKED_SQL)
 def _(t):
-    """Four files, one a batch. The third batch fails between its counts and the totals; the run that goes on uses
-    another number of shuffle partitions."""
+    """Four batches of as many files, a few more in a larger table. The third batch fails between its counts and the totals;
+    the run that goes on uses another number of shuffle partitions."""
     folder = _run_folder(t, "resumed")
-    t.documents.repartition(4).write.parquet(f"{folder}/files")
+    files_per_batch = -(-t.documents.rdd.getNumPartitions() // 4)  # a file is no larger than what a task reads of the table
+    t.documents.repartition(4 * files_per_batch).write.parquet(f"{folder}/files")
 
     def run(before_snapshot=lambda batch: None):
-        files = flows.file_stream(t.spark, f"{folder}/files", t.documents.schema, files_per_batch=1)
+        files = flows.file_stream(t.spark, f"{folder}/files", t.documents.schema, files_per_batch=files_per_batch)
         return incremental.resumable_counts(
             files, f"{folder}/store", f"{folder}/checkpoint", "text", "lang", _MARKS_BY_LANGUAGE, before_snapshot=before_snapshot
         )

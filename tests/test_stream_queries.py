@@ -1,10 +1,12 @@
 """Stream queries over tables that are one file or a folder of files."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 
 from gridloom.catalog import QUERIES
+from gridloom.runtime import stage_root
 
 
 def md5(text):
@@ -48,3 +50,21 @@ def test_cache_of_a_whole_table(spark, tables):
     folder, docs, turns = tables
     cached = sorted((r.conv_id, r.turn, r.digest) for r in QUERIES["cached_responses"](spark, folder).collect())
     assert cached == [(c, n, md5(text)) for c, n, _, text in turns]
+
+
+def test_resumed_marks_deals_a_larger_table_to_more_files(spark, tmp_path):
+    """Four batches, whose files are as many as the table's own."""
+    rows = spark.range(900).selectExpr("id AS doc_id", "'the ' || id AS text", "IF(id % 9 = 0, NULL, 'en') AS lang", "'src0' AS source", "9L AS n_chars")
+    rows.repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    for k in before:
+        spark.conf.set(k, 8192)
+    try:
+        marks = {tuple(r) for r in QUERIES["resumed_marks"](spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert marks == {("en", 800, 800, 0), (None, 100, 0, 0)}
+    newest = max(Path(stage_root(spark).removeprefix("file://")).glob("resumed-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list((newest / "files").glob("*.parquet"))) == 12
+    assert sorted(p.name for p in (newest / "store" / "log").glob("batch=*")) == [f"batch={k}" for k in range(4)]
