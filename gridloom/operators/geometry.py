@@ -239,14 +239,14 @@ def smallest_triangle(
     info = stage(info.select("_g", "_m", "_x0", "_y0", "_width", start.alias("_best")), "groups")
 
     def search(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        xy = block[["_x", "_y"]].to_numpy()
+        part, parts, width, best = block[["_part", "_parts", "_width", "_best"]].iloc[0]
+        xy = np.column_stack([block["_x"].iloc[0], block["_y"].iloc[0]])
         if len(xy) <= chunk:
             return pd.DataFrame({"_g": [key[0]], "_area": [_smallest_of_all(xy)]})
         xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]  # all tasks of a block cut it alike
         edges = _directions(xy, 2 * len(xy))
-        lo, hi = (len(edges) - 1) * int(key[3]) // int(key[4]), (len(edges) - 1) * (int(key[3]) + 1) // int(key[4])
-        best = _smallest_of_width(xy, float(block["_width"].iloc[0]), float(block["_best"].iloc[0]), edges[lo : hi + 1])
-        return pd.DataFrame({"_g": [key[0]], "_area": [best]})
+        lo, hi = (len(edges) - 1) * int(part) // int(parts), (len(edges) - 1) * (int(part) + 1) // int(parts)
+        return pd.DataFrame({"_g": [key[0]], "_area": [_smallest_of_width(xy, float(width), float(best), edges[lo : hi + 1])]})
 
     live, level = points.select("_g", "_x", "_y"), 0
     while True:
@@ -264,8 +264,10 @@ def smallest_triangle(
             placed = placed.join(sizes, ["_g", "_bx", "_by"])
         many = F.col("_m").cast("double")
         parts = F.when(F.col("_m") <= chunk, 1).otherwise(F.ceil(2 * many * many / F.greatest(F.lit(SWEEP_WORK), 512 * many))).cast("int")
-        dealt = placed.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        found = dealt.groupBy("_g", "_bx", "_by", "_part", "_parts").applyInPandas(search, "_g string, _area double")
+        # a block travels as one row for each of its tasks
+        packed = placed.groupBy("_g", "_bx", "_by", "_width", "_best", "_m").agg(F.collect_list("_x").alias("_x"), F.collect_list("_y").alias("_y"))
+        dealt = packed.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        found = dealt.groupBy("_g", "_bx", "_by", "_part").applyInPandas(search, "_g string, _area double")
         found = found.groupBy("_g").agg(F.min("_area").alias("_found"))
         if level == 0:
             large = todo.where(F.col("_m") > chunk).select("_g")
