@@ -66,16 +66,20 @@ def gemm(a: DataFrame, b: DataFrame, shape: tuple[int, int], bits: int = BLOCK_B
     slices = max(1, min(max(rows, cols), -(-shuffle_width(a.sparkSession) // depth)))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
 
+    dealt = ["bk", "slice"] if slices > 1 else ["bk"]
+
     def packed(cells: DataFrame, own: str, place: str, deal: bool) -> DataFrame:
         block = F.shiftright(own, bits)
+        if slices == 1:  # dealt as they come, so that a repartition of the caller's makes no shuffle of its own
+            cells = cells.repartition(F.shiftright(place, bits))
         split = cells.select(
-            F.shiftright(place, bits).alias("bk"), (block % slices if deal else every).alias("slice"), block.alias(f"b_{own}"),
+            F.shiftright(place, bits).alias("bk"), *([(block % slices if deal else every).alias("slice")] if slices > 1 else []), block.alias(f"b_{own}"),
             F.col(own).bitwiseAND(size - 1).cast("int").alias("o"), F.col(place).bitwiseAND(size - 1).cast("int").alias("k"),
             F.col("value").cast("double").alias("v"),
         )
         # grouping and join keep to this partitioning
         lists = [F.collect_list(c).alias(f"{own}_{c}") for c in ("o", "k", "v")]
-        return split.repartition("bk", "slice").groupBy("bk", "slice", f"b_{own}").agg(*lists)
+        return (split.repartition(*dealt) if slices > 1 else split).groupBy(*dealt, f"b_{own}").agg(*lists)
 
     left, right = packed(a, "row", "col", rows >= cols), packed(b, "col", "row", rows < cols)
 
@@ -108,7 +112,7 @@ def gemm(a: DataFrame, b: DataFrame, shape: tuple[int, int], bits: int = BLOCK_B
         while sums:
             yield cells(next(iter(sums)))
 
-    pairs = left.join(right, ["bk", "slice"])
+    pairs = left.join(right, dealt)
     return add_duplicates(pairs.mapInPandas(multiply, "row bigint, col bigint, value double"))
 
 
