@@ -23,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs)
     lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
     marked = language_id.predict(docs, model, lang_out=lang, score_out=score)
+    language_id.forget(model)
     sure = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return marked.where(sure).drop(lang, score)
 

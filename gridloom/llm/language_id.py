@@ -11,10 +11,12 @@ size of the cache does not change a result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import free_name, pick, release_workers, stage
+from gridloom.llm.common import free_name, pick, release_workers, stage, unstage
 
 #: entries of the cache: words, and n-grams of each length
 WORDS, GRAMS, ORDERS = 60_000, 20_000, (5, 4, 3, 2, 1)
@@ -25,6 +27,8 @@ ENTRIES = 120_000
 HELD = 100_000
 #: characters of a word that are cut into n-grams at once
 PIECE = 64
+#: shares of the texts whose words outside the cache are looked up one after another: the shuffles of one are on disk at a time
+SHARES = 4
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -98,17 +102,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
         entries = model["grams"].where(F.length("entry") == order) if order else model["words"]
         top = entries.orderBy(F.desc("peak"), "entry").limit(grams if order else words).select("entry", "logs").collect()
         model["cache"].append((order, {r["entry"]: r["logs"] for r in top}))
+    unstage(counts, at_place)
     return model
 
 
+def forget(model: dict) -> None:
+    """Delete the staged tables of a model that predicts nothing more; what it has predicted does not read them."""
+    unstage(*[model[name] for name in ("words", "grams") if name in model])
+
+
 def sums(k: str, logs: str, n: int) -> Column:
     """Element-wise sum of ``k`` times an array of length ``n``."""
     return F.array(*[F.sum(F.col(k) * F.get(logs, F.lit(i))) for i in range(n)])
 
 
-def spell(unknown: DataFrame, model: dict) -> DataFrame:
+def spell(unknown: DataFrame, model: dict) -> tuple[DataFrame, DataFrame]:
     """``entry, logs`` of words that the model does not know: the mean over their known n-grams of the longest length of
-    which they have any. A word without any has no row."""
+    which they have any. A word without any has no row. Also the staged table that this reads."""
     n = len(model["langs"])
     shared = unknown.sparkSession.sparkContext.broadcast(model["cache"][1:])  # of fixed size
 
@@ -149,7 +159,7 @@ def spell(unknown: DataFrame, model: dict) -> DataFrame:
     ).where(F.col("hits") > 0)
     best = every.groupBy("row").agg(F.max(F.struct("order", "hits", "total")).alias("top"))
     named = tries.where(F.col("order") == max(ORDERS)).select("row", "entry").join(best, "row")
-    return named.select("entry", F.transform("top.total", lambda x: x / F.col("top.hits")).alias("logs"))
+    return named.select("entry", F.transform("top.total", lambda x: x / F.col("top.hits")).alias("logs")), tries
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -202,11 +212,17 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
     parts = stage(texts.mapInPandas(cached, "row long, key binary, total array<double>, words array<string>, k array<long>"), "texts", compression="zstd")
     others = parts.select("row", F.explode(F.arrays_zip("words", "k")).alias("w")).select("row", F.col("w.words").alias("entry"), "w.k")
     wanted = stage(others.select("entry").distinct().join(model["words"].select("entry", "logs"), "entry", "left"), "wanted", compression="zstd")
-    spelled = spell(wanted.where(F.col("logs").isNull()).select("entry"), model)
+    spelled, tries = spell(wanted.where(F.col("logs").isNull()).select("entry"), model)
     rated = stage(wanted.where(F.col("logs").isNotNull()).select("entry", "logs").unionByName(spelled), "rated", compression="zstd")
-    tail = others.join(rated, "entry").groupBy("row").agg(sums("k", "logs", n).alias("add"))
+    unstage(wanted, tries)
     total = F.when(F.col("add").isNull(), F.col("total")).otherwise(F.zip_with("total", "add", lambda a, b: a + b))
-    sure = parts.select("row", "key", "total").join(tail, "row", "left").select("key", total.alias("total"), F.array_max(total).alias("top"))
+    made = []
+    for i in range(SHARES):
+        mine = F.pmod("row", F.lit(SHARES)) == i
+        tail = others.where(mine).join(rated, "entry").groupBy("row").agg(sums("k", "logs", n).alias("add"))
+        made.append(stage(parts.where(mine).select("row", "key", "total").join(tail, "row", "left").select("key", total.alias("total")), "totals"))
+    unstage(parts, rated)
+    sure = reduce(DataFrame.unionByName, made).withColumn("top", F.array_max("total"))
     share = F.aggregate("total", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
     label = F.get(F.array(*map(F.lit, langs)), (F.array_position("total", F.col("top")) - 1).cast("int"))
     labels = sure.groupBy("key").agg(F.min(F.struct(label.alias("lang"), (1 / share).alias("share"))).alias(guess)).withColumnRenamed("key", name)
