@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick, stage
+from gridloom.llm.common import head_of, pick, stage
 
 #: words whose scores are broadcast (the most frequent), weight of the vocabulary's own distribution
 HEAD, PRIOR = 100_000, 1000.0
@@ -28,6 +28,8 @@ STEPS = 2
 #: characters of a word up to which words of a length are scored together; longer words are scored one by one, and so
 #: many of their characters are looked up at once
 LONGEST_WORD, BLOCK = 200, 50_000
+#: a product of probabilities that is no greater is done by logarithms
+LEAST_PRODUCT = 1e-200
 MARK = "▁"
 
 
@@ -59,36 +61,48 @@ class Lattice:
         self.logp = np.asarray(logp)
         self.end, self.bytes_at = len(texts), len(texts) + 1
         self.longest = max(map(len, texts))
-        hashes = np.array([self._hash(t) for t in texts], dtype=np.uint64)
+        self.p = np.exp(self.logp)
+        prefixes = [self._hashes(t) for t in texts]
+        hashes = np.array([h[-1] for h in prefixes], dtype=np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], order
         self.maybe = np.zeros(1 << 20, dtype=bool)  # by the top bits of a hash: most substrings are no piece
         self.maybe[self.keys >> np.uint64(44)] = True
+        self.open = np.zeros(1 << 20, dtype=bool)  # and most do not begin a longer one
+        self.open[np.array([x for h in prefixes for x in h[:-1]], dtype=np.uint64) >> np.uint64(44)] = True
         self.single = {t for t in texts if len(t) == 1}
 
     @staticmethod
-    def _hash(text: str) -> int:
-        h = 0xCBF29CE484222325
+    def _hashes(text: str) -> list[int]:
+        """Hashes of all prefixes, that of the whole text last."""
+        h, out = 0xCBF29CE484222325, []
         for c in text:
             h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
             h ^= h >> 29
-        return h
+            out.append(h)
+        return out
 
     def edges(self, chars):
         """``(i, j, rows, ids)``: the rows of a matrix of characters whose substring i..j is a piece."""
         import numpy as np
 
         n, m = chars.shape
+        columns = np.ascontiguousarray(chars.T)
         for i in range(m):
-            h = np.full(n, 0xCBF29CE484222325, dtype=np.uint64)
+            live, h = np.arange(n), np.full(n, 0xCBF29CE484222325, dtype=np.uint64)
             for j in range(i + 1, min(m, i + self.longest) + 1):
-                h = (h ^ chars[:, j - 1]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ columns[j - 1][live]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-                rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                top = h >> np.uint64(44)
+                rows = np.flatnonzero(self.maybe[top])
                 at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
                 found = self.keys[at] == h[rows]
                 if found.any():
-                    yield i, j, rows[found], self.ids[at[found]]
+                    yield i, j, live[rows[found]], self.ids[at[found]]
+                more = np.flatnonzero(self.open[top])
+                if not len(more):
+                    break
+                live, h = live[more], h[more]
 
     def spelled(self, chars):
         """Log probability of each character by its bytes where the vocabulary lacks it, else minus infinity."""
@@ -102,39 +116,83 @@ class Lattice:
         return by[at].reshape(chars.shape)
 
     def sums(self, chars, counts=None):
-        """Log probability of each row; with ``counts`` also the expected number of each piece."""
+        """Log probability of each row; with ``counts`` also the expected number of each piece.
+
+        Sums of products; rows whose probability comes near the end of a double's range are done again by logarithms.
+        """
         import numpy as np
 
         n, m = chars.shape
+        arcs = self.arcs(chars)
+        weights = [np.exp(spelled) if ids is None else self.p[ids] for _, _, _, ids, spelled in arcs]
+        ahead = np.zeros((m + 1, n))
+        ahead[0] = 1
+        for (i, j, rows, _, _), weight in zip(arcs, weights):
+            ahead[j, rows] += ahead[i, rows] * weight
+        total = np.log(np.maximum(ahead[m], LEAST_PRODUCT))
+        low = np.flatnonzero(ahead[m] <= LEAST_PRODUCT)
+        expected = None
+        if counts is not None:
+            ahead[m, low] = np.inf  # counted below
+            behind = np.zeros((m + 1, n))
+            behind[m] = counts / ahead[m]
+            for (i, j, rows, _, _), weight in zip(reversed(arcs), reversed(weights)):
+                behind[i, rows] += behind[j, rows] * weight
+            shares = [ahead[i, rows] * weight * behind[j, rows] for (i, j, rows, _, _), weight in zip(arcs, weights)]
+            expected = self.expected(chars, arcs, shares)
+        if len(low):
+            total[low], more = self.log_sums(chars[low], None if counts is None else counts[low])
+            expected = None if counts is None else expected + more
+        return total, expected
+
+    def arcs(self, chars):
+        """``(i, j, rows, ids, logs)`` by start: the rows that have an arc from i to j, its piece in each (none: spelled by
+        bytes, with the log probabilities)."""
+        import numpy as np
+
         spelled = self.spelled(chars)
-        # arcs from i to j: the rows that have one, its piece in each (none: spelled by bytes) and its weight
-        arcs = []
-        for i, j, rows, ids in self.edges(chars):
-            arcs.append((i, j, rows, ids, self.logp[ids]))
-        for i in range(m):
+        arcs = [(i, j, rows, ids, None) for i, j, rows, ids in self.edges(chars)]
+        for i in range(chars.shape[1]):
             rows = np.flatnonzero(np.isfinite(spelled[:, i]))
             if len(rows):
                 arcs.append((i, i + 1, rows, None, spelled[rows, i]))
+        return sorted(arcs, key=lambda arc: arc[0])
+
+    def expected(self, chars, arcs, shares):
+        """Sums of the shares of arcs by piece."""
+        import numpy as np
+
+        pieces = [(ids, share) for (*_, ids, _), share in zip(arcs, shares) if ids is not None]
+        if pieces:
+            expected = np.bincount(np.concatenate([ids for ids, _ in pieces]), np.concatenate([share for _, share in pieces]), len(self.logp))
+        else:
+            expected = np.zeros(len(self.logp))
+        for (i, _, rows, ids, _), share in zip(arcs, shares):
+            if ids is None:
+                for row, part in zip(rows, share):
+                    for b in chr(int(chars[row, i])).encode("utf-8", "surrogatepass"):
+                        expected[self.bytes_at + b] += part
+        return expected
+
+    def log_sums(self, chars, counts=None):
+        """``sums`` by logarithms, for words of any probability."""
+        import numpy as np
+
+        n, m = chars.shape
+        arcs = self.arcs(chars)
+        weights = [logs if ids is None else self.logp[ids] for _, _, _, ids, logs in arcs]
         ahead = np.full((m + 1, n), -np.inf)
         ahead[0] = 0
-        for i, j, rows, _, weight in sorted(arcs, key=lambda arc: arc[1]):
+        for (i, j, rows, _, _), weight in zip(arcs, weights):
             ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + weight)
         if counts is None:
             return ahead[m], None
         behind = np.full((m + 1, n), -np.inf)
         behind[m] = 0
-        for i, j, rows, _, weight in sorted(arcs, key=lambda arc: -arc[0]):
+        for (i, j, rows, _, _), weight in zip(reversed(arcs), reversed(weights)):
             behind[i, rows] = np.logaddexp(behind[i, rows], behind[j, rows] + weight)
-        expected = np.zeros(len(self.logp))
-        for i, j, rows, ids, weight in arcs:
-            share = np.exp(ahead[i, rows] + weight + behind[j, rows] - ahead[m, rows]) * counts[rows]
-            if ids is not None:
-                expected += np.bincount(ids, share, len(expected))
-                continue
-            for row, part in zip(rows, share):
-                for b in chr(int(chars[row, i])).encode("utf-8", "surrogatepass"):
-                    expected[self.bytes_at + b] += part
-        return ahead[m], expected
+        shares = [np.exp(ahead[i, rows] + weight + behind[j, rows] - ahead[m, rows]) * counts[rows] for (i, j, rows, _, _), weight in zip(arcs, weights)]
+        return ahead[m], self.expected(chars, arcs, shares)
 
     def arcs_from(self, chars, lo: int, hi: int):
         """``starts, ends, ids, weights`` of the arcs of one word that start in lo..hi, by start; id -1 is a character
@@ -228,22 +286,20 @@ def count_words(rows: DataFrame) -> DataFrame:
 
         import pandas as pd
 
-        known, every = Counter(), Counter()
+        known, others = Counter(), Counter()  # of training texts, and of held out ones
 
         def out():
-            words = list(every)
-            frame = pd.DataFrame({"word": words, "c": [known[w] for w in words], "seen": [every[w] for w in words]})
+            words = [*known, *others.keys() - known.keys()]
+            c = [known[w] for w in words]
+            frame = pd.DataFrame({"word": words, "c": c, "seen": [n + others[w] for n, w in zip(c, words)]})
             known.clear()
-            every.clear()
+            others.clear()
             return frame
 
         for frame in frames:
             for text, held in zip(frame["text"], frame["held_out"]):
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                every.update(words)
-                if not held:
-                    known.update(words)
-            if len(every) > 400_000:
+                (others if held else known).update((text or "").encode("utf-8", "surrogatepass").lower().split())
+            if len(known) + len(others) > 400_000:
                 yield out()
         yield out()
 
@@ -286,33 +342,34 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", vocabulary: str | N
             yield pd.DataFrame({"word": frame["word"], "c": frame["c"], "seen": frame["seen"], "lp": lp})
 
     words = stage(counts.mapInPandas(rate, "word binary, c long, seen long, lp double"), "scored", compression="zstd")
-    head = words.orderBy(F.desc("seen"), "word").limit(HEAD).collect()
+    head = head_of(words, "seen", "word", HEAD).select("word", "c", "lp").collect()
     scale = n + 0.1 * (v + 1)
     top = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["lp"]) for r in head})
 
     def partly(frames):
         """The frequent words of each text, and the others with their counts."""
         from collections import Counter
+        from itertools import repeat
 
+        import numpy as np
         import pandas as pd
         from pyspark import TaskContext
 
-        known = {w: (c > 0, math.log10((c + 0.1) / scale), lp) for w, (c, lp) in top.value.items()}
+        at = {w: i for i, w in enumerate(top.value)}
+        # of each frequent word, and of none at the end
+        seen_of = np.array([c > 0 for c, _ in top.value.values()] + [False])
+        base_of = np.array([math.log10((c + 0.1) / scale) for c, _ in top.value.values()] + [0.0])
+        lp_of = np.array([lp for _, lp in top.value.values()] + [0.0])
         row = TaskContext.get().partitionId() << 33
         for frame in frames:
             out = []
             for doc, text, held in zip(frame["doc_id"], frame["text"], frame["held_out"]):
                 found = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
-                tokens, seen, base, lp, rest = 1, 0, [], [], []
-                for w, k in found.items():
-                    tokens += k
-                    hit = known.get(w)
-                    if hit is None:
-                        rest.append({"word": w, "k": k})
-                    else:
-                        seen += k * hit[0]
-                        base.append(k * hit[1])
-                        lp.append(k * hit[2])
+                places = np.fromiter(map(at.get, found, repeat(-1)), np.int64, len(found))
+                k = np.fromiter(found.values(), np.int64, len(found))
+                tokens, seen = 1 + int(k.sum()), int(k @ seen_of[places])
+                base, lp = (k * base_of[places]).tolist(), (k * lp_of[places]).tolist()
+                rest = [{"word": w, "k": n} for w, n in found.items() if w not in at]
                 out.append((row, doc, held, tokens, seen, math.fsum(base), math.fsum(lp), rest))
                 row += 1
             frame_out = pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "seen", "base", "lp", "rest"])
