@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import free_name, pick, release_workers, stage, unstage
+from gridloom.llm.common import free_name, head_of, pick, release_workers, stage, unstage
 
 #: entries of the cache: words, and n-grams of each length
 WORDS, GRAMS, ORDERS = 60_000, 20_000, (5, 4, 3, 2, 1)
@@ -98,10 +98,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     starts = F.filter(F.array(*[F.substring("entry", 1, order) for order in ORDERS]), lambda g: ~g.contains("\0"))
     model["words"] = stage(with_logs(counts.withColumnRenamed("word", "entry"), totals), "word-logs", compression="zstd")
     model["grams"] = stage(with_logs(at_place.select(F.explode(starts).alias("entry"), "lang", "n"), totals), "gram-logs", compression="zstd")
-    for order in (0, *ORDERS):
-        entries = model["grams"].where(F.length("entry") == order) if order else model["words"]
-        top = entries.orderBy(F.desc("peak"), "entry").limit(grams if order else words).select("entry", "logs").collect()
-        model["cache"].append((order, {r["entry"]: r["logs"] for r in top}))
+    tables = {order: {} for order in (0, *ORDERS)}
+    for r in head_of(model["words"], "peak", "entry", words).select("entry", "logs").collect():
+        tables[0][r["entry"]] = r["logs"]
+    by_order = model["grams"].withColumn("order", F.length("entry"))
+    for r in head_of(by_order, "peak", "entry", grams, "order").select("order", "entry", "logs").collect():
+        tables[r["order"]][r["entry"]] = r["logs"]
+    model["cache"] = list(tables.items())
     unstage(counts, at_place)
     return model
 
