@@ -44,10 +44,14 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         def rows(least: int = 0):
             """Entries of at most ``least`` occurrences leave, or all; frequent ones stay and go on counting."""
-            out = [(w, lang, n) for lang, c in counts.items() for w, n in c.items() if not least or n <= least]
-            for w, lang, _ in out:
-                del counts[lang][w]
-            return pd.DataFrame(out, columns=["word", "lang", "n"])
+            out = {"word": [], "lang": [], "n": []}
+            for lang, c in counts.items():
+                leaving = {w: n for w, n in c.items() if n <= least} if least else c
+                out["word"] += leaving
+                out["lang"] += [lang] * len(leaving)
+                out["n"] += leaving.values()
+                counts[lang] = Counter({w: n for w, n in c.items() if n > least} if least else {})
+            return pd.DataFrame(out)
 
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"]):
@@ -88,12 +92,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     # all grams at a place are prefixes of the longest one there; chr(0) fills up behind the word
     longest = max(ORDERS)
     # a word is read in pieces, each with the first characters of the next: no place is looked for from the beginning of a long word
-    pieces = F.regexp_extract_all(F.concat(F.lit(" "), "word", F.lit(" ")), F.lit("(?s).{1,%d}+" % PIECE), F.lit(0))
-    behind = lambda i: F.rpad(F.substring(F.coalesce(F.get("pieces", i + 1), F.lit("")), 1, longest - 1), longest - 1, "\0")
-    cut = counts.select(F.explode(F.array(pieces)).alias("pieces"), "lang", "n")
-    cut = cut.select(F.explode(F.transform("pieces", lambda p, i: F.struct(F.length(p).alias("long"), F.concat(p, behind(i)).alias("filled")))).alias("p"), "lang", "n")
-    places = F.sequence(F.lit(1), F.col("p.long"))
-    at_place = cut.select(F.explode(F.transform(places, lambda i: F.col("p.filled").substr(i, F.lit(longest)))).alias("entry"), "lang", "n")
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    pieces = F.regexp_extract_all(padded, F.lit("(?s).{1,%d}+" % PIECE), F.lit(0))
+    behind = lambda ps, i: F.rpad(F.substring(F.coalesce(F.get(ps, i + 1), F.lit("")), 1, longest - 1), longest - 1, "\0")
+    several = F.flatten(F.transform(F.array(pieces), lambda ps: F.transform(ps, lambda p, i: F.concat(p, behind(ps, i)))))
+    filled = F.when(F.length("word") <= PIECE - 2, F.array(F.concat(padded, F.lit("\0" * (longest - 1))))).otherwise(several)
+    cut = counts.select(F.explode(filled).alias("filled"), "lang", "n")
+    cut = cut.withColumn("place", F.explode(F.sequence(F.lit(1), F.length("filled") - (longest - 1))))
+    at_place = cut.select(F.col("filled").substr(F.col("place"), F.lit(longest)).alias("entry"), "lang", "n")
     at_place = stage(at_place.groupBy("entry", "lang").agg(F.sum("n").alias("n")), "grams")
     starts = F.filter(F.array(*[F.substring("entry", 1, order) for order in ORDERS]), lambda g: ~g.contains("\0"))
     model["words"] = stage(with_logs(counts.withColumnRenamed("word", "entry"), totals), "word-logs", compression="zstd")
@@ -180,6 +186,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
     def cached(frames):
         """The sums over words in the cache, and the others; texts without a letter are left out."""
         from collections import Counter
+        from itertools import compress, repeat
 
         import numpy as np
         import pandas as pd
@@ -194,16 +201,12 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
             for name, t in zip(frame["key"], frame["text"]):
                 if not any(map(str.isalpha, t)):
                     continue
-                places, times, others, k = [], [], [], []
-                for w, many in Counter(t.lower().split()).items():
-                    i = at.get(w)
-                    if i is None:
-                        others.append(w)
-                        k.append(many)
-                    else:
-                        places.append(i)
-                        times.append(many)
-                out.append((row, name, np.array(times, dtype=float) @ logs[np.array(places, dtype=int)], others, k))
+                words = Counter(t.lower().split())
+                places = np.fromiter(map(at.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+                here = places >= 0
+                others = list(compress(words, (~here).tolist()))
+                out.append((row, name, times[here].astype(float) @ logs[places[here]], others, times[~here]))
                 row += 1
                 held += len(others)
                 if held > HELD:  # the other words of a whole batch would be many strings at once
@@ -214,18 +217,23 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_out: str = "l
     texts = docs.select(key.alias("key"), docs[f"`{text}`"].alias("text")).where(F.col("text").isNotNull())
     parts = stage(texts.mapInPandas(cached, "row long, key binary, total array<double>, words array<string>, k array<long>"), "texts", compression="zstd")
     others = parts.select("row", F.explode(F.arrays_zip("words", "k")).alias("w")).select("row", F.col("w.words").alias("entry"), "w.k")
-    wanted = stage(others.select("entry").distinct().join(model["words"].select("entry", "logs"), "entry", "left"), "wanted", compression="zstd")
-    spelled, tries = spell(wanted.where(F.col("logs").isNull()).select("entry"), model)
-    rated = stage(wanted.where(F.col("logs").isNotNull()).select("entry", "logs").unionByName(spelled), "rated", compression="zstd")
-    unstage(wanted, tries)
-    total = F.when(F.col("add").isNull(), F.col("total")).otherwise(F.zip_with("total", "add", lambda a, b: a + b))
-    made = []
+    # one join with all words rates those that the model knows; only the unknown ones stay apart, to be spelled
+    tails, known = [], model["words"].select("entry", "logs").hint("shuffle_hash")  # a word has one row: no key is hot, nothing to sort
     for i in range(SHARES):
-        mine = F.pmod("row", F.lit(SHARES)) == i
-        tail = others.where(mine).join(rated, "entry").groupBy("row").agg(sums("k", "logs", n).alias("add"))
-        made.append(stage(parts.where(mine).select("row", "key", "total").join(tail, "row", "left").select("key", total.alias("total")), "totals"))
-    unstage(parts, rated)
-    sure = reduce(DataFrame.unionByName, made).withColumn("top", F.array_max("total"))
+        met = others.where(F.pmod("row", F.lit(SHARES)) == i).join(known, "entry", "left")
+        unknown = F.when(F.col("logs").isNull(), F.col("entry")).alias("unknown")
+        tails.append(stage(met.groupBy("row", unknown).agg(F.sum("k").alias("k"), sums("k", "logs", n).alias("add")), "tails", compression="zstd"))
+    rest = reduce(DataFrame.unionByName, tails)
+    unknown = rest.where(F.col("unknown").isNotNull()).select("row", F.col("unknown").alias("entry"), "k")
+    spelled, tries = spell(unknown.select("entry").distinct(), model)
+    rated = stage(spelled, "rated", compression="zstd")
+    unstage(tries)
+    adds = rest.where(F.col("unknown").isNull()).select("row", F.lit(1).alias("k"), F.col("add").alias("logs")).unionByName(unknown.join(rated, "entry").select("row", "k", "logs"))
+    adds = adds.groupBy("row").agg(sums("k", "logs", n).alias("add"))
+    total = F.when(F.col("add").isNull(), F.col("total")).otherwise(F.zip_with("total", "add", lambda a, b: a + b))
+    made = stage(parts.select("row", "key", "total").join(adds, "row", "left").select("key", total.alias("total")), "totals")
+    unstage(parts, rated, *tails)
+    sure = made.withColumn("top", F.array_max("total"))
     share = F.aggregate("total", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
     label = F.get(F.array(*map(F.lit, langs)), (F.array_position("total", F.col("top")) - 1).cast("int"))
     labels = sure.groupBy("key").agg(F.min(F.struct(label.alias("lang"), (1 / share).alias("share"))).alias(guess)).withColumnRenamed("key", name)

@@ -70,3 +70,28 @@ def test_shares_do_not_change_a_result(spark, monkeypatch):
         language_id.forget(model)
     assert results[0] == results[1] and len(results[0]) == 63
     language_id.forget(language_id.train(docs.where("false")))  # a model of nothing has no tables
+
+
+def test_known_words_are_looked_up_once(spark, monkeypatch):
+    """Words outside the cache meet the words of the model in one join; only unknown ones are staged once more."""
+    docs = spark.createDataFrame([(f"the on w{i} x{i}", ["en", "fr"][i % 2]) for i in range(40)], "text string, lang string")
+    model = language_id.train(docs, words=3, grams=3)
+    asked = docs.select(F.concat("text", F.lit(" new "), F.lit("new zzz")).alias("text")).repartition(3)
+    staged = []
+    monkeypatch.setattr(language_id, "unstage", lambda *frames: None)
+    monkeypatch.setattr(language_id, "stage", lambda df, label, **options: staged.append((label, stage(df, label, **options))) or staged[-1][1])
+    made = language_id.predict(asked, model)
+    entries = {r.entry for _, df in staged if "entry" in df.columns for r in df.select("entry").collect()}
+    assert entries == {"new", "zzz"}
+    assert made.count() == 40 and {label for label, _ in staged} == {"texts", "tails", "tries", "rated", "totals"}
+
+
+@pytest.mark.parametrize("cache", [0, 5])
+def test_grams_of_words_around_a_piece(spark, monkeypatch, cache):
+    rng = random.Random(5)
+    lengths = [1, 2, *range(language_id.PIECE - 4, language_id.PIECE + 3), 2 * language_id.PIECE - 2, 2 * language_id.PIECE - 1, 300]
+    rows = [("".join(rng.choice("abé\U0001f600") for _ in range(k)), rng.choice(["en", "fr"])) for k in lengths]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), words=cache, grams=cache)
+    padded = [f" {w} " for w, _ in rows]
+    grams = {w[i : i + k] for w in padded for k in language_id.ORDERS for i in range(len(w) - k + 1)}
+    assert {r.entry for r in model["grams"].collect()} == grams
