@@ -37,7 +37,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Cut passages that repeat out of the texts. A document that consists of them alone keeps its row with an empty text."""
     cut = repeated_passages.remove_repeats(docs, PASSAGE_BYTES)
     # a cut may fall inside a character: its rest is left out, as the character itself was removed
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(repeated_passages.whole_characters("_kept"))
+    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.col("_kept_text"))
     return cut.withColumn("text", text).withColumn(
         "n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     ).select(*docs.columns)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gridloom.functions.numeric import INT32_MAX
 from gridloom.runtime import hot_keys, repeat_rows, salted_join, spread_rows, stage, unstage
 
+#: pairs that a task of a round writes at least, if there are so many: a round of few pairs is one small file, not one for each shuffle partition
+PAIRS_A_TASK = 100_000
+
 
 def edge_count(adjacency: DataFrame, a: str = "a", out: str = "result") -> DataFrame:
     """Directed edges: entries equal to 1."""
@@ -29,7 +32,7 @@ def component_labels(
 
     Alternating star contraction: every pair (larger, smaller) is first hung from the smallest
     neighbour of its smaller end, then from the smallest neighbour of its larger end. The pair table
-    never grows, rounds are logarithmic in practice, and each round is staged, which cuts the lineage
+    never grows, so its count bounds the tasks that write a round; rounds are logarithmic in practice, and each round is staged, which cuts the lineage
     and survives lost executors. Hub vertices are split by the salted join.
     """
     pairs = (
@@ -55,6 +58,7 @@ def component_labels(
         return salted_join(left, right, [on], [spread], how, **salting)
 
     state = fingerprint(pairs)
+    tasks = max(1, -(-state[0] // PAIRS_A_TASK))
     rounds = itertools.count() if max_rounds is None else range(max_rounds)
     for _ in rounds:
         lowest = pairs.groupBy("hi").agg(F.min("lo").alias("m"))
@@ -64,7 +68,7 @@ def component_labels(
             .distinct()
         )
         # both uses below read the same contracted pairs, so they are written once
-        hung = stage(hung, "hung")
+        hung = stage(hung.coalesce(tasks), "hung")
         lowest = hung.groupBy("hi").agg(F.min("lo").alias("m"))
         contracted = (
             meet(hung, lowest, "hi", "lo", "inner", state[0])
@@ -73,7 +77,7 @@ def component_labels(
             .unionByName(lowest.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        last, pairs = pairs, stage(contracted, "pairs")
+        last, pairs = pairs, stage(contracted.coalesce(tasks), "pairs")
         unstage(last, hung)  # a round needs the table of the round before only
         before, state = state, fingerprint(pairs)
         if state == before:
