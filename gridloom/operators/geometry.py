@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.runtime import group_id, stage
+from gridloom.runtime import group_id, shuffle_width, stage
 
 #: most points of a grid cell that is joined
 CELL_LIMIT = 32
 FLUSH_ROWS = 100_000
 #: points among which all triples are tried
 CHUNK = 256
-#: sorted positions that a triangle task looks at, at least
-SWEEP_WORK = 1 << 20
+#: directions that a triangle task looks at, at least
+SWEEP_WORK = 1 << 22
+#: most partitions that the triangle tasks of one size are dealt to
+TRIANGLE_PARTITIONS = 4096
 #: most points of a hull side that one task sweeps
 SIDE_ROWS = 1 << 18
 
@@ -161,44 +163,68 @@ def _smallest_of_all(xy: np.ndarray) -> float:
     best = np.inf
     for i in range(len(xy) - 2):
         u = xy[i + 1 :] - xy[i]
-        area = 0.5 * np.abs(np.outer(u[:, 0], u[:, 1]) - np.outer(u[:, 1], u[:, 0]))
-        best = min(best, float(area[np.triu_indices(len(u), 1)].min()))
+        products = np.outer(u[:, 0], u[:, 1])
+        area = np.abs(products - products.T)
+        np.fill_diagonal(area, np.inf)
+        best = min(best, 0.5 * float(area.min()))
     return best
 
 
-def _directions(xy: np.ndarray, intervals: int) -> np.ndarray:
-    """Edges of direction intervals in [0, pi]: half of them even, half so that as many pairs point into each."""
-    rng = np.random.default_rng(5)
-    a, b = rng.integers(0, len(xy), (2, 8 * intervals))
-    step = (xy[a] - xy[b])[a != b]
-    pairs = np.sort(np.mod(np.arctan2(step[:, 1], step[:, 0]), np.pi))
-    half = intervals // 2
-    return np.sort(np.concatenate([np.linspace(0, np.pi, half + 1), pairs[np.linspace(0, len(pairs) - 1, intervals - half).astype(int)]]))
+def _smallest_at(xy: np.ndarray, corners: np.ndarray, low: float, best: float) -> float:
+    """Smallest triangle among those whose longest side is at least ``low`` and starts at one of ``corners`` (positions in
+    ``xy``), if it is smaller than ``best``.
 
-
-def _smallest_of_width(xy: np.ndarray, width: float, best: float, edges: np.ndarray) -> float:
-    """Smallest triangle among those whose longer extent is between ``width`` / 2 and ``width`` and whose longest side
-    points into one of the direction intervals, if it is smaller than ``best``.
-
-    Seen along the longest side, the three corners lie within a strip: as wide as the side's deviation from the
-    middle of its interval, plus the triangle's height. So they are close in the order across that direction.
+    One end of the longest side is at least half that side away from the third corner. Seen from there, the two other
+    corners lie in nearly one direction, the closer the smaller the triangle is. So directions are sorted around each
+    corner, and only those that close to each other are tried. Before, the points are stretched to equal spread on all
+    sides, which scales all areas alike: else points near a line would all lie in nearly one direction.
     """
-    middle, half = (edges[1:] + edges[:-1]) / 2, (edges[1:] - edges[:-1]) / 2
-    at_once = max(1, SWEEP_WORK // len(xy))
-    for k in range(0, len(middle), at_once):
-        turn = middle[k : k + at_once]
-        across = np.stack([-np.sin(turn), np.cos(turn)]) if len(turn) else np.zeros((2, 0))
-        u = (xy @ across).T
-        order = np.argsort(u, axis=1)
-        u = np.take_along_axis(u, order, axis=1)
-        strip = math.sqrt(2) * width * np.sin(half[k : k + at_once]) * (1 + 1e-9) + 1e-14 * np.abs(u).max()
-        for far in range(2, len(xy)):
-            row, first = np.nonzero(u[:, far:] - u[:, :-far] <= (strip + 4 * best / width)[:, None])
-            if not len(row):
+    away = xy - xy.mean(axis=0)
+    _, spread, axes = np.linalg.svd(away, full_matrices=False)
+    spread = np.maximum(spread, spread[0] * 2.0**-27)  # flatter points have a triangle at rounding level
+    x, y = np.ascontiguousarray((away @ axes.T / spread).T)
+    least = low / spread[0] * (1 - 1e-9)
+    noise = 20 * 1e-15 * float(np.abs(away).max()) / spread[1] / least + 1e-14
+    # a direction as a whole number from 0 to 2 * unit for half a turn, followed by the position of its point
+    bits = len(xy).bit_length()
+    unit = 1 << (61 - bits)
+
+    def reach() -> int:
+        sine = 4 * best / (spread[0] * spread[1]) / least**2
+        return int(min(math.asin(min(sine, 1.0)) * (1 + 1e-9) + noise, 2.0) * unit) + 2
+
+    number, mask = np.arange(len(xy)), (1 << bits) - 1
+    dx, dy, size, keys = np.empty(len(xy)), np.empty(len(xy)), np.empty(len(xy)), np.empty(len(xy), np.int64)
+    for p in corners:
+        np.subtract(x, x[p], out=dx)
+        np.subtract(y, y[p], out=dy)
+        dx[p] = 1.0  # the corner itself is taken out below
+        # dx / (|dx| + |dy|), from 1 to -1 on the upper half of a turn; the lower half is turned round
+        np.add(np.abs(dx), np.abs(dy, out=size), out=size)
+        np.divide(dx, size, out=dx)
+        np.multiply(dx, np.copysign(unit, dy, out=dy), out=dx)
+        np.subtract(unit, dx, out=dx)
+        keys[:] = dx
+        keys <<= bits
+        keys |= number
+        keys[p] = -1
+        around = np.sort(keys)[1:]
+        turn, near = around >> bits, reach()
+        again = np.searchsorted(turn, turn[-1] - 2 * unit + near, "right")  # half a turn on, directions start again
+        if again:
+            around, turn = np.concatenate([around, around[:again]]), np.concatenate([turn, turn[:again] + 2 * unit])
+        for far in range(1, len(xy) - 1):
+            first = np.flatnonzero(turn[far:] - turn[:-far] <= near)
+            if not len(first):
                 break
-            p, r = xy[order[row, first]], xy[order[row, first + far]]
-            for near in range(1, far):
-                best = min(best, float(_area(p, xy[order[row, first + near]], r).min()))
+            q, r = around[first] & mask, around[first + far] & mask
+            area = _area(xy[p], xy[q], xy[r])
+            if again:
+                area = area[q != r]
+            found = float(area.min(initial=np.inf))
+            if found < best:
+                best = found
+                near = reach()
     return best
 
 
@@ -208,13 +234,13 @@ def smallest_triangle(
     """Smallest triangle area per group, of which null is one (0 for fewer than three points or if two are equal).
     Points with a null, NaN or infinite coordinate are no points.
 
-    Nearly collinear points may lie far apart, so cells alone cannot prune. Triangles are sought by size instead: at
-    level j those whose longer extent is about the group's divided by 2**j, in overlapping blocks of two such cells a side.
-    All triples of a block of up to ``chunk`` points are tried. In a larger block the direction of the longest side is
-    cut into intervals, two a point; within one, the corners of a triangle no larger than the smallest known are
-    close in the order across it (see ``_smallest_of_width``). Only points of large blocks go on to the next level. The
-    work is about quadratic in the points of a block, and its intervals are dealt to many tasks; a task holds the
-    coordinates of its block.
+    Nearly collinear points may lie far apart, so cells alone cannot prune. Runs of points in the order of x give a first
+    small triangle. Then triangles are sought by size, the longest sides first: at first among all points of a group, then in
+    overlapping blocks of two cells a side, and so on. All triples of a block of up to ``chunk`` points are tried. In a
+    larger block directions are sorted around each point (see ``_smallest_at``), down to the side for which a triangle no
+    larger than the smallest known still tells few directions apart: the next cells are that wide, and points that are
+    evenly spread need no third size. The work is about quadratic in the points of a block, and its points are dealt to
+    many tasks; a task holds the coordinates of its block.
     """
     chunk = max(chunk, 3)
     rows = df.select(*[F.col(f"`{k}`") for k in keys], group_id(keys).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
@@ -222,66 +248,92 @@ def smallest_triangle(
     points = stage(rows.where(finite("_x", "_y")).groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "points")
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Triples in the order of x: some small triangles."""
+        """All triples of short runs in the order of x: some small triangles."""
+        run = max(3, chunk // 2)
         for batch in batches:
-            for g, part in batch.groupby("_g"):
+            for g, part in batch.groupby("_g", sort=False):
                 xy = part[["_x", "_y"]].to_numpy()
-                xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]
-                if len(xy) > 2:
-                    yield pd.DataFrame({"_g": [g], "_area": [float(_area(xy[:-2], xy[1:-1], xy[2:]).min())]})
+                areas = [_smallest_of_all(xy[k : k + run]) for k in range(0, len(xy) - 2, run)]
+                if areas:
+                    yield pd.DataFrame({"_g": [g], "_area": [min(areas)]})
 
-    some = points.mapInPandas(neighbours, "_g string, _area double").groupBy("_g").agg(F.min("_area").alias("_area"))
     extent = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))
     info = points.groupBy("_g").agg(
-        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), extent.alias("_width")
-    ).where("_rows >= 3").join(some, "_g", "left")
-    start = F.when(F.col("_m") < F.col("_rows"), 0.0).otherwise(F.coalesce("_area", F.col("_width") * F.col("_width") / 2))
-    info = stage(info.select("_g", "_m", "_x0", "_y0", "_width", start.alias("_best")), "groups")
-
-    def search(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        part, parts, width, best = block[["_part", "_parts", "_width", "_best"]].iloc[0]
-        xy = np.column_stack([block["_x"].iloc[0], block["_y"].iloc[0]])
-        if len(xy) <= chunk:
-            return pd.DataFrame({"_g": [key[0]], "_area": [_smallest_of_all(xy)]})
-        xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]  # all tasks of a block cut it alike
-        edges = _directions(xy, 2 * len(xy))
-        lo, hi = (len(edges) - 1) * int(part) // int(parts), (len(edges) - 1) * (int(part) + 1) // int(parts)
-        return pd.DataFrame({"_g": [key[0]], "_area": [_smallest_of_width(xy, float(width), float(best), edges[lo : hi + 1])]})
-
-    live, level = points.select("_g", "_x", "_y"), 0
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), extent.alias("_width"),
+        F.var_pop("_x").alias("_xx"), F.var_pop("_y").alias("_yy"), F.covar_pop("_x", "_y").alias("_xy"),
+    ).where("_rows >= 3")
+    start = F.when(F.col("_m") < F.col("_rows"), 0.0).otherwise(F.col("_width") * F.col("_width") / 2)
+    # variances along and across the points
+    wide = (F.col("_xx") + F.col("_yy")) / 2 + F.hypot((F.col("_xx") - F.col("_yy")) / 2, F.col("_xy"))
+    flat = F.greatest(F.try_divide(F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy"), wide), wide * 2.0**-54)
+    stretch = (F.log2(wide) - F.log2(flat)) / 2
+    info = info.select("_g", "_m", "_x0", "_y0", "_width", stretch.alias("_stretch"), start.alias("_best"), F.lit(0).alias("_depth"))
+    info = stage(info, "groups")
+    large = info.where((F.col("_best") > 0) & (F.col("_m") > chunk)).select("_g")
+    if not large.isEmpty():
+        ordered = points.join(large, "_g", "left_semi").select("_g", "_x", "_y")
+        ordered = ordered.repartitionByRange("_g", "_x", "_y").sortWithinPartitions("_g", "_x", "_y")
+        some = ordered.mapInPandas(neighbours, "_g string, _area double").groupBy("_g").agg(F.min("_area").alias("_area"))
+        info = stage(info.join(some, "_g", "left").withColumn("_best", F.least("_best", "_area")).drop("_area"), "groups")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            areas = []
+            for xs, ys, part, parts, low, best in zip(*[batch[c] for c in ("_x", "_y", "_part", "_parts", "_low", "_best")]):
+                xy = np.column_stack([xs, ys])
+                if len(xy) <= chunk:
+                    areas.append(_smallest_of_all(xy))
+                    continue
+                xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]  # all tasks of a block cut it alike
+                corners = np.random.default_rng(5).permutation(len(xy))[part::parts]
+                areas.append(_smallest_at(xy, corners, low, best))
+            yield pd.DataFrame({"_g": batch["_g"], "_area": np.array(areas, float)})
+
+    live, found = points.select("_g", "_x", "_y"), None
     while True:
         # areas at rounding level are not told apart any further
-        todo = info.where(F.col("_best") > F.lit(2.0**-50) * F.col("_width") * F.col("_width"))
-        placed = live.join(todo, "_g").withColumn("_width", F.col("_width") / 2.0**level)
-        if level == 0:
-            placed = placed.withColumns({"_bx": F.lit(0).cast("bigint"), "_by": F.lit(0).cast("bigint")})
+        unsettled = F.col("_best") > F.lit(2.0**-50) * F.col("_width") * F.col("_width")
+        size = F.col("_width") / F.pow(F.lit(2.0), "_depth")
+        # at a side of sqrt(2 * best * points * stretch) a corner tells directions apart as finely as it sees points
+        least = (1 + F.log2("_best") + F.log2("_m") + F.col("_stretch")) / 2
+        step = F.greatest(F.lit(1), F.least(F.floor(F.log2(size) - least), 26 - F.col("_depth"))).cast("int")
+        info = info.withColumn("_step", F.when(unsettled, step).otherwise(1))
+        low = size / F.pow(F.lit(2.0), "_step")
+        # points of two cells may be told apart wrongly by the rounding of their distance from the edge
+        low = F.greatest(low * (1 - 1e-9) - F.col("_width") * 2.0**-50, low / 2)
+        todo = info.where(unsettled).withColumns({"_size": size, "_low": low})
+        many = F.col("_m").cast("double")
+        parts = F.when(F.col("_m") <= chunk, 1).otherwise(F.ceil(many * many / F.greatest(F.lit(SWEEP_WORK), 2048 * many))).cast("int")
+        if found is None:
+            sizes = todo
+            placed = live.join(todo, "_g").withColumns({"_bx": F.lit(0).cast("bigint"), "_by": F.lit(0).cast("bigint")})
         else:
-            cell = lambda c, lo: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("_width")), F.lit((1 << level) - 1))
+            cell = lambda c, lo: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("_size")), F.pow(F.lit(2.0), "_depth").cast("bigint") - 1)
             cx, cy = cell("_x", "_x0"), cell("_y", "_y0")
             blocks = F.array(*[F.struct((cx - a).alias("_bx"), (cy - b).alias("_by")) for a in (0, 1) for b in (0, 1)])
-            placed = placed.drop("_m").select("*", F.inline(blocks))
-            sizes = placed.groupBy("_g", "_bx", "_by").agg(F.count(F.lit(1)).alias("_m")).where("_m >= 3")
+            placed = live.join(todo.drop("_m"), "_g").select("*", F.inline(blocks))
+            sizes = stage(placed.groupBy("_g", "_bx", "_by").agg(F.count(F.lit(1)).alias("_m")).where("_m >= 3"), "blocks")
             placed = placed.join(sizes, ["_g", "_bx", "_by"])
-        many = F.col("_m").cast("double")
-        parts = F.when(F.col("_m") <= chunk, 1).otherwise(F.ceil(2 * many * many / F.greatest(F.lit(SWEEP_WORK), 512 * many))).cast("int")
+        crowd, tasks = sizes.agg(F.max("_m"), F.sum(F.when(F.col("_m") > chunk, parts))).first()
+        if crowd is None:
+            break
         # a block travels as one row for each of its tasks
-        packed = placed.groupBy("_g", "_bx", "_by", "_width", "_best", "_m").agg(F.collect_list("_x").alias("_x"), F.collect_list("_y").alias("_y"))
+        packed = placed.groupBy("_g", "_bx", "_by", "_low", "_best", "_m").agg(F.collect_list("_x").alias("_x"), F.collect_list("_y").alias("_y"))
         dealt = packed.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        found = dealt.groupBy("_g", "_bx", "_by", "_part").applyInPandas(search, "_g string, _area double")
-        found = found.groupBy("_g").agg(F.min("_area").alias("_found"))
-        if level == 0:
-            large = todo.where(F.col("_m") > chunk).select("_g")
-            deeper = not large.isEmpty()
-            found = stage(found, "triangles") if deeper else found
-            live = stage(live.join(large, "_g", "left_semi"), "live") if deeper else live
-        else:
+        if tasks:
+            dealt = dealt.repartition(min(max(2 * tasks, shuffle_width(df.sparkSession)), TRIANGLE_PARTITIONS), "_g", "_bx", "_by", "_part")
+        deeper = crowd > chunk
+        last, found = found, dealt.mapInPandas(search, "_g string, _area double").groupBy("_g").agg(F.min("_area").alias("_found"))
+        if deeper or last is not None:
             found = stage(found, "triangles")
-            live = stage(placed.where(F.col("_m") > chunk).select("_g", "_x", "_y").distinct(), "live")
-            deeper = not live.isEmpty()
-        info = info.join(found, "_g", "left").withColumn("_best", F.least("_best", "_found")).drop("_found")
+        if deeper:
+            crowded = live.join(todo.where(F.col("_m") > chunk).select("_g"), "_g", "left_semi") if last is None else placed.where(F.col("_m") > chunk)
+            live = stage(crowded.select("_g", "_x", "_y").distinct(), "live")
+        info = info.join(found, "_g", "left").withColumns({"_best": F.least("_best", "_found"), "_depth": F.col("_depth") + F.col("_step")})
+        info = info.drop("_found", "_step")
         if not deeper:
             break
-        info, level = stage(info, "groups"), level + 1
+        info = stage(info, "groups")
     area = info.select("_g", F.col("_best").alias(out))
     return groups.join(area, "_g", "left").select(*[F.col(f"`{k}`") for k in keys], F.coalesce(out, F.lit(0.0)).alias(out))
 

@@ -75,6 +75,24 @@ def test_triangle_work_grows_below_the_cube(spark, rng):
     assert shuffled(spark) - before < 4 * 4002
 
 
+def test_smallest_triangle_needs_few_sizes(spark, rng):
+    xy = rng.uniform(-1, 1, (700, 2))
+    named = {"random": xy, "flat": xy * [1e3, 1e-2] @ [[0.8, 0.6], [-0.6, 0.8]], "far off": xy + [50, -80]}
+    frame = pd.concat([pd.DataFrame(v, columns=["x", "y"]).assign(g=name) for name, v in named.items()])
+    df = spark.createDataFrame(frame.assign(i=range(len(frame)))).repartition(5)
+    folder = __import__("pathlib").Path(stage_root(spark).removeprefix("file://"))
+    before = set(folder.glob("triangles-*"))
+    got = {r.g: r.area for r in geometry.smallest_triangle(df, ["g"], chunk=16).collect()}
+    assert len(set(folder.glob("triangles-*")) - before) <= 3  # nine, when each size was half the last one
+    for name, v in named.items():
+        best = math.inf
+        for k in range(len(v) - 2):
+            x, y = (v[k + 1 :] - v[k]).T
+            area = 0.5 * np.abs(np.outer(x, y) - np.outer(y, x))
+            best = min(best, area[np.triu_indices(len(x), 1)].min())
+        assert got[name] == pytest.approx(best, rel=1e-6, abs=2.0**-50 * np.ptp(v, axis=0).max() ** 2), name
+
+
 def test_closest_pair_in_a_dense_cluster(spark, rng):
     xy = np.vstack([rng.uniform(0, 1000, (1500, 2)), rng.uniform(0, 1e-3, (1500, 2)) + 500])  # half of the points in one cell
     df = points(spark, xy, 7)
